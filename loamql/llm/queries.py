@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamql.llm import mixing, quantiles, topn
+from loamql.llm import mixing, quantiles, sentences, topn
 from loamql.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,13 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(mixing.sized_documents(table(spark, folder, "documents")), table(spark, folder, "source_targets"))[0]
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_countries_percentiles, p7_mix, p7_report)
+    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_countries_percentiles, p7_mix, p7_report, p8_found)
 }
 SQL = {"p3_found": f"SELECT ranking_id FROM ({P3_SQL})", "p3_top_universities": P3_SQL}
 
