@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamql.llm import mixing, quantiles, sentences, topn
+from loamql.llm import canonical, mixing, quantiles, sentences, topn
 from loamql.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,17 @@ def p4_countries_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.percentiles(quantiles.digests(rows, ["region", "field"], "value"), ["region", "field"], quantiles.SHARES)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    out = canonical.map_countries(table(spark, folder, "university_ranking"), table(spark, folder, "countries"))
+    return out.select("ranking_id", "country_id")
+
+
+def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that mean no entry, with their rows."""
+    out = canonical.map_countries(table(spark, folder, "university_ranking"), table(spark, folder, "countries"))
+    return out.filter("country_id = 0").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(mixing.sized_documents(table(spark, folder, "documents")), table(spark, folder, "source_targets"))[1]
 
@@ -61,7 +72,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_countries_percentiles, p7_mix, p7_report, p8_found)
+    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_countries_percentiles, p5_found, p5_unmatched, p7_mix, p7_report, p8_found)
 }
 SQL = {"p3_found": f"SELECT ranking_id FROM ({P3_SQL})", "p3_top_universities": P3_SQL}
 
