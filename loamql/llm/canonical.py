@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamql.session import shuffle_width
+
 THRESHOLD = 0.15  # least cosine of cores
 MARGIN = 0.02  # least distance to the next entry
 CORE_SHARE = 0.8  # of the score; the rest is the cosine of the whole name
@@ -266,7 +268,8 @@ def match_values(values: DataFrame, entries: DataFrame, value: str = "value") ->
                 rows = [(v, s, i) for v in pdf[value] for s, i in index.best(v)]
                 yield pd.DataFrame(rows, columns=[value, "score", "entry"])
 
-        parts.append(distinct.mapInPandas(work, f"`{value}` string, score double, entry int"))
+        spread = distinct.repartition(shuffle_width(values.sparkSession))  # each task builds an index, so few values are worth a task
+        parts.append(spread.mapInPandas(work, f"`{value}` string, score double, entry int"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

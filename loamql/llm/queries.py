@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamql.llm import canonical, mixing, quantiles, sentences, topn
+from loamql.llm import canonical, leakage, mixing, quantiles, sentences, topn
 from loamql.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,14 @@ def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return out.filter("country_id = 0").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p6_item_report(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(mixing.sized_documents(table(spark, folder, "documents")), table(spark, folder, "source_targets"))[1]
 
@@ -72,7 +80,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_countries_percentiles, p5_found, p5_unmatched, p7_mix, p7_report, p8_found)
+    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_countries_percentiles, p5_found, p5_unmatched, p6_found, p6_item_report, p7_mix, p7_report, p8_found)
 }
 SQL = {"p3_found": f"SELECT ranking_id FROM ({P3_SQL})", "p3_top_universities": P3_SQL}
 
