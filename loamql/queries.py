@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamql.api import query_tables
+from loamql.language_queries import QUERIES
 from loamql.operators import keychunks, rejects
 from loamql.tables import table
 
@@ -53,9 +55,13 @@ PROBLEMS: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_loaded, p1_ca
 PROBLEMS_SQL = {"p2_found": P2_FOUND_SQL, "p2_country_summary": P2_SUMMARY_SQL}
 
 
+def _language(text: str) -> Query:
+    return lambda spark, folder: query_tables(spark, text, folder)
+
+
 def queries() -> dict[str, Query]:
-    return dict(PROBLEMS)
+    return PROBLEMS | {name: _language(text) for name, (text, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(PROBLEMS_SQL)
+    return PROBLEMS_SQL | {name: sql for name, (_, sql) in QUERIES.items()}
