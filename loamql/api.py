@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from loamql.operators.engine import Options, Planner
 from loamql.plans.lexer import ParsingError, QueryError, stages
 from loamql.plans.stage import parse_stage
+from loamql.sinks import writers
+from loamql.sources import delimited, others
 from loamql.sources.tables import Table, from_frame
 
 Finder = Callable[[str, "str | None"], "Table | None"]
@@ -32,7 +35,11 @@ class Result:
 
     @property
     def warnings(self) -> list[str]:
-        return list(dict.fromkeys(self.table.warnings))
+        """What was unusual in the inputs; some of it takes a pass over them."""
+        said: list[str] = []
+        for w in self.table.warnings:
+            said += w() if callable(w) else [w]
+        return list(dict.fromkeys(said))
 
     def rows(self) -> list[list[object]]:
         if self.table.ragged:
@@ -116,3 +123,97 @@ def error_info(error: Exception) -> tuple[str, str]:
     if "USER_RAISED_EXCEPTION" in text or "PythonException" in type(error).__name__ or "CAST_INVALID_INPUT" in text or "DIVIDE_BY_ZERO" in text:
         return "query execution", text.split("\n")[0]
     return "unexpected", text
+
+
+def _find_delimited(spark: SparkSession, input_path: str | None, delim: str, policy: str, encoding: str | None, has_header: bool, **options: object) -> Finder:
+    def find(name: str, modifier: str | None) -> Table | None:
+        path = delimited.table_path(name, input_path)
+        if path is None:
+            return None
+        return delimited.read_delimited(spark, path, delim, policy, encoding, has_header, table_name="join", modifier=modifier, **options)
+
+    return find
+
+
+def query_csv(
+    spark: SparkSession, text: str, input_path: str, delim: str = ",", policy: str | None = None, output_path: str | None = None, output_delim: str | None = None,
+    output_policy: str | None = None, encoding: str | None = "utf-8", with_headers: bool = False, comment_prefix: str | None = None, init_code: str = "",
+    strip_whitespaces: bool = False, comment_regex: str | None = None, single_file: bool = True, allow_python: bool = True,
+) -> Result:
+    """Run ``text`` over a text file or folder; with ``output_path`` write the result as text.
+
+    ``single_file`` writes one file in order through the driver, a partition at a time; otherwise a
+    folder of one file per task, without header.
+    """
+    policy = policy or delimited.default_policy(delim)
+    output_delim = delim if output_delim is None else output_delim
+    output_policy = output_policy or (policy if output_delim == delim else delimited.default_policy(output_delim))
+    delimited.check_dialect(delim, policy, encoding, text)
+    delimited.check_dialect(output_delim, output_policy, encoding, text)
+    options = dict(comment_prefix=comment_prefix, comment_regex=comment_regex, strip_whitespaces=strip_whitespaces)
+    source = ModifiedTable(lambda m: delimited.read_delimited(spark, input_path, delim, policy, encoding, with_headers, modifier=m, **options))
+    find = _find_delimited(spark, input_path, delim, policy, encoding, with_headers, **options)
+    result = run(text, source, find, Options(init_code or default_init_code(), {}, allow_python, keep_order=True))
+    if output_path:
+        if single_file:
+            with open(output_path, "w", encoding=encoding or "latin-1", newline="") as out:
+                writers.write_stream(result.table, out, output_delim, output_policy)
+        else:
+            writers.write_folder(result.table, output_path, output_delim, output_policy)
+    return result
+
+
+def query_json(spark: SparkSession, text: str, input_path: str, output_path: str | None = None, init_code: str = "", tables: Mapping[str, str] | None = None) -> Result:
+    """Run ``text`` over JSON Lines; a1 is each line's value. ``tables`` names files to join."""
+    find = None if tables is None else (lambda name, m: others.read_jsonl(spark, tables[name]) if name in tables else None)
+    result = run(text, others.read_jsonl(spark, input_path), find, Options(init_code or default_init_code(), keep_order=True))
+    if output_path:
+        with open(output_path, "w", encoding="utf-8") as out:
+            for row in writers.json_lines(result.table).toLocalIterator():
+                out.write(row[0] + "\n")
+    return result
+
+
+def query_sqlite(spark: SparkSession, text: str, database: str, table: str | None = None, init_code: str = "") -> Result:
+    """Run ``text`` over tables of an SQLite file; joins name tables of the same file."""
+
+    def find(name: str, modifier: str | None) -> Table | None:
+        return others.read_sqlite(spark, database, name)
+
+    source = others.read_sqlite(spark, database, table) if table else None
+    return run(text, source, find, Options(init_code or default_init_code(), keep_order=True))
+
+
+def query_dataframe(spark: SparkSession, text: str, frame: object, join_frame: object | None = None, init_code: str = ""):  # noqa: ANN201
+    """Run ``text`` over a pandas or Spark frame, b being ``join_frame``; gives a frame of the same kind."""
+    find = None if join_frame is None else (lambda name, m: others.from_any(spark, join_frame) if name in ("b", "B") else None)
+    result = run(text, others.from_any(spark, frame), find, Options(init_code, keep_order=True))
+    return result.df if isinstance(frame, DataFrame) else _pandas(result)
+
+
+def _pandas(result: Result):  # noqa: ANN202
+    pdf = result.df.toPandas()
+    if result.header is None:
+        pdf.columns = range(len(pdf.columns))
+    return pdf
+
+
+def query_table(
+    spark: SparkSession, text: str, rows: list[list[object]], join_rows: list[list[object]] | None = None, header: list[str] | None = None,
+    join_header: list[str] | None = None, init_code: str = "", namespace: Mapping[str, object] | None = None,
+) -> Result:
+    """Run ``text`` over lists of fields, b being ``join_rows``."""
+    find = None if join_rows is None else (lambda name, m: others.from_lists(spark, join_rows, join_header) if name in ("b", "B") else None)
+    return run(text, others.from_lists(spark, rows, header), find, Options(init_code, dict(namespace or {}), keep_order=True))
+
+
+INIT_FILE = "~/.loamql_init_source.py"
+
+
+def default_init_code() -> str:
+    """The user's init file, empty if there is none."""
+    path = os.path.expanduser(INIT_FILE)
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as source:
+            return source.read()
+    return ""

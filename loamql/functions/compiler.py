@@ -514,6 +514,15 @@ def float_text(col: Column) -> Column:
     )
 
 
+def rendered_text(value: object, separator: str = "|") -> str | None:
+    """A Python value as delimited text writes it; None stays None."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, (list, tuple)):
+        return separator.join(rendered_text(v, separator) or "" for v in value)
+    return str(value)
+
+
 # -- builtins ------------------------------------------------------------------------------------
 
 

@@ -41,6 +41,7 @@ class Options:
     init_source: str = ""
     user: dict[str, object] = field(default_factory=dict)
     allow_python: bool = True
+    keep_order: bool = False  # rows come out in input order also behind a join or DISTINCT
     strict_nulls: bool = False  # nulls in MIN, MAX, SUM, AVG, VARIANCE and MEDIAN are errors
     python_expressions: list[str] = field(default_factory=list)  # filled: those that aren't columns
 
@@ -168,7 +169,17 @@ class Planner:
     def aggregated(self) -> bool:
         if self.stage.group:
             return True
-        return any(not i.star and not i.spread and self._aggregate_call(parse(self._counted(i.text))) for i in self.stage.items)
+        return any(not i.star and not i.spread and self._holds_aggregate(parse(self._counted(i.text))) for i in self.stage.items)
+
+    def _holds_aggregate(self, node: ast.expr) -> bool:
+        """Whether an aggregate of fields or constants is anywhere in the expression."""
+        for inner in ast.walk(node):
+            if isinstance(inner, ast.Call) and (call := self._aggregate_call(inner)):
+                parts = [x for a in call.args[:1] for x in ast.walk(a)]
+                names = [x for x in parts if isinstance(x, ast.Name)]
+                if not names or any(x.id in ("a", "b") or self.scope_for_types.resolve(x) is not None for x in names):
+                    return True
+        return False
 
     @staticmethod
     def _counted(text: str) -> str:
@@ -202,6 +213,9 @@ class Planner:
         if aggregates:
             grouped_in_order = any(k in ("any_value", "array_agg", "plain") for k in self._aggregate_kinds())
         ordered = s.order is not None or s.distinct and s.limit is not None or s.distinct_count or s.limit is not None and not aggregates and s.assignments is None
+        keep = self.options.keep_order and (s.join is not None or s.distinct) and not aggregates
+        ordered = ordered or keep
+        self.sorted_out = keep
         if self.mentions("NR", "aNR", "a.NR") or ordered or grouped_in_order:
             self.a = self.a.with_numbers()
         if self.b and (self.mentions("bNR", "b.NR") or ordered or grouped_in_order):
@@ -462,7 +476,7 @@ class Planner:
             values[unnested] = Value(F.col(f"__o{unnested}"), values[unnested].item)
         places = [c for c in (f"a{NR}", f"b{NR}", "__at") if c in made.columns]
         if any(v.type == "fields" for v in values):  # records of any width
-            parts = [F.col(f"__o{n}") if v.type == "fields" and v.item in ("other", "str") else F.transform(f"__o{n}", lambda x, k=v.item: rendered(x, k)) if v.type == "fields" else F.array(rendered(F.col(f"__o{n}"), v.type)) for n, v in enumerate(values)]
+            parts = [F.col(f"__o{n}") if v.type == "fields" and v.item in ("other", "str") else F.transform(f"__o{n}", _renderer(v.item)) if v.type == "fields" else F.array(rendered(F.col(f"__o{n}"), v.type)) for n, v in enumerate(values)]
             made = made.select(F.concat(*parts).alias(FIELDS), *keys, *places)
             ragged, names = True, [FIELDS]
         else:
@@ -475,7 +489,7 @@ class Planner:
         s = self.stage
         down = s.descending
         order = [F.col(k).desc_nulls_last() if down else F.col(k).asc_nulls_first() for k in [*keys, *places]] if keys else [F.col(p).asc() for p in places]
-        if s.distinct_count or s.distinct and (s.limit is not None or keys):
+        if s.distinct_count or s.distinct and (s.limit is not None or keys or self.sorted_out):
             # the first of equal rows is the one that comes first in the order
             first = F.struct(*(F.col(c) for c in [*keys, *places]))
             picked = (F.max if down and keys else F.min)(first).alias("__first")
@@ -491,7 +505,7 @@ class Planner:
                 made = made.select(*renamed, *keys, *places)
                 names = [f"c{n + 1}" for n in range(len(names) + 1)]
             header = None if header is None else ["count", *header]
-        if keys or (s.limit is not None and places) or s.distinct_count:
+        if keys or (s.limit is not None and places) or s.distinct_count or self.sorted_out:
             made = made.orderBy(*order)
         if s.limit is not None:
             made = made.limit(s.limit)
@@ -500,8 +514,7 @@ class Planner:
     def _field_number(self, name: str) -> int | None:
         node = parse(name)
         if isinstance(node, ast.Name) and (m := re.fullmatch(r"a([1-9][0-9]*)", node.id)):
-            n = int(m.group(1))
-            return n if self.a.ragged or n <= self.a.width else None
+            return int(m.group(1))
         if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name) and node.value.id == "a":
             return self.scope.index("a", node.attr)
         if isinstance(node, ast.Subscript) and isinstance(node.value, ast.Name) and node.value.id == "a" and isinstance(node.slice, ast.Constant):
@@ -643,6 +656,8 @@ class Planner:
             n = self._field_number(name)
             if n is None:
                 raise ParsingError(f'Unable to parse "UPDATE" expression: Unknown field name: "{name}"')
+            if not self.a.ragged and n > self.a.width:
+                raise RuntimeQueryError(f'No "a{n}" field at record 1')
             new[n] = self._value(text)
         if self.a.ragged:
             held = F.col(f"a{FIELDS}")
@@ -651,8 +666,9 @@ class Planner:
                 short = F.size(F.col(f"a{FIELDS}")) < n
                 guard = F.when(short, F.raise_error(F.lit(f'No "a{n}" field at record'))).otherwise(F.lit(None).cast("string"))
                 put = F.coalesce(guard, rendered_or_null(value))
-                held = F.transform(old, lambda x, i, n=n, put=put: F.when(i == n - 1, put).otherwise(x))
+                held = F.transform(old, _put_at(n - 1, put))
                 held = F.when(short, F.array(guard)).otherwise(held)
+            df = df.orderBy(f"a{NR}") if self.sorted_out else df
             made = df.select(F.when(test, held).otherwise(F.col(f"a{FIELDS}")).alias(FIELDS), *([F.col(f"a{NR}").alias(NR)] if self.a.numbered else []))
             return Table(made, self.a.header, True, self.a.numbered, self.warnings)
         cols = []
@@ -668,8 +684,7 @@ class Planner:
                     put = rendered(put, value.type)
                 old = F.when(test, put).otherwise(old)
             cols.append(old.alias(f"c{n}"))
-        if any(n > self.a.width for n in new):
-            raise RuntimeQueryError(f'No "a{max(new)}" field at record 1')
+        df = df.orderBy(f"a{NR}") if self.sorted_out else df
         made = df.select(*cols, *([F.col(f"a{NR}").alias(NR)] if self.a.numbered else []))
         return Table(made, self.a.header, False, self.a.numbered, self.warnings)
 
@@ -691,6 +706,14 @@ def rendered(col: Column, kind: str, item: str = "str", separator: str = "|") ->
     return col.cast("string")
 
 
+def _renderer(kind: str) -> Callable[[Column], Column]:
+    return lambda x: rendered(x, kind)
+
+
+def _put_at(place: int, value: Column) -> Callable[[Column, Column], Column]:
+    return lambda x, i: F.when(i == place, value).otherwise(x)
+
+
 def rendered_or_null(v: Value) -> Column:
     return F.lit(None).cast("string") if v.type == "null" else rendered(v.col, v.type, v.item)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
@@ -24,7 +25,7 @@ class Table:
     header: list[str] | None
     ragged: bool = False
     numbered: bool = False
-    warnings: list[str] = field(default_factory=list)
+    warnings: list[str | Callable[[], list[str]]] = field(default_factory=list)  # a callable looks when asked
 
     @property
     def width(self) -> int:
