@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamql.operators.engine import Options, Planner
+from loamql.operators.engine import Options, Planner, depends_on_order
 from loamql.plans.lexer import ParsingError, QueryError, stages
 from loamql.plans.stage import parse_stage
 from loamql.sinks import writers
@@ -51,8 +51,9 @@ def run(text: str, source: Table | None, find: Finder | None, options: Options)
     """Plan all stages of ``text``; ``find`` looks tables up by name and the stage's modifier."""
     current = source
     table = None
-    for n, parts in enumerate(stages(text)):
-        stage = parse_stage(parts, with_from=current is None)
+    plans = [parse_stage(parts, with_from=source is None and n == 0) for n, parts in enumerate(stages(text))]
+    for n, stage in enumerate(plans):
+        options.sort_stages = any(depends_on_order(later) for later in plans[n + 1 :])
         if current is None:
             if stage.source is None:
                 raise ParsingError('Queries without context-based input table must contain "FROM" statement')

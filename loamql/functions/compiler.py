@@ -2,7 +2,8 @@
 
 An expression's syntax tree is lowered to a column with a static type where the meaning is the same;
 where it isn't, ``Unsupported`` says why and the caller evaluates the expression in Python workers.
-Types: str, int, float, bool, null, list, json (a VARIANT), time, other.
+Types: str, int, float, bool, null, list, json (a VARIANT), time, match (of a regular expression: only
+whether there is one), other.
 """
 
 from __future__ import annotations
@@ -115,11 +116,24 @@ class Compiler:
             return ~self.truth(node.operand)
         return self.is_true(self.value(node))
 
+    def condition(self, node: ast.expr) -> Column:
+        """``truth`` where null may stand for false, so that plain comparisons reach the scan."""
+        if isinstance(node, ast.BoolOp):
+            parts = [self.condition(v) for v in node.values]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out & p if isinstance(node.op, ast.And) else out | p
+            return out
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            return ~self.truth(node.operand)
+        v = self.value(node)
+        return v.col if v.type == "bool" else self.is_true(v)
+
     @staticmethod
     def is_true(v: Value) -> Column:
         if v.type == "null":
             return F.lit(False)
-        if v.type == "bool":
+        if v.type in ("bool", "match"):
             return F.coalesce(v.col, F.lit(False))
         if v.type in ("int", "float"):
             return F.coalesce(v.col != 0, F.lit(False))
@@ -251,7 +265,7 @@ class Compiler:
             positive = isinstance(op, (ast.Is, ast.Eq))
             if "null" in (left.type, right.type):
                 other = right if left.type == "null" else left
-                same = F.lit(True) if other.type == "null" else other.col.isNull()
+                same = ~other.col if other.type == "match" else F.lit(True) if other.type == "null" else other.col.isNull()
             elif isinstance(op, (ast.Is, ast.IsNot)) and "bool" not in (left.type, right.type):
                 raise Unsupported("identity")
             elif left.number and right.number:
@@ -466,8 +480,6 @@ class Compiler:
             return STR_METHODS[name, len(args)](on, *args)
         if on.type == "str" and name == "join" and len(args) == 1 and args[0].type == "list" and args[0].item == "str":
             return Value(F.array_join(args[0].col, on.const) if isinstance(on.const, str) else F.call_function("array_join", args[0].col, on.col), "str")
-        if on.type == "str" and name in ("zfill",) and len(args) == 1 and isinstance(args[0].const, int):
-            return Value(F.when(F.length(on.col) >= args[0].const, on.col).otherwise(F.lpad(on.col, args[0].const, "0")), "str")
         if on.type == "str" and name == "get":
             raise Unsupported("get")
         if on.type == "json" and name == "get" and args and isinstance(args[0].const, str) and len(args) == 1:
@@ -704,7 +716,7 @@ def _regex(kind: str) -> Callable[[Compiler, list[Value]], Value]:
                 raise Unsupported("groups in re.findall")
             return Value(F.regexp_extract_all(args[1].col, F.lit(pattern), F.lit(0)), "list", "str")
         pattern = {"match": f"^(?:{pattern})", "search": pattern, "fullmatch": f"^(?:{pattern})\\z"}[kind]
-        return Value(F.coalesce(args[1].col.rlike(pattern), F.lit(False)), "bool")
+        return Value(F.coalesce(args[1].col.rlike(pattern), F.lit(False)), "match")
 
     return call
 

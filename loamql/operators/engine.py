@@ -41,6 +41,7 @@ class Options:
     init_source: str = ""
     user: dict[str, object] = field(default_factory=dict)
     allow_python: bool = True
+    sort_stages: bool = False  # set for a stage when a later one depends on the order of its rows
     keep_order: bool = False  # rows come out in input order also behind a join or DISTINCT
     strict_nulls: bool = False  # nulls in MIN, MAX, SUM, AVG, VARIANCE and MEDIAN are errors
     python_expressions: list[str] = field(default_factory=list)  # filled: those that aren't columns
@@ -136,6 +137,13 @@ class Scope:
         return None
 
 
+def depends_on_order(stage: Stage) -> bool:
+    """Whether a stage's result depends on the order of its input's rows."""
+    texts = [i.text for i in stage.items] + [e for _, e in stage.assignments or []] + [stage.where or "", *(stage.group or []), *(stage.order or [])]
+    marks = r"(?<![\w.])(a?NR|a\.NR|ANY_VALUE|any_value|Any_value|ARRAY_AGG|array_agg)\b|\ba\.NR\b"
+    return bool(stage.order or stage.distinct or stage.limit is not None and not stage.group) or any(re.search(marks, t) for t in texts) or bool(stage.join and any("NR" in x for p in stage.join.pairs for x in p))
+
+
 class Planner:
     """Plans one stage."""
 
@@ -213,7 +221,7 @@ class Planner:
         if aggregates:
             grouped_in_order = any(k in ("any_value", "array_agg", "plain") for k in self._aggregate_kinds())
         ordered = s.order is not None or s.distinct and s.limit is not None or s.distinct_count or s.limit is not None and not aggregates and s.assignments is None
-        keep = self.options.keep_order and (s.join is not None or s.distinct) and not aggregates
+        keep = (self.options.sort_stages or self.options.keep_order and (s.join is not None or s.distinct)) and not aggregates
         ordered = ordered or keep
         self.sorted_out = keep
         if self.mentions("NR", "aNR", "a.NR") or ordered or grouped_in_order:
@@ -227,7 +235,7 @@ class Planner:
         if s.assignments is not None:
             return self._update(df)
         if s.where:
-            df = df.filter(self._truth(s.where))
+            df = df.filter(self._truth(s.where, filtering=True))
         return self._aggregate(df) if aggregates else self._select(df)
 
     def _aggregate_kinds(self) -> list[str]:
@@ -259,14 +267,18 @@ class Planner:
     def _value(self, text: str, node: ast.expr | None = None) -> Value:
         node = node if node is not None else parse(text)
         try:
-            return Compiler(self.scope.resolve).value(node)
+            value = Compiler(self.scope.resolve).value(node)
+            if value.type == "match":
+                raise Unsupported("a match as a value")
+            return value
         except Unsupported as why:
             return self._in_python(ast.unparse(node), node, str(why))
 
-    def _truth(self, text: str) -> Column:
+    def _truth(self, text: str, filtering: bool = False) -> Column:
         node = parse(text)
         try:
-            return Compiler(self.scope.resolve).truth(node)
+            compiler = Compiler(self.scope.resolve)
+            return compiler.condition(node) if filtering else compiler.truth(node)
         except Unsupported as why:
             test = ast.parse(f"bool({ast.unparse(node)})", mode="eval").body
             return F.coalesce(self._in_python(ast.unparse(test), test, str(why), T.BooleanType()).col, F.lit(False))
