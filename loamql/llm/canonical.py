@@ -67,7 +67,7 @@ def edits(a: str, b: str, most: int) -> int:
         if min(now) > most:
             return most + 1
         before, row = row, now
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 def allowed(length: int) -> int:

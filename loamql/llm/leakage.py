@@ -55,6 +55,8 @@ class Folder:
     def _code(self, point: int) -> int:
         ch = chr(point)
         kind = unicodedata.category(ch)
+        if point == 0x0640:  # the Arabic stretching mark
+            return 0
         if kind[0] == "L":
             if 0xAC00 <= point < 0xD7A4:
                 return point
@@ -180,7 +182,8 @@ class Items:
 
 
 def _align(items: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which places of each item are matched in the best banded local alignment with its document.
+    """The column of ``docs`` that each place of each item is matched with in the best banded local
+    alignment, -1 where it isn't.
 
     Row r of ``items`` holds an item's codes, -1 behind its end; row r of ``docs`` the document's codes
     from the band's first diagonal on, as many as an item's row and 2 * REACH more.
@@ -214,13 +217,14 @@ def _align(items: np.ndarray, docs: np.ndarray) -> np.ndarray:
         best = np.where(better, value, best)
         best_row[better] = i
         best_col[better] = top[better]
-    matched = np.zeros((n, m), bool)
+    matched = np.full((n, m), -1, np.int32)
     i, j = best_row, best_col
     rows = np.flatnonzero(best > 0)
     while len(rows):
         step = steps[i[rows], rows, j[rows]]
         rows, step = rows[step > 0], step[step > 0]
-        matched[rows[step == 1], i[rows[step == 1]]] = True
+        same = rows[step == 1]
+        matched[same, i[same]] = i[same] + j[same]
         go = rows[step <= 2]
         i[go] -= 1
         go = rows[step == 3]
@@ -242,6 +246,33 @@ def _long_run(good: np.ndarray, least: int) -> bool:
     return bool((ahead[least:] <= value[: n + 1 - least]).any())
 
 
+def _whole_words(codes: np.ndarray, words: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which words of an item the alignment holds whole.
+
+    Beside an altered word an alignment may give letters of its neighbour away; so a word that isn't
+    matched whole counts as whole if it stands, as it is, between the nearest words that are, or close
+    to the only one.
+    """
+    sizes = np.bincount(words)
+    good = np.bincount(words, weights=at >= 0) == sizes
+    ends = np.cumsum(sizes)
+    sure = np.flatnonzero(good)
+    if not len(sure):
+        return good
+    for w in np.flatnonzero(~good):
+        k = int(np.searchsorted(sure, w))
+        low = int(at[ends[sure[k - 1]] - 1]) + 1 if k else 0
+        high = int(at[ends[sure[k]] - sizes[sure[k]]]) if k < len(sure) else len(doc)
+        if not k:
+            low = max(low, high - int(sizes[w]) - REACH // 2)
+        elif k == len(sure):
+            high = min(high, low + int(sizes[w]) + REACH // 2)
+        piece, word = doc[low:high].tolist(), codes[ends[w] - sizes[w] : ends[w]].tolist()
+        if any(piece[x : x + len(word)] == word for x in range(len(piece) - len(word) + 1)):
+            good[w] = True
+    return good
+
+
 class Finder:
     """Looks for one block of items in batches of texts."""
 
@@ -304,11 +335,11 @@ class Finder:
                     rows[r, lo - (d - REACH) : hi - (d - REACH)] = codes[lo:hi]
             matched = _align(own, rows)
             for r, (n, p, _) in enumerate(part):
-                good = matched[r, : len(self.items.codes[n])]
+                at = matched[r, : len(self.items.codes[n])]
                 if self.items.spaced[n]:
-                    ok = _long_run(np.bincount(self.items.words[n], weights=~good) == 0, FOUND_WORDS)
+                    ok = _long_run(_whole_words(self.items.codes[n], self.items.words[n], at, rows[r]), FOUND_WORDS)
                 else:
-                    ok = _long_run(good, FOUND_LETTERS)
+                    ok = _long_run(at >= 0, FOUND_LETTERS)
                 if ok:
                     pairs.add((int(owner[p]), self.items.ids[n]))
         return sorted(pairs)

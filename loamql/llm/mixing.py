@@ -81,7 +81,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: Column | None = None, bucke
     sums = sums.select("source", "bucket", "bucket_tokens", (upto - F.col("bucket_tokens")).alias("before"), held.alias("available"))
     goals = targets.select("source", "target_share", "max_repeats").crossJoin(F.broadcast(all_tokens)).withColumn("budget", F.floor(F.col("target_share") * F.col("all_tokens")).cast("long"))
     plan = sums.join(goals, "source")
-    plan = plan.withColumn("epochs", F.least(F.floor(F.col("budget") / F.col("available")), F.col("max_repeats")).cast("int"))
+    plan = plan.withColumn("epochs", F.least(F.floor(F.try_divide("budget", "available")), F.col("max_repeats")).cast("int"))
     rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(F.lit(0))
     plan = plan.withColumn("rest", rest)
     whole = F.col("before") + F.col("bucket_tokens") <= F.col("rest")
@@ -100,7 +100,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: Column | None = None, bucke
     mixed = used.agg(F.sum("used_tokens").alias("mixed_tokens"))  # one row
     report = report.crossJoin(F.broadcast(mixed)).select(
         "source", "target_share", "max_repeats", F.col("budget").alias("target_tokens"), "available_tokens", "n_documents", "most_copies", "used_tokens",
-        (F.col("used_tokens") / F.col("all_tokens")).alias("share_of_all"), (F.col("used_tokens") / F.col("mixed_tokens")).alias("share_of_mix"),
+        F.coalesce(F.try_divide("used_tokens", "all_tokens"), F.lit(0.0)).alias("share_of_all"), F.coalesce(F.try_divide("used_tokens", "mixed_tokens"), F.lit(0.0)).alias("share_of_mix"),
         (F.col("budget") - F.col("used_tokens")).alias("shortfall_tokens"),
     )
     return picks, report

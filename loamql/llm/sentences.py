@@ -28,6 +28,8 @@ m mm mme mmes mlle mlles me mgr al t env av apr chap éd n° num vol
 د م أ ص ج ت ق هـ
 ดร ศ ผศ รศ ม พ.ศ ค.ศ น.ส
 """.split()
+# abbreviations only before a number, else words that may end a sentence
+NUMBERED = set("no nos art arts para paras sec secs fig figs ch vol vols mar dec jan sept ed eds ms gen rev sog hon is p pp n n°".split())
 LOOSE = "etc usw ff f suiv a.m p.m jr sr inc ltd co corp bros u.s.w т.д т.п др пр г гг в вв н.э usf".split()
 
 TERMINATORS = ".!?…。！？｡．।॥؟۔"
@@ -41,7 +43,7 @@ INVISIBLE = "­​‌‍‎‏⁠﻿"
 ORDINAL_AFTER = {"am", "zur", "zum", "der", "die", "das", "dem", "den", "des", "vom", "im", "beim", "ab", "seit", "dritter"}
 PARTICLES = "とってっ"  # after a quotation these carry the sentence on
 
-_BLANK_LINE = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*|[ \x0c]\s*")
+_BLANK_LINE = re.compile("(?:\r\n|\n|\r)[^\\S\r\n]*(?:\r\n|\n|\r)\\s*|\u2029\\s*")
 _MARKS = re.compile(r"[.…．]+|[!?。！？｡।॥؟۔]|[\"()\[\]{}（）［］〔〕【】「」『』«»‹›《》〈〉„“”]")
 _THAI_MARKS = re.compile(_MARKS.pattern + r"|\s+")
 _THAI = re.compile("[ก-๎]")
@@ -144,7 +146,7 @@ def _dot_ends(text: str, dot: int, after: int, end: int, start: int) -> bool:
             return False
         return not nxt.isdigit()
     if _BOUND.ends_at(text, dot) >= 0:
-        return False
+        return word.lower() in NUMBERED and not nxt.isdigit() and word.islower()
     if len(word) == 1 and word.isalpha():  # an initial
         return False
     if len(word) == 1 and dot - 2 >= start and text[dot - 2] == ".":
