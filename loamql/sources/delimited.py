@@ -21,7 +21,7 @@ POLICIES = ("simple", "quoted", "quoted_rfc", "whitespace", "monocolumn")
 NAMED_FORMATS = {"csv": (",", "quoted"), "tsv": ("\t", "simple"), "monocolumn": ("", "monocolumn")}
 ENCODINGS = {"utf-8": "utf-8", "utf8": "utf-8", "latin-1": "latin-1", "latin1": "latin-1", "iso-8859-1": "latin-1"}
 BLOCK_LINES_BITS = 16
-BOM = "﻿"
+BOM = b"\xef\xbb\xbf"  # the reader drops it, under any encoding
 
 
 def default_policy(delim: str) -> str:
@@ -94,6 +94,19 @@ def _lines(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
     return df
 
 
+def _begins_with(spark: SparkSession, lines: DataFrame, mark: bytes) -> bool:
+    """Whether the first file begins with these bytes."""
+    files = lines.inputFiles()
+    if not files:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return bytes(b & 0xFF for b in (stream.read() for _ in range(len(mark))) if b >= 0) == mark
+    finally:
+        stream.close()
+
+
 def _records(lines: DataFrame, comment: Column) -> DataFrame:
     """(value, __nr) of each record of ``quoted_rfc`` lines; a comment counts only between records.
 
@@ -145,11 +158,7 @@ def read_delimited(
         has_header = False
     lines = _lines(spark, path, encoding)
     warnings: list[str | Callable[[], list[str]]] = []
-    first = lines.head(1)
-    marks = (BOM, "ï»¿")
-    if first and first[0][0].startswith(marks):
-        # only the first line of a file may begin so
-        lines = lines.select(F.regexp_replace("value", f"^(?:{BOM}|ï»¿)", "").alias("value"))
+    if _begins_with(spark, lines, BOM):
         warnings.append(f"UTF-8 Byte Order Mark (BOM) was found and skipped in {table_name} table")
     value = F.col("value")
     comment = F.lit(False)

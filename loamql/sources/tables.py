@@ -50,36 +50,54 @@ class Table:
 def number(df: DataFrame) -> DataFrame:
     """``df`` with ``__nr`` from 1, in the order of its files and the rows in them.
 
-    Rows read from Parquet have their place in the file; any other frame is written to the shared
-    folder first, in its order, and numbered by its place there. Row counts of the files before are
-    added by a small table, one row per file.
+    * Rows straight from Parquet have their place in the file; with several files the row counts of
+      those before are added, from a table of one row per file.
+    * Other rows that only come through projections and filters of a single file's scan keep its
+      order: their place in the task is dense, and the row counts of the tasks before are added, from a
+      table of one row per task. Both passes cut the file alike.
+    * Any other frame is written to the shared folder first, in its order.
     """
-    try:
+    nodes = _linear(df)
+    if nodes is not None and "Filter" not in nodes and "parquet" in nodes:
         placed = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-        placed.schema
-        df.select("_metadata.row_index").schema
-    except AnalysisException:
-        df = pin(df)
-        placed = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-    if _plain_scan(df) and len(df.inputFiles()) == 1:
-        return placed.withColumn(NR, F.col("__row") + 1).drop("__path", "__row")
-    if not _plain_scan(df):  # rows were dropped since the scan, so that places aren't dense
-        df = pin(df)
-        return number(df)
-    files = df.select(F.col("_metadata.file_path").alias("__path")).groupBy("__path").agg(F.count(F.lit(1)).alias("__n"))
-    before = files.select("__path", (F.sum("__n").over(Window.orderBy("__path")) - F.col("__n")).alias("__before"))
-    return placed.join(before, "__path").withColumn(NR, F.col("__before") + F.col("__row") + 1).drop("__path", "__row", "__before")
-
-
-def _plain_scan(df: DataFrame) -> bool:
+        if len(df.inputFiles()) == 1:
+            return placed.withColumn(NR, F.col("__row") + 1).drop("__path", "__row")
+        files = df.select(F.col("_metadata.file_path").alias("__path")).groupBy("__path").agg(F.count(F.lit(1)).alias("__n"))
+        before = files.select("__path", (F.sum("__n").over(Window.orderBy("__path")) - F.col("__n")).alias("__before"))
+        return placed.join(before, "__path").withColumn(NR, F.col("__before") + F.col("__row") + 1).drop("__path", "__row", "__before")
+    if nodes is not None and len(df.inputFiles()) == 1:
+        placed = df.withColumn("__place", F.monotonically_increasing_id())
+        task, within = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+        if df.rdd.getNumPartitions() == 1:
+            return placed.withColumn(NR, F.col("__place") + 1).drop("__place")
+        tasks = df.select(F.spark_partition_id().cast("long").alias("__task")).groupBy("__task").agg(F.count(F.lit(1)).alias("__n"))
+        before = tasks.select("__task", (F.sum("__n").over(Window.orderBy("__task")) - F.col("__n")).alias("__before"))
+        placed = placed.withColumn("__task", task).withColumn("__within", within)
+        return placed.join(before, "__task").withColumn(NR, F.col("__before") + F.col("__within") + 1).drop("__place", "__task", "__within", "__before")
+    return number(pin(df))
+
+
+def _linear(df: DataFrame) -> set[str] | None:
+    """The kinds of nodes of a plan that only projects and filters one scan of files, with the scan's
+    format; None for any other plan. Projections that hide the scan's columns count as filters."""
+    kinds: set[str] = set()
     plan = df._jdf.queryExecution().analyzed()
     while True:
         name = plan.nodeName()
         if name == "LogicalRelation":
-            return True
-        if name not in ("Project", "SubqueryAlias", "View"):
-            return False
+            relation = plan.relation().toString().lower()
+            kinds.add("parquet" if relation.startswith("parquet") or "parquet" in str(plan.toString()).lower().split("relation")[-1] else "other")
+            break
+        if name not in ("Project", "Filter", "SubqueryAlias", "View"):
+            return None
+        kinds.add(name)
         plan = plan.children().apply(0)
+    if "parquet" in kinds and "Filter" not in kinds:
+        try:
+            df.select("_metadata.row_index").schema
+        except AnalysisException:
+            kinds.add("Filter")
+    return kinds
 
 
 def from_frame(df: DataFrame, header: list[str] | None = None, numbers: str | None = None) -> Table:
