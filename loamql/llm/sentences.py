@@ -64,21 +64,21 @@ class Trie:
                 node = node.setdefault(ch, {})
             node["$"] = True
 
-    def ends_at(self, text: str, end: int) -> int:
-        """The start of the longest abbreviation that ends before ``end``, blanks after inner dots
-        allowed, or -1."""
+    def ends_at(self, text: str, end: int, floor: int = 0) -> int:
+        """The start of the longest abbreviation that ends before ``end`` and begins at or behind
+        ``floor``, blanks after inner dots allowed, or -1."""
         node, at, found = self.root, end, -1
-        while at > 0:
+        while at > floor:
             ch = text[at - 1].lower()
             if ch not in node:
                 # "т. д." is "т.д." with a blank
-                if ch.isspace() and "." in node and at > 1 and text[at - 2] == ".":
+                if ch.isspace() and "." in node and at > floor + 1 and text[at - 2] == ".":
                     at -= 1
                     continue
                 break
             node = node[ch]
             at -= 1
-            if "$" in node and (at == 0 or not (text[at - 1].isalnum() or text[at - 1] in ".-")):
+            if "$" in node and (at == floor or not (text[at - 1].isalnum() or text[at - 1] in ".-")):
                 found = at
         return found
 
@@ -137,7 +137,7 @@ def _dot_ends(text: str, dot: int, after: int, end: int, start: int) -> bool:
             if before and before.group().lower() in ORDINAL_AFTER:
                 return False
         return True
-    loose = _LOOSE.ends_at(text, dot)
+    loose = _LOOSE.ends_at(text, dot, start)
     if loose >= 0:
         ahead = _past_brackets(text, after, end)
         if ahead < end and text[ahead].islower():
@@ -145,7 +145,7 @@ def _dot_ends(text: str, dot: int, after: int, end: int, start: int) -> bool:
         if word in ("г", "в", "f") and not re.search(r"\d\s*$", text[max(start, loose - 6) : loose]):
             return False
         return not nxt.isdigit()
-    if _BOUND.ends_at(text, dot) >= 0:
+    if _BOUND.ends_at(text, dot, start) >= 0:
         return word.lower() in NUMBERED and not nxt.isdigit() and word.islower()
     if len(word) == 1 and word.isalpha():  # an initial
         return False
@@ -197,11 +197,11 @@ def _label_end(text: str) -> int:
         return 0
     for dot in re.finditer(r"[.…]+", head):
         at = start + dot.start()
-        if len(dot.group()) > 1 or _BOUND.ends_at(text, at) < 0 and not (at - 1 >= start and text[at - 1].isalpha() and (at - 2 < start or not text[at - 2].isalnum())):
+        if len(dot.group()) > 1 or _BOUND.ends_at(text, at, start) < 0 and not (at - 1 >= start and text[at - 1].isalpha() and (at - 2 < start or not text[at - 2].isalnum())):
             return 0
     follows = _next_place(text, found.end(), len(text))
     named = head[-1] in ")]）］"
-    titled = _BOUND.ends_at(text, start + head.find(".")) >= 0 if "." in head else False
+    titled = _BOUND.ends_at(text, start + head.find("."), start) >= 0 if "." in head else False
     if follows < len(text) and text[follows] in _QUOTES and not (named or titled):
         return 0
     return found.end()

@@ -116,6 +116,7 @@ def test_layout():
     assert texts('Torxa told us: "No. Never."') == ['Torxa told us: "No. Never."']
     assert texts("Item 34: Bill") == ["Item 34: Bill"]
     assert texts("It fell in 1922.The House met.We left.") == ["It fell in 1922.", "The House met.", "We left."]
+    assert texts("They met.Mr. Ode left.Dr.\nBega spoke.") == ["They met.", "Mr. Ode left.", "Dr.\nBega spoke."]
     assert texts('He said "no. It') == ['He said "no.', "It"]
     assert texts("(a b") == ["(a b"] and texts("...") == ["..."] and texts("a.b.c d. e") == ["a.b.c d. e"]
 
