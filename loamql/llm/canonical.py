@@ -31,6 +31,7 @@ THRESHOLD = 0.15  # least cosine of cores
 MARGIN = 0.02  # least distance to the next entry
 CORE_SHARE = 0.8  # of the score; the rest is the cosine of the whole name
 BLOCK_ENTRIES = 20_000  # entries of the reference list that one index holds
+EDIT_COST = 0.04  # what each edit takes off an accepted candidate's score
 CANDIDATES = 8  # of the best cosines that are looked at for the margin and the edit check
 
 # Words for the form of state, and what stands for them.
@@ -48,6 +49,7 @@ DIGITS = str.maketrans("013457", "olesat")
 _LATIN, _CYRILLIC = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ѐ-ӿ]")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _PARTS = re.compile(r"[/()\[\]{}|:：（）［］]|\s[-–—]\s")
+_REPEATED = re.compile(r"(.)\1+")
 _WORDS = re.compile(r"[^\W_]+(?:[̀-ͯऀ-ॿ่-๎]*[^\W_]*)*|[&+]")
 
 
@@ -102,7 +104,7 @@ def _form(word: str) -> str | None:
         return FORM_SHORT[word]
     for known in FORM_WORDS:
         most = 0 if len(known) < 4 or len(word) < 4 else 1 if len(known) < 6 else 2
-        if edits(word, known, most) <= most:
+        if edits(word, known, most) <= most or most and squeezed(word) == known:
             return known
     return "of" if word in ("off", "oof", "og", "od", "pf", "if", "fo", "0f", "o", "f", "ov", "oo", "iof", "ofn") else None
 
@@ -143,12 +145,18 @@ def skeleton(text: str) -> str:
     return text.replace("i", "l")
 
 
+def squeezed(text: str) -> str:
+    return _REPEATED.sub(r"\1", text)
+
+
 def misspelt(a: str, b: str, most: int) -> int:
-    """The edits between two names, "rn" for "m" and "vv" for "w" counting as none."""
-    if "rn" in a or "rn" in b or "vv" in a or "vv" in b:
-        folded = edits(a.replace("rn", "m").replace("vv", "w"), b.replace("rn", "m").replace("vv", "w"), most)
-        return min(folded, edits(a, b, most))
-    return edits(a, b, most)
+    """The edits between two names; "rn" for "m", "vv" for "w" and doubled letters count as none."""
+    best = edits(a, b, most)
+    if best and ("rn" in a or "rn" in b or "vv" in a or "vv" in b):
+        best = min(best, edits(a.replace("rn", "m").replace("vv", "w"), b.replace("rn", "m").replace("vv", "w"), most))
+    if best > 1 and _REPEATED.search(a):
+        best = min(best, edits(squeezed(a), squeezed(b), most))
+    return best
 
 
 def readings(value: str) -> list[str]:
@@ -229,9 +237,10 @@ class Index:
                     continue
                 mine = skeleton(self.reading[n].core)
                 most = allowed(len(mine))
-                if misspelt(core, mine, most) <= most:
+                off = misspelt(core, mine, most)
+                if off <= most:
                     hit = True
-                    found[self.entry[n]] = max(found.get(self.entry[n], 0.0), float(score[n]))
+                    found[self.entry[n]] = max(found.get(self.entry[n], 0.0), float(score[n]) - EDIT_COST * off)
             if not hit:  # blanks are missing, or a word for the form is beyond recognition
                 tight = skeleton("".join(_letters(w) for w in _WORDS.findall(reading.text)))
                 cos = self.cosines(2, tight)
@@ -240,7 +249,7 @@ class Index:
                     most = 0 if len(mine) < 10 or len(self.reading[n].core) < 6 else 2 if len(mine) < 20 else 3
                     off = misspelt(tight, mine, most)
                     if most and off <= most:
-                        found[self.entry[n]] = max(found.get(self.entry[n], 0.0), float(cos[n]) - 0.05 * off)
+                        found[self.entry[n]] = max(found.get(self.entry[n], 0.0), float(cos[n]) - EDIT_COST * off)
         return sorted(((s, i) for i, s in found.items()), key=lambda x: (-x[0], x[1]))[:2]
 
 
