@@ -31,7 +31,7 @@ THRESHOLD = 0.15  # least cosine of cores
 MARGIN = 0.02  # least distance to the next entry
 CORE_SHARE = 0.8  # of the score; the rest is the cosine of the whole name
 BLOCK_ENTRIES = 20_000  # entries of the reference list that one index holds
-EDIT_COST = 0.04  # what each edit takes off an accepted candidate's score
+EDIT_COST = 0.1  # what each edit takes off an accepted candidate's score
 CANDIDATES = 8  # of the best cosines that are looked at for the margin and the edit check
 
 # Words for the form of state, and what stands for them.
@@ -131,7 +131,10 @@ class Reading:
             if form:
                 forms += form.split()
             else:
-                core.append(OTHER_SHORT.get(word, word))
+                word = OTHER_SHORT.get(word, word)
+                if not core and n + 1 < len(words):  # a misspelt "new" or "north" before the name
+                    word = "new" if 1 < len(word) < 5 and edits(word, "new", 1) <= 1 else "north" if 3 < len(word) < 8 and edits(word, "north", 1) <= 1 else word
+                core.append(word)
         forms = [f for f in forms if f not in ("of", "the")]
         if not core:  # a name made of such words only
             core, forms = words, []
