@@ -13,6 +13,7 @@ Rows are put into one total order by key, without moving a key into one task:
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +23,29 @@ BLOCK_ROWS_BITS = 18  # rows of one input file that count as one block: 2**18
 CHUNK_ROWS = 65_536
 
 
+def _places(df: DataFrame) -> list[Column]:
+    """The file and row of each row, where ``df`` is read from files; else none."""
+    try:
+        cols = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row")]
+        df.select(*cols).schema
+    except AnalysisException:
+        return []
+    return cols
+
+
 def with_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``df`` with ``__block`` and ``__row``, a stable place of each row in the input.
 
     A frame that is read from files uses the file's name and row index; any other is written to the
     shared folder first, as its rows have no stable place of their own.
     """
-    try:
-        placed = df.select(*columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-        placed.schema
-    except Exception:  # noqa: BLE001 - the frame has no file metadata
-        placed = pin(df.select(*columns)).select(*columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    if "__path" in df.columns and "__row" in df.columns:  # placed before
+        placed = df.select(*columns, "__path", "__row")
+    elif places := _places(df):
+        placed = df.select(*columns, *places)
+    else:
+        pinned = pin(df.select(*columns))
+        placed = pinned.select(*columns, *_places(pinned))
     block = F.xxhash64(F.col("__path"), F.shiftright("__row", BLOCK_ROWS_BITS))
     return placed.withColumn("__block", block).drop("__path")
 
@@ -86,10 +99,11 @@ def key_counts(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFra
 
     An empty table gives no row.
     """
-    states = chunked(df, [key], chunk_rows=chunk_rows).groupBy("__chunk", key).agg(F.count(F.lit(1)).alias("n"))
-    merged = states.groupBy(key).agg(F.sum("n").alias("n"))
+    named = df.withColumnRenamed(key, "__key")
+    states = chunked(named, ["__key"], chunk_rows=chunk_rows).groupBy("__chunk", "__key").agg(F.count(F.lit(1)).alias("n"))
+    merged = states.groupBy("__key").agg(F.sum("n").alias("n"))
     total = merged.agg(F.sum("n").alias("total"))  # one row
-    return merged.crossJoin(F.broadcast(total))
+    return merged.crossJoin(F.broadcast(total)).select(F.col("__key").alias(key), "n", "total")
 
 
 def key_summary(df: DataFrame, key: str, member: str, measures: dict[str, Column], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -97,25 +111,29 @@ def key_summary(df: DataFrame, key: str, member: str, measures: dict[str, Column
 
     ``measures`` maps a result's name to the expression that is summed; a null adds nothing, and a
     key without a value sums to null. Rows are ordered by (key, member), so a chunk sees each member
-    as one run; a member that goes on from the chunk before is counted there only.
+    as one run; a member that goes on from the chunk before is counted there only. Other columns of
+    ``df``, whatever their names, don't matter; an empty table gives no row.
     """
-    prepared = df.select("*", *(e.alias(f"__m_{name}") for name, e in measures.items()))
-    sums = [f"__m_{name}" for name in measures]
-    rows = chunked(prepared, [key, member], sums, chunk_rows)
-    runs = rows.groupBy("__chunk", key, member).agg(F.count(F.lit(1)).alias("n"), *(F.sum(s).alias(s) for s in sums))
-    states = runs.groupBy("__chunk", key).agg(
-        F.sum("n").alias("n"), F.count(member).alias("members"), F.min(member).alias("first"), F.max(member).alias("last"), *(F.sum(s).alias(s) for s in sums)
+    sums = [f"__m{n}" for n in range(len(measures))]
+    named = df.select(*(e.alias(s) for e, s in zip(measures.values(), sums)), F.col(key).alias("__key"), F.col(member).alias("__member"), *_places(df))
+    rows = chunked(named, ["__key", "__member"], sums, chunk_rows)
+    runs = rows.groupBy("__chunk", "__key", "__member").agg(F.count(F.lit(1)).alias("n"), *(F.sum(s).alias(s) for s in sums))
+    states = runs.groupBy("__chunk", "__key").agg(
+        F.sum("n").alias("n"), F.count("__member").alias("members"), F.min("__member").alias("first"), F.max("__member").alias("last"), *(F.sum(s).alias(s) for s in sums)
     )
     # states of one key: at most its rows / chunk_rows + 2
-    before = F.max("last").over(Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("last").over(Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
     cut = F.when(before.isNotNull() & (before == F.col("first")), 1).otherwise(0)
-    return (
+    merged = (
         states.withColumn("members", F.col("members") - cut)
-        .groupBy(key)
-        .agg(F.sum("n").alias("n"), F.sum("members").alias("n_members"), *(F.sum(s).alias(s[4:]) for s in sums))
+        .groupBy("__key")
+        .agg(F.sum("n").alias("n"), F.sum("members").alias("n_members"), *(F.sum(s).alias(s) for s in sums))
     )
+    return merged.select(F.col("__key").alias(key), "n", "n_members", *(F.col(s).alias(name) for s, name in zip(sums, measures)))
 
 
 def heavy_keys(df: DataFrame, key: str, percent: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(key, n, total) of the non-null keys that at least ``percent`` of all rows hold."""
-    return key_counts(df, key, chunk_rows).filter(F.col(key).isNotNull() & (F.col("n") * 100 >= F.col("total") * F.lit(percent)))
+    named = key_counts(df.withColumnRenamed(key, "__heavy"), "__heavy", chunk_rows)
+    found = named.filter(F.col("__heavy").isNotNull() & (F.col("n") * 100 >= F.col("total") * F.lit(percent)))
+    return found.select(F.col("__heavy").alias(key), "n", "total")

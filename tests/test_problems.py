@@ -130,6 +130,13 @@ def test_chunks_give_what_a_plain_group_by_gives(spark, tmp_path, chunk):
         assert sorted(map(str, got.select("country", "n", "n_members", "total").collect())) == sorted(map(str, want.collect()))
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", None)], "n string, total string, last bigint")
+    got = keychunks.key_summary(df, "n", "total", {"s": F.col("last")}).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 2, 2, 3), ("b", 1, 1, None)]
+    assert sorted(tuple(r) for r in keychunks.heavy_keys(df, "n", 50).collect()) == [("a", 2, 3)]
+
+
 def test_numbering_is_dense_ordered_and_chunks_are_equal(spark):
     df = spark.createDataFrame(KEYED, "country string, name string, score double")
     rows = keychunks.chunked(df, ["country", "name"], chunk_rows=10).orderBy("__pos").collect()
