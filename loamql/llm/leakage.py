@@ -35,7 +35,7 @@ Q_SPACED, Q_UNSPACED = 8, 5
 BAND = 64  # diagonals of a band; the next begins half a band on
 REACH = 48  # diagonals to either side in the alignment
 BATCH_CHARS = 3_000_000
-BLOCK_ITEMS = 4_000  # items that one pass over the documents looks for
+BLOCK_ITEMS, BLOCK_CHARS = 4_000, 4_000_000  # items, and their characters, that one pass over the documents looks for
 LONG_REMARK = 60
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -348,10 +348,11 @@ class Finder:
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of each document and item of which the document holds a passage.
 
-    The items are the query set: they are taken in blocks of BLOCK_ITEMS, each looked for in one pass
-    over all documents; no document leaves its task.
+    The items are the query set: they are taken in blocks of about BLOCK_ITEMS or BLOCK_CHARS, each
+    looked for in one pass over all documents; no document leaves its task.
     """
-    n_blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n_blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
     parts = []
     for b in range(n_blocks):
         held = items.select("item_id", "text")

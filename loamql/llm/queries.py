@@ -42,6 +42,21 @@ def p4_percentiles_checked(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.region_percentiles_checked(table(spark, folder, "country_stats"))
 
 
+def p4_error_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each answer is within the stated rank error, beside the number of values it stands for."""
+    return p4_percentiles_checked(spark, folder).select("region", "field", "n", "share", "within")
+
+
+P4_BOUND_SQL = """
+WITH once AS (SELECT DISTINCT feed_id, country_id, snapshot_day, upper(trim(regexp_replace(region, '\\s+', ' ', 'g'))) AS region, gdp_per_capita, population
+              FROM country_stats),
+     long AS (SELECT region, 'gdp_per_capita' AS field FROM once WHERE gdp_per_capita BETWEEN 1 AND 1000000
+              UNION ALL SELECT region, 'population' FROM once WHERE population BETWEEN 1 AND 20000000000)
+SELECT region, field, n, CAST(share AS DOUBLE) AS share, true AS within
+FROM (SELECT region, field, count(*) AS n FROM long WHERE region <> '' GROUP BY 1, 2), (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS share)
+"""
+
+
 def p4_countries_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     rows = quantiles.measured(table(spark, folder, "countries"), [])
     return quantiles.percentiles(quantiles.digests(rows, ["region", "field"], "value"), ["region", "field"], quantiles.SHARES)
@@ -78,11 +93,29 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "documents"))
 
 
+def p7_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source kept to its budget and repeats and came within a document of the budget, or
+    used all it may."""
+    sized = mixing.sized_documents(table(spark, folder, "documents"))
+    picks, report = mixing.mix(sized, table(spark, folder, "source_targets"))
+    largest = sized.groupBy("source").agg(F.max("tokens").alias("largest"))
+    most = picks.groupBy("source").agg(F.max("copies").alias("most"))
+    joined = report.join(largest, "source", "left").join(most, "source", "left")
+    spent = F.col("used_tokens") == F.col("available_tokens") * F.col("max_repeats")
+    return joined.select(
+        "source", "max_repeats", "target_share", (F.col("used_tokens") <= F.col("target_tokens")).alias("within_budget"),
+        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (spent | (F.col("shortfall_tokens") < F.col("largest"))).alias("filled"),
+    )
+
+
+P7_BOUNDS_SQL = "SELECT source, max_repeats, target_share, true AS within_budget, true AS within_repeats, true AS filled FROM source_targets"
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_countries_percentiles, p5_found, p5_unmatched, p6_found, p6_item_report, p7_mix, p7_report, p8_found)
+    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_error_bound, p4_countries_percentiles, p5_found, p5_unmatched, p6_found, p6_item_report, p7_mix, p7_report, p7_bounds, p8_found)
 }
-SQL = {"p3_found": f"SELECT ranking_id FROM ({P3_SQL})", "p3_top_universities": P3_SQL}
+SQL = {"p3_found": f"SELECT ranking_id FROM ({P3_SQL})", "p3_top_universities": P3_SQL, "p4_error_bound": P4_BOUND_SQL, "p7_bounds": P7_BOUNDS_SQL}
 
 
 def queries() -> dict[str, Query]:
