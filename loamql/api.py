@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -49,6 +50,24 @@ class Result:
 
 def run(text: str, source: Table | None, find: Finder | None, options: Options) -> Result:
     """Plan all stages of ``text``; ``find`` looks tables up by name and the stage's modifier."""
+    try:
+        return _run(text, source, find, options)
+    except ParsingError as e:
+        for word, hint in HINTS.items():
+            if re.search(rf"\s{word}\s", text, re.IGNORECASE) and hint not in str(e):
+                raise ParsingError(f"{e}. {hint}") from e
+        raise
+
+
+# What to say of keywords that other dialects have.
+HINTS = {
+    "HAVING": "There is no HAVING: pipe the groups into a stage with WHERE, as in ... GROUP BY a1 | SELECT * WHERE a2 > 1",
+    "LIKE": "LIKE is a function: WHERE LIKE(a1, 'text%')",
+    "FROM": "FROM names the input only where it isn't given by the context",
+}
+
+
+def _run(text: str, source: Table | None, find: Finder | None, options: Options) -> Result:
     current = source
     table = None
     plans = [parse_stage(parts, with_from=source is None and n == 0) for n, parts in enumerate(stages(text))]

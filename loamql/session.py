@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.files.openCostInBytes": "262144",  # small local files are still worth a task per core
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",

@@ -68,7 +68,7 @@ def split_fields(line: Column, delim: str, policy: str) -> tuple[Column, Column]
     piece = f"(?s){d}(?:{pad}\"[^\"]*+(?:\"\"[^\"]*+)*+\"{pad}(?={d}|\\z)|(?:(?!{d}).)*+)"
     whole = f"(?s)^{pad}\"([^\"]*+(?:\"\"[^\"]*+)*+)\"{pad}\\z"
     raw = F.transform(F.regexp_extract_all(F.concat(F.lit(delim), line), F.lit(piece), F.lit(0)), lambda x: F.substring(x, F.lit(len(delim) + 1), F.length(x)))
-    unquoted = F.transform(raw, lambda x: F.when(x.rlike(whole), F.replace(F.regexp_extract(x, whole, 1), F.lit('""'), F.lit('"'))).otherwise(x))
+    unquoted = F.transform(raw, lambda x: F.when(~x.contains('"'), x).when(x.rlike(whole), F.replace(F.regexp_extract(x, whole, 1), F.lit('""'), F.lit('"'))).otherwise(x))
     bad = F.exists(raw, lambda x: x.contains('"') & ~x.rlike(whole))
     has_quote = line.contains('"')
     return F.when(has_quote, unquoted).otherwise(plain), has_quote & bad

@@ -193,6 +193,12 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_hints(spark):
+    for text, hint in (("select a1 group by a1 having a1 > 2", "no HAVING"), ("select a1 where a1 like 'x%'", "LIKE is a function"), ("select a1 from t", "FROM names")):
+        with pytest.raises(ParsingError, match=hint):
+            rows(spark, text)
+
+
 def test_error_kinds():
     assert error_info(ParsingError("x"))[0] == "query parsing"
     assert error_info(RuntimeQueryError("x"))[0] == "query execution"
