@@ -41,6 +41,9 @@ CLOSERS = {c for cs in OPENERS.values() for c in cs} | {'"'}
 CONTINUERS = ",;:،؛、，；：—–-‐‑/&%"
 INVISIBLE = "­​‌‍‎‏⁠﻿"
 ORDINAL_AFTER = {"am", "zur", "zum", "der", "die", "das", "dem", "den", "des", "vom", "im", "beim", "ab", "seit", "dritter"}
+# small words of a speaker's title, and verbs that introduce speech instead
+TITLE_WORDS = set("the la le les l de des du d von van der die das den of and et und y président présidente president chair chairman chairwoman speaker secretary vice herr frau г г-н г-жа д-р и".split())
+SPEECH = re.compile("(?:说|道|问|称|写着|写道|表示|言う|述べた|कहा|पूछा|กล่าวว่า|ถามว่า|เขียนว่า)$|^(?:قال|قالت|سأل|سألت|كتب|أجاب|أضاف)(?!\\w)")
 PARTICLES = "とってっ"  # after a quotation these carry the sentence on
 
 _BLANK_LINE = re.compile("(?:\r\n|\n|\r)[^\\S\r\n]*(?:\r\n|\n|\r)\\s*|\u2029\\s*")
@@ -199,11 +202,10 @@ def _label_end(text: str) -> int:
         at = start + dot.start()
         if len(dot.group()) > 1 or _BOUND.ends_at(text, at, start) < 0 and not (at - 1 >= start and text[at - 1].isalpha() and (at - 2 < start or not text[at - 2].isalnum())):
             return 0
-    follows = _next_place(text, found.end(), len(text))
-    named = head[-1] in ")]）］"
-    titled = _BOUND.ends_at(text, start + head.find("."), start) >= 0 if "." in head else False
-    if follows < len(text) and text[follows] in _QUOTES and not (named or titled):
-        return 0
+    if head[-1] not in ")]）］":  # without a party or office behind the name, the words have to look like one
+        small = [w for w in re.findall(r"[^\W\d_]{2,}", head) if w[0].islower()]
+        if SPEECH.search(head) or any(w not in TITLE_WORDS for w in small):
+            return 0
     return found.end()
 
 

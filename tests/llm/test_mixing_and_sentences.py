@@ -113,6 +113,10 @@ def test_uncased_scripts():
 def test_layout():
     assert texts("The President: We begin.\n\nItem 34: Bill, second reading\n\nIt rose\nby 3.5 per cent\r\n\r\n  Last one ") == ["The President:", "We begin.", "Item 34: Bill, second reading", "It rose\nby 3.5 per cent", "Last one"]
     assert texts("Dr. Duro (SKA) : « Est-ce vrai ? » demanda Ode.") == ["Dr. Duro (SKA) :", "« Est-ce vrai ? » demanda Ode."]
+    for head, rest in (("The President:", '"Is that so?" asked Mrs. Ode.'), ("Mme la présidente :", "« Est-ce vrai ? » demanda Ode."), ("主席：", "“真的吗？”黎岚的翎澜议员问道。"), ("Präsident:", "„Ist das so?“, fragte Ode.")):
+        assert texts(f"{head} {rest}") == [head, rest]
+    for whole in ("Брино сказал: «Этого мало. Мы остаёмся».", "Brino a dit : « Cela suffit. Nous restons. »", "珂芷棠议员说：“这还不够。我们不会让步。”", "قال سانالي: «هذا لا يكفي. لن نتراجع.»"):
+        assert texts(whole) == [whole]
     assert texts('Torxa told us: "No. Never."') == ['Torxa told us: "No. Never."']
     assert texts("Item 34: Bill") == ["Item 34: Bill"]
     assert texts("It fell in 1922.The House met.We left.") == ["It fell in 1922.", "The House met.", "We left."]
