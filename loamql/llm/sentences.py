@@ -36,6 +36,7 @@ TERMINATORS = ".!?…。！？｡．।॥؟۔"
 DOTTED = ".…．"
 OPENERS = {"(": ")", "[": "]", "（": "）", "［": "］", "〔": "〕", "【": "】", "{": "}", "「": "」", "『": "』", "«": "»", "‹": "›", "《": "》", "〈": "〉", "„": "“”", "“": "”"}
 BRACKETS = "([（［〔【{"
+BRACKET_ENDS = {OPENERS[b]: b for b in BRACKETS}
 TITLES = "《〈"
 CLOSERS = {c for cs in OPENERS.values() for c in cs} | {'"'}
 CONTINUERS = ",;:،؛、，；：—–-‐‑/&%"
@@ -52,7 +53,7 @@ _THAI_MARKS = re.compile(_MARKS.pattern + r"|\s+")
 _THAI = re.compile("[ก-๎]")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD_BEFORE = re.compile(r"[^\s.…\"“”„«»()\[\]（）「」,;:!?]+$")
-_LABEL = re.compile(r"[^\n\r:：\d!?。！？।؟“”„«»「」\"]{1,90}[:：]")
+_LABEL = re.compile(r"(?:[^\n\r:：\d!?。！？।؟“”„«»「」\"]|(?:\r\n|\n|\r)(?![^\S\r\n]*[\r\n])){1,90}[:：]")
 _QUOTES = "\"“„«「『‹"
 
 
@@ -106,6 +107,21 @@ def _past_brackets(text: str, at: int, end: int) -> int:
     return at
 
 
+def _before_brackets(text: str, at: int, start: int) -> int:
+    """The end of the last word before ``at`` that isn't in a bracketed remark."""
+    while at > start:
+        if text[at - 1].isspace() or text[at - 1] in INVISIBLE:
+            at -= 1
+        elif text[at - 1] in BRACKET_ENDS:
+            begin = text.rfind(BRACKET_ENDS[text[at - 1]], start, at)
+            if begin < 0:
+                return at
+            at = begin
+        else:
+            return at
+    return at
+
+
 def _dot_ends(text: str, dot: int, after: int, end: int, start: int) -> bool:
     """Whether the single dot at ``dot`` ends the sentence; ``after`` is the place behind it and any
     closing marks."""
@@ -136,11 +152,16 @@ def _dot_ends(text: str, dot: int, after: int, end: int, start: int) -> bool:
         if dot - len(word) <= start:  # a list item's number
             return False
         if len(word) <= 3:
-            before = _WORD_BEFORE.search(text, max(start, dot - len(word) - 20), max(start, dot - len(word) - 1))
+            behind = _before_brackets(text, dot - len(word), start)
+            before = _WORD_BEFORE.search(text, max(start, behind - 20), behind)
             if before and before.group().lower() in ORDINAL_AFTER:
                 return False
         return True
     loose = _LOOSE.ends_at(text, dot, start)
+    if loose < 0 and word in ("д", "п"):  # a remark may stand within "т. д."
+        behind = _before_brackets(text, dot - 1, start)
+        if text[behind - 2 : behind] == "т.":
+            loose = behind - 2
     if loose >= 0:
         ahead = _past_brackets(text, after, end)
         if ahead < end and text[ahead].islower():
@@ -149,7 +170,8 @@ def _dot_ends(text: str, dot: int, after: int, end: int, start: int) -> bool:
             return False
         return not nxt.isdigit()
     if _BOUND.ends_at(text, dot, start) >= 0:
-        return word.lower() in NUMBERED and not nxt.isdigit() and word.islower()
+        ahead = _past_brackets(text, after, end)
+        return word in NUMBERED and not (ahead < end and text[ahead].isdigit())
     if len(word) == 1 and word.isalpha():  # an initial
         return False
     if len(word) == 1 and dot - 2 >= start and text[dot - 2] == ".":
@@ -276,10 +298,8 @@ def _paragraph(text: str, at: int, end: int, marks: re.Pattern, thai: bool, out:
                 remark = begins
             elif ch not in TITLES:
                 first = begins
-                back = place - 1
-                while back > start and text[back].isspace():
-                    back -= 1
-                colon = not begins and text[back] in ":："
+                back = _before_brackets(text, place, start)
+                colon = not begins and text[back - 1 : back] in (":", "：")
             continue
         elif ch in CLOSERS:
             continue

@@ -83,6 +83,7 @@ CASES = {
     "french": ["« Est-ce vrai ? » demanda le Dr. Zobota.", "Selon l’art. 181, al. 2, de la loi, Calsku reste un port.", "Nous avons attendu... et attendu le rapport.", "Brino a dit : « Cela suffit. Nous restons. »", "La charte oblige M. Xaloel."],
     "russian": ["Речь о дорогах и т.\nд. Мы ждали... и ждали.", "Баол сказал: «Этого мало. Мы остаёмся».", "«Это так?» — спросил деп. Олвар.", "В 1995 г. в Оляр прошло 95-е заседание.", "И. К. Нормел требует ст. 39 п. 2 закона."],
     "quotes": ['The paper says "no further delay. None at all." and then ends.', 'Torxa told us: "we rejected it. We shall not yield."', '"Is that so?" asked Mrs. Dudu.', "Only “X of Y. Then more”, was struck out.", "What a shambles, Besku?!"],
+    "remarks in the wrong place": ["See vol. (Applause.) 105, pp. [Laughter] 35-228.", "Am 3. [Heiterkeit] Mai kam No. (Zuruf: Nein! Nie.) 7 an.", '"Is that so?" (Applause.) asked J. [Laughter] K. Bega.'],
     "remarks": ["The cost rose (Interruption: That is not true! Sit down.) by 19.0 per cent.", "(Shouts of “Shame!” from the RVT)", "[Laughter on the left]", "We meet again."],
 }
 
