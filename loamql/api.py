@@ -53,12 +53,23 @@ def run(text: str, source: Table | None, find: Finder | None, options: Options)
     try:
         return _run(text, source, find, options)
     except ParsingError as e:
+        if _debug:
+            raise
         for word, hint in HINTS.items():
             if re.search(rf"\s{word}\s", text, re.IGNORECASE) and hint not in str(e):
                 raise ParsingError(f"{e}. {hint}") from e
         raise
 
 
+_debug = False
+
+
+def set_debug_mode(value: bool = True) -> None:
+    """Let errors through as they are raised, without hints."""
+    global _debug
+    _debug = value
+
+
 # What to say of keywords that other dialects have.
 HINTS = {
     "HAVING": "There is no HAVING: pipe the groups into a stage with WHERE, as in ... GROUP BY a1 | SELECT * WHERE a2 > 1",

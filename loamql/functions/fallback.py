@@ -82,7 +82,12 @@ class Evaluator:
         local = dict(zip(self.variables, values))
         for name, (at, names) in self.records.items():
             local[name] = Record(list(values[at] or []), names)
-        return eval(self.code, self.names | local)  # noqa: S307 - the query's own expression
+        try:
+            return eval(self.code, self.names | local)  # noqa: S307 - the query's own expression
+        except Exception as e:
+            if "__record" in local:
+                raise RuntimeQueryError(f"At record {local['__record']}, Details: {e}") from e
+            raise
 
 
 def spark_type(values: list[object]) -> T.DataType:

@@ -308,6 +308,9 @@ class Planner:
                     if value is not None:
                         names.append(inner.id)
                         cols.append(value.col)
+        if self.a.numbered:  # for messages
+            names.append("__record")
+            cols.append(F.col(f"a{NR}"))
         fallback.namespace(self.options.init_source, self.options.user)  # its errors come now, not on a worker
         call = fallback.Evaluator(source, names, records, self.options.init_source, self.options.user)
         if kind is None:
@@ -322,8 +325,10 @@ class Planner:
         for row in rows:
             try:
                 results.append(call(*row))
+            except RuntimeQueryError:
+                raise
             except Exception as e:
-                raise RuntimeQueryError(f"At record 1, Details: {e}") from e if not results else e
+                raise RuntimeQueryError(f"At record {len(results) + 1}, Details: {e}") from e
         return fallback.spark_type(results)
 
     # -- join --------------------------------------------------------------------------------------

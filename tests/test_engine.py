@@ -193,6 +193,11 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_errors_name_the_record(spark):
+    with pytest.raises(RuntimeQueryError, match="At record 3, Details: .*zero"):
+        rows(spark, "select NR, [10 / (3 - NR), {1: 2}][0]")
+
+
 def test_hints(spark):
     for text, hint in (("select a1 group by a1 having a1 > 2", "no HAVING"), ("select a1 where a1 like 'x%'", "LIKE is a function"), ("select a1 from t", "FROM names")):
         with pytest.raises(ParsingError, match=hint):
