@@ -13,8 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamql.session import pin
+
 HEAVY_ROWS = 20_000  # a group of more rows is heavy
 PART_ROWS = 20_000  # rows of a heavy group for one salt
+BROADCAST_KEYS = 100_000  # heavy groups that are sent to every task; more are joined by shuffle
 
 
 def top_n(df: DataFrame, groups: list[str], order: list[Column], identity: list[str], n: int, leading_range: Column, heavy_rows: int = HEAVY_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
@@ -28,12 +31,19 @@ def top_n(df: DataFrame, groups: list[str], order: list[Column], identity: list[
     """
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > heavy_rows)
     sizes = sizes.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)), "__size")
+    # there are at most rows / heavy_rows of them; they are counted before they are broadcast
+    sizes = pin(sizes)
+    n_heavy = sizes.count()
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    if not n_heavy:
+        return df.withColumn("rank", rank).filter(F.col("rank") <= n)
+    if n_heavy <= BROADCAST_KEYS:
+        sizes = F.broadcast(sizes)
     same = [df[g].eqNullSafe(sizes[f"__g{i}"]) for i, g in enumerate(groups)]
     joined = df.join(sizes, same, "left").drop(*(f"__g{i}" for i in range(len(groups))))
     light = joined.filter(F.col("__size").isNull()).drop("__size")
     heavy = joined.filter(F.col("__size").isNotNull())
 
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
     salts = F.ceil(F.col("__size") / F.lit(part_rows)).cast("long")
     salted = heavy.withColumn("__range", leading_range).withColumn("__salt", F.pmod(F.xxhash64(*identity), salts))
     part = F.row_number().over(Window.partitionBy(*groups, "__range", "__salt").orderBy(*order))
