@@ -9,7 +9,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "project_positional": ("SELECT a1 AS k, a2 AS name FROM nation", "SELECT n_nationkey AS k, n_name AS name FROM nation"),
     "project_expr": ("SELECT a.o_orderkey AS k, a.o_totalprice * 2 AS dbl FROM orders", "SELECT o_orderkey AS k, o_totalprice * 2 AS dbl FROM orders"),
     "project_subscript": ("SELECT a['c_name'] AS nm, a[4] AS bal FROM customer", "SELECT c_name AS nm, c_acctbal AS bal FROM customer"),
-    "project_header_inference": ("SELECT a2, a.n_regionkey, a['n_nationkey'], NF, a1 + 1 FROM nation", "SELECT n_name, n_regionkey, n_nationkey, 3 AS NF, n_nationkey + 1 AS col5 FROM nation"),
+    "project_header_inference": ("SELECT a2, a.n_regionkey, a['n_nationkey'], NF, a1 + 1 FROM nation", "SELECT n_name, n_regionkey, n_nationkey, CAST(3 AS BIGINT) AS NF, CAST(n_nationkey + 1 AS BIGINT) AS col5 FROM nation"),
     "star_mixed": ("SELECT a1 AS k, a.*, b.r_name AS r FROM nation JOIN region ON a3 == b1", "SELECT n_nationkey AS k, nation.*, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "star_b": ("SELECT b.*, a.n_name FROM nation JOIN region ON a.n_regionkey == b.r_regionkey", "SELECT region.*, n_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "select_except": ("SELECT * EXCEPT a.c_acctbal FROM customer", "SELECT * EXCLUDE (c_acctbal) FROM customer"),
@@ -22,11 +22,11 @@ QUERIES: dict[str, tuple[str, str]] = {
     "filter_truthiness": ("SELECT a.l_orderkey AS k, a.l_linenumber AS l FROM lineitem WHERE a.l_tax and not a.l_discount", "SELECT l_orderkey AS k, l_linenumber AS l FROM lineitem WHERE l_tax <> 0 AND l_discount = 0"),
     "filter_chain": ("SELECT a1 AS k FROM orders WHERE 1000 < a.o_totalprice <= 50000 and 'LOW' in a.o_orderpriority", "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 50000 AND contains(o_orderpriority, 'LOW')"),
     "filter_none": ("SELECT a.doc_id AS d FROM documents WHERE a.lang is None", "SELECT doc_id AS d FROM documents WHERE lang IS NULL"),
-    "filter_empty_result": ("SELECT a2, a1, NR FROM part WHERE int(a.p_size) % 2 == 3", "SELECT p_name, p_partkey, 1 AS NR FROM part WHERE false"),
+    "filter_empty_result": ("SELECT a2, a1, NR FROM part WHERE int(a.p_size) % 2 == 3", "SELECT p_name, p_partkey, CAST(1 AS BIGINT) AS NR FROM part WHERE false"),
     "like_fn": ("SELECT a.p_partkey AS k FROM part WHERE like(a.p_name, '%small_widget%')", "SELECT p_partkey AS k FROM part WHERE p_name LIKE '%small_widget%'"),
     "record_number": ("SELECT NR AS nr, a.n_name AS nm FROM nation", "SELECT row_number() OVER (ORDER BY n_nationkey) AS nr, n_name AS nm FROM nation"),
     "record_number_large": ("SELECT a.l_returnflag AS f, MAX(NR) AS last, MIN(NR) AS first FROM lineitem GROUP BY a.l_returnflag", "SELECT l_returnflag AS f, max(r) AS last, min(r) AS first FROM (SELECT l_returnflag, row_number() OVER () AS r FROM lineitem) GROUP BY 1"),
-    "field_count": ("SELECT NF AS nf, a1 AS k FROM region", "SELECT 2 AS nf, r_regionkey AS k FROM region"),
+    "field_count": ("SELECT NF AS nf, a1 AS k FROM region", "SELECT CAST(2 AS BIGINT) AS nf, r_regionkey AS k FROM region"),
     "top_n": ("SELECT TOP 10 a.o_orderkey AS k, a.o_totalprice AS p FROM orders ORDER BY a.o_totalprice, a.o_orderkey DESC", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 10"),
     "limit_desc_ties": ("SELECT a.n_nationkey AS k FROM nation ORDER BY a.n_regionkey DESC LIMIT 7", "SELECT n_nationkey AS k FROM nation ORDER BY n_regionkey DESC, n_nationkey DESC LIMIT 7"),
     "limit_asc_ties": ("SELECT a.n_nationkey AS k FROM nation ORDER BY a.n_regionkey LIMIT 7", "SELECT n_nationkey AS k FROM nation ORDER BY n_regionkey, n_nationkey LIMIT 7"),
@@ -46,17 +46,17 @@ QUERIES: dict[str, tuple[str, str]] = {
     "group_array_agg": ("SELECT a.n_regionkey AS r, ARRAY_AGG(a.n_name, lambda v: '|'.join(v)) AS l FROM nation GROUP BY a.n_regionkey", "SELECT n_regionkey AS r, string_agg(n_name, '|' ORDER BY n_nationkey) AS l FROM nation GROUP BY 1"),
     "group_array_agg_sorted": ("SELECT a.n_regionkey AS r, ARRAY_AGG(a.n_name, lambda v: '/'.join(sorted(v)[:2])) AS l FROM nation GROUP BY a.n_regionkey", "SELECT n_regionkey AS r, array_to_string(list_slice(list_sort(list(n_name)), 1, 2), '/') AS l FROM nation GROUP BY 1"),
     "group_multi_key": ("SELECT a.l_returnflag AS f, a.l_linestatus AS s, COUNT(*) AS n FROM lineitem GROUP BY a.l_returnflag, a.l_linestatus", "SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY 1, 2"),
-    "group_by_expression": ("SELECT a.p_size % 10 AS d, COUNT(*) AS n, SUM(1 if a.p_retailprice > 1000 else 0) AS dear FROM part GROUP BY a.p_size % 10", "SELECT p_size % 10 AS d, count(*) AS n, count(*) FILTER (p_retailprice > 1000) AS dear FROM part GROUP BY 1"),
+    "group_by_expression": ("SELECT a.p_size % 10 AS d, COUNT(*) AS n, SUM(1 if a.p_retailprice > 1000 else 0) AS dear FROM part GROUP BY a.p_size % 10", "SELECT CAST(p_size % 10 AS BIGINT) AS d, count(*) AS n, count(*) FILTER (p_retailprice > 1000) AS dear FROM part GROUP BY 1"),
     "group_constant_column": ("SELECT a.n_regionkey AS r, b.r_name AS nm, COUNT(1) AS n FROM nation JOIN region ON a.n_regionkey == b.r_regionkey GROUP BY a.n_regionkey", "SELECT n_regionkey AS r, r_name AS nm, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"),
     "group_limit": ("SELECT TOP 3 a.p_size AS z, COUNT(*) AS n FROM part GROUP BY a.p_size", "SELECT p_size AS z, count(*) AS n FROM part GROUP BY 1 ORDER BY 1 LIMIT 3"),
-    "group_text_numbers": ("SELECT str(a.p_size) AS num, a.p_brand AS br FROM part | SELECT a.br AS br, MAX(a.num) AS mx, SUM(a.num) AS s GROUP BY a.br", "SELECT p_brand AS br, max(p_size) AS mx, sum(p_size) AS s FROM part GROUP BY 1"),
+    "group_text_numbers": ("SELECT str(a.p_size) AS num, a.p_brand AS br FROM part | SELECT a.br AS br, MAX(a.num) AS mx, SUM(a.num) AS s GROUP BY a.br", "SELECT p_brand AS br, CAST(max(p_size) AS BIGINT) AS mx, CAST(sum(p_size) AS BIGINT) AS s FROM part GROUP BY 1"),
     "global_agg": ("SELECT COUNT(*) AS n, MAX(a.o_totalprice) AS mx FROM orders", "SELECT count(*) AS n, max(o_totalprice) AS mx FROM orders"),
     "global_agg_empty": ("SELECT COUNT(*) AS n FROM orders WHERE a.o_totalprice < 0", "SELECT count(*) AS n FROM orders WHERE o_totalprice < 0 HAVING count(*) > 0"),
-    "builtin_overload": ("SELECT a1 AS k, max(a.p_size, 10) AS m, min([a.p_size, 7]) AS s, sum([a.p_size, 1, 2]) AS t FROM part", "SELECT p_partkey AS k, greatest(p_size, 10) AS m, least(p_size, 7) AS s, p_size + 3 AS t FROM part"),
+    "builtin_overload": ("SELECT a1 AS k, max(a.p_size, 10) AS m, min([a.p_size, 7]) AS s, sum([a.p_size, 1, 2]) AS t FROM part", "SELECT p_partkey AS k, CAST(greatest(p_size, 10) AS BIGINT) AS m, CAST(least(p_size, 7) AS BIGINT) AS s, CAST(p_size + 3 AS BIGINT) AS t FROM part"),
     "join_inner": ("SELECT a.n_name AS n, b.r_name AS r FROM nation JOIN region ON a.n_regionkey == b.r_regionkey", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "join_inner_large": ("SELECT a.l_orderkey AS k, a.l_linenumber AS l, b.o_orderpriority AS p FROM lineitem INNER JOIN orders ON a.l_orderkey == b.o_orderkey WHERE a.l_quantity > 45", "SELECT l_orderkey AS k, l_linenumber AS l, o_orderpriority AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45"),
     "join_left": ("SELECT a.c_custkey AS c, b.o_orderkey AS o FROM customer LEFT JOIN orders ON a.c_custkey == b.o_custkey", "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey"),
-    "join_left_field_count": ("SELECT a.n_name AS n, bNF AS f, bNR AS r FROM nation LEFT OUTER JOIN region ON a.n_nationkey == b.r_regionkey", "SELECT n_name AS n, 2 AS f, r_regionkey + 1 AS r FROM nation LEFT JOIN region ON n_nationkey = r_regionkey"),
+    "join_left_field_count": ("SELECT a.n_name AS n, bNF AS f, bNR AS r FROM nation LEFT OUTER JOIN region ON a.n_nationkey == b.r_regionkey", "SELECT n_name AS n, CAST(2 AS BIGINT) AS f, CAST(r_regionkey + 1 AS BIGINT) AS r FROM nation LEFT JOIN region ON n_nationkey = r_regionkey"),
     "join_anti_emulated": ("SELECT a.c_custkey AS c FROM customer LEFT JOIN orders ON a.c_custkey == b.o_custkey WHERE b.o_orderkey is None", "SELECT c_custkey AS c FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
     "join_strict_left": ("SELECT a.c_custkey AS c, b.n_name AS n FROM customer STRICT LEFT JOIN nation ON a.c_nationkey == b.n_nationkey", "SELECT c_custkey AS c, n_name AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
     "join_on_nr": ("SELECT a.n_name AS n, b.r_name AS r FROM nation JOIN region ON NR == b.NR", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_nationkey = r_regionkey"),
@@ -84,9 +84,9 @@ QUERIES: dict[str, tuple[str, str]] = {
     "f_string": ("SELECT f'{a.n_nationkey}: {a[\"n_name\"]}' AS t FROM nation", "SELECT n_nationkey || ': ' || n_name AS t FROM nation"),
     "format_in_python": ("SELECT a1 AS k, format(a.n_nationkey / 4, '.2f') AS t FROM nation", "SELECT n_nationkey AS k, format('{:.2f}', n_nationkey / 4.0) AS t FROM nation"),
     "date_parts": ("SELECT a.o_orderdate.year AS y, COUNT(*) AS n FROM orders GROUP BY a.o_orderdate.year", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1"),
-    "math_functions": ("SELECT a1 AS k, math.floor(a.p_retailprice) AS f, math.ceil(a.p_retailprice) AS c, round(math.sqrt(a.p_size), 6) AS s, abs(a.p_size - 20) AS d FROM part", "SELECT p_partkey AS k, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(ceil(p_retailprice) AS BIGINT) AS c, round_even(sqrt(p_size), 6) AS s, abs(p_size - 20) AS d FROM part"),
+    "math_functions": ("SELECT a1 AS k, math.floor(a.p_retailprice) AS f, math.ceil(a.p_retailprice) AS c, round(math.sqrt(a.p_size), 6) AS s, abs(a.p_size - 20) AS d FROM part", "SELECT p_partkey AS k, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(ceil(p_retailprice) AS BIGINT) AS c, round_even(sqrt(p_size), 6) AS s, CAST(abs(p_size - 20) AS BIGINT) AS d FROM part"),
     "comments_and_semicolon": ("# a comment\nSELECT a1 AS k\n# another\nFROM region\nWHERE a1 > 1;", "SELECT r_regionkey AS k FROM region WHERE r_regionkey > 1"),
-    "bench_filter_empty": ("SELECT a.l_returnflag AS f, a.l_quantity AS q, NR AS nr FROM lineitem WHERE int(a.l_quantity) % 2 == 3", "SELECT l_returnflag AS f, l_quantity AS q, 1 AS nr FROM lineitem WHERE false"),
+    "bench_filter_empty": ("SELECT a.l_returnflag AS f, a.l_quantity AS q, NR AS nr FROM lineitem WHERE int(a.l_quantity) % 2 == 3", "SELECT l_returnflag AS f, l_quantity AS q, CAST(1 AS BIGINT) AS nr FROM lineitem WHERE false"),
     "bench_select": ("SELECT a.l_returnflag AS f, a.l_quantity AS q, a.l_returnflag AS f2, NR AS nr FROM lineitem WHERE int(a.l_quantity) % 2 == 0", "SELECT f, q, f2, nr FROM (SELECT l_returnflag AS f, l_quantity AS q, l_returnflag AS f2, row_number() OVER () AS nr FROM lineitem) WHERE CAST(q AS BIGINT) % 2 = 0"),
     "bench_group": ("SELECT MAX(a.l_quantity) AS m, COUNT(*) AS n, a.l_returnflag AS f FROM lineitem WHERE int(a.l_quantity) > 15 GROUP BY a.l_returnflag", "SELECT max(l_quantity) AS m, count(*) AS n, l_returnflag AS f FROM lineitem WHERE l_quantity >= 16 GROUP BY 3"),
     "university_top_scores": ("SELECT TOP 20 a.ranking_id AS r, a.university_name AS u, a.total_score AS s FROM university_ranking WHERE a.university_name is not None and a.total_score is not None and a.total_score <= 100 ORDER BY a.total_score, a.ranking_id DESC", "SELECT ranking_id AS r, university_name AS u, total_score AS s FROM university_ranking WHERE university_name IS NOT NULL AND total_score <= 100 ORDER BY total_score DESC, ranking_id DESC LIMIT 20"),

@@ -45,6 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own: dict[str, str] = {}
+_pinned: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``pin`` wrote in this process; frames that read them can't be used after."""
+    while _pinned:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_pinned.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, partitions_by: list[str] | None = None) -> DataFrame:
@@ -59,6 +67,7 @@ def pin(df: DataFrame, partitions_by: list[str] | None = None) -> DataFrame:
     if partitions_by:
         writer = writer.partitionBy(*partitions_by)
     writer.parquet(path)
+    _pinned.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -151,3 +151,16 @@ def test_heavy_keys_at_the_edge(spark):
     df = spark.createDataFrame([(k,) for k in ["a"] * 4 + ["b"] * 3 + [None] * 50 + [f"x{n}" for n in range(43)]], "country string")
     assert [r.country for r in keychunks.heavy_keys(df, "country", 4).collect()] == ["a"]
     assert keychunks.heavy_keys(spark.createDataFrame([], "country string"), "country", 4).collect() == []
+
+
+def test_pinned_tables_are_kept_until_released(spark):
+    import os
+
+    from loamql import session
+
+    pinned = session.pin(spark.range(5))
+    assert sorted(r.id for r in pinned.collect()) == list(range(5))
+    path = pinned.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    session.release(spark)
+    assert not os.path.exists(path)
