@@ -152,7 +152,9 @@ def error_info(error: Exception) -> tuple[str, str]:
         return "syntax error", str(error)
     text = str(error)
     if "USER_RAISED_EXCEPTION" in text or "PythonException" in type(error).__name__ or "CAST_INVALID_INPUT" in text or "DIVIDE_BY_ZERO" in text:
-        return "query execution", text.split("\n")[0]
+        lines = [x.strip() for x in text.split("\n") if x.strip() and not x.lstrip().startswith(("at ", "File ", "Traceback", "==", "JVM"))]
+        told = [x for x in lines if re.match(r"[\w.]*(Error|Exception)\b.*: ", x) and "Traceback" not in x]
+        return "query execution", (told or lines or [text])[-1 if told else 0]
     return "unexpected", text
 
 

@@ -23,15 +23,18 @@ class Record:
         self.__dict__["_names"] = names
 
     def __getattr__(self, name: str) -> object:
-        try:
-            return self._fields[self._names[name]]
-        except (KeyError, IndexError):
-            raise AttributeError(name) from None
+        if name not in self._names:
+            raise AttributeError(name)
+        return self._at(self._names[name])
+
+    def _at(self, place: int) -> object:
+        """A field, None behind the end of a short record."""
+        return self._fields[place] if 0 <= place < len(self._fields) else None
 
     def __getitem__(self, key: str | int) -> object:
         if isinstance(key, int):
-            return self._fields[key - 1] if 0 < key <= len(self._fields) else None
-        return self._fields[self._names[key]]
+            return self._at(key - 1)
+        return self._at(self._names[key])
 
 
 def namespace(init_source: str, user: dict[str, object]) -> dict[str, object]:
@@ -81,7 +84,9 @@ class Evaluator:
             self.code = compile(self.source, "<query>", "eval")
         local = dict(zip(self.variables, values))
         for name, (at, names) in self.records.items():
-            local[name] = Record(list(values[at] or []), names)
+            held = values[at]
+            fields = [] if held is None else list(held.values()) if isinstance(held, dict) else list(held)
+            local[name] = Record(fields, names)
         try:
             return eval(self.code, self.names | local)  # noqa: S307 - the query's own expression
         except Exception as e:

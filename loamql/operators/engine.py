@@ -312,15 +312,19 @@ class Planner:
             names.append("__record")
             cols.append(F.col(f"a{NR}"))
         fallback.namespace(self.options.init_source, self.options.user)  # its errors come now, not on a worker
+        if not cols:
+            names, cols = ["__none"], [F.lit(0)]
         call = fallback.Evaluator(source, names, records, self.options.init_source, self.options.user)
         if kind is None:
             kind = self._seen_type(call, cols)
         udf = F.udf(fallback.coerced(call, kind), kind, useArrow=True)
+        if re.search(r"\b(random|time|now|today|os|udf)\b", source) or self.options.init_source:
+            udf = udf.asNondeterministic()  # evaluated once per row, wherever it is used
         return Value(udf(*cols), *type_of(kind))
 
     def _seen_type(self, call: Callable[..., object], cols: list[Column]) -> T.DataType:
         """The type of the results on the first rows, evaluated on the driver."""
-        rows = self._base.select(*(c.alias(f"v{n}") for n, c in enumerate(cols))).limit(50).collect() if cols else [()]
+        rows = self._base.select(*(c.alias(f"v{n}") for n, c in enumerate(cols))).limit(50).collect()
         results = []
         for row in rows:
             try:
@@ -676,6 +680,9 @@ class Planner:
             if not self.a.ragged and n > self.a.width:
                 raise RuntimeQueryError(f'No "a{n}" field at record 1')
             new[n] = self._value(text)
+        # evaluated before they are put in place, as Python expressions can't be used there
+        df = df.withColumns({f"__u{n}": v.col for n, v in new.items()})
+        new = {n: Value(F.col(f"__u{n}"), v.type, v.item) for n, v in new.items()}
         if self.a.ragged:
             held = F.col(f"a{FIELDS}")
             for n, value in new.items():

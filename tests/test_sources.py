@@ -246,3 +246,18 @@ def test_split_matches_the_exact_splitter(spark):
         assert r["b"] == (want is None), r
         if want is not None:
             assert r["f"] == [w if '"' in r["value"] else w for w in want], r
+
+
+def test_python_expressions_over_text(spark, tmp_path):
+    text = "name,v\nann lee,3\nbob,x\ncy\n"
+    r = run(spark, tmp_path, text, "select a.name.title() + str(NR), {'k': a.v}['k'], a['name'][::-1]", with_headers=True)
+    assert r.rows() == [["Ann Lee1", "3", "eel nna"], ["Bob2", "x", "bob"], ["Cy3", None, "yc"]] and len(r.python_expressions) == 3
+    assert run(spark, tmp_path, text, "update a.name = a.name.title() where NR > 1", with_headers=True).rows() == [["ann lee", "3"], ["Bob", "x"], ["Cy"]]
+    assert run(spark, tmp_path, text, "select NR where a1.swapcase() == 'BOB' or a2.isalpha() if a2 else False").rows() == [[1], [3]]
+    assert run(spark, tmp_path, text, "select a1 order by a1.swapcase() desc limit 1", with_headers=True).rows() == [["cy"]]
+    assert run(spark, tmp_path, text, "select datetime.date(2020, 2, 1).year, random.random() < 2 limit 1").rows() == [[2020, True]]
+    with pytest.raises(Exception, match="name 'n' is not defined") as failure:
+        run(spark, tmp_path, text, "select len(a1) as n where n > 2").rows()
+    from loamql.api import error_info
+
+    assert error_info(failure.value)[0] == "query execution"
