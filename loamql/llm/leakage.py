@@ -33,7 +33,7 @@ ALTERED = 8  # at most one in so many words is altered
 FOUND_WORDS, FOUND_LETTERS, FOUND_ALTERED = WORDS - 1, LETTERS, ALTERED  # what the alignment has to show; it may lose a word at an end
 Q_SPACED, Q_UNSPACED = 8, 5
 BAND = 64  # diagonals of a band; the next begins half a band on
-REACH = 48  # diagonals to either side in the alignment
+REACH = {True: 48, False: 24}  # diagonals to either side in the alignment, by whether words are spaced: words change length, letters hardly do
 BATCH_CHARS = 3_000_000
 BLOCK_ITEMS, BLOCK_CHARS = 4_000, 4_000_000  # items, and their characters, that one pass over the documents looks for
 LONG_REMARK = 60
@@ -181,14 +181,14 @@ class Items:
         return least
 
 
-def _align(items: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def _align(items: np.ndarray, docs: np.ndarray, reach: int) -> np.ndarray:
     """The column of ``docs`` that each place of each item is matched with in the best banded local
     alignment, -1 where it isn't.
 
     Row r of ``items`` holds an item's codes, -1 behind its end; row r of ``docs`` the document's codes
-    from the band's first diagonal on, as many as an item's row and 2 * REACH more.
+    from the band's first diagonal on, as many as an item's row and 2 * ``reach`` more.
     """
-    (n, m), width = items.shape, 2 * REACH + 1
+    (n, m), width = items.shape, 2 * reach + 1
     rows = np.arange(n)
     score = np.zeros((n, width), np.int32)
     steps = np.zeros((m, n, width), np.uint8)
@@ -264,9 +264,9 @@ def _whole_words(codes: np.ndarray, words: np.ndarray, at: np.ndarray, doc: np.n
         low = int(at[ends[sure[k - 1]] - 1]) + 1 if k else 0
         high = int(at[ends[sure[k]] - sizes[sure[k]]]) if k < len(sure) else len(doc)
         if not k:
-            low = max(low, high - int(sizes[w]) - REACH // 2)
+            low = max(low, high - int(sizes[w]) - REACH[True] // 2)
         elif k == len(sure):
-            high = min(high, low + int(sizes[w]) + REACH // 2)
+            high = min(high, low + int(sizes[w]) + REACH[True] // 2)
         piece, word = doc[low:high].tolist(), codes[ends[w] - sizes[w] : ends[w]].tolist()
         if any(piece[x : x + len(word)] == word for x in range(len(piece) - len(word) + 1)):
             good[w] = True
@@ -319,31 +319,35 @@ class Finder:
         # both bandings find most regions; one alignment will do for centres this close
         lots: list[tuple[int, int, int]] = []
         for n, p, d in sorted(asked):
-            if not (lots and lots[-1][:2] == (n, p) and d - lots[-1][2] <= REACH // 6):
+            if not (lots and lots[-1][:2] == (n, p) and d - lots[-1][2] <= REACH[self.items.spaced[n]] // 6):
                 lots.append((n, p, d))
-        lots.sort(key=lambda x: len(self.items.codes[x[0]]))
         bounds = np.searchsorted(piece, np.arange(len(owner) + 1))
-        for lot in range(0, len(lots), 96):
-            part = lots[lot : lot + 96]
-            longest = max(len(self.items.codes[n]) for n, _, _ in part)
-            span = longest + 2 * REACH
-            own, rows = np.full((len(part), longest), -1, np.int32), np.zeros((len(part), span), np.int32)
-            for r, (n, p, d) in enumerate(part):
-                own[r, : len(self.items.codes[n])] = self.items.codes[n]
-                lo, hi = max(d - REACH, int(bounds[p]), 0), min(d - REACH + span, int(bounds[p + 1]))
-                if hi > lo:
-                    rows[r, lo - (d - REACH) : hi - (d - REACH)] = codes[lo:hi]
-            matched = _align(own, rows)
-            for r, (n, p, _) in enumerate(part):
-                at = matched[r, : len(self.items.codes[n])]
-                if self.items.spaced[n]:
-                    ok = _long_run(_whole_words(self.items.codes[n], self.items.words[n], at, rows[r]), FOUND_WORDS)
-                else:
-                    ok = _long_run(at >= 0, FOUND_LETTERS)
-                if ok:
-                    pairs.add((int(owner[p]), self.items.ids[n]))
+        for spaced, reach in REACH.items():
+            own_lots = sorted((x for x in lots if self.items.spaced[x[0]] == spaced), key=lambda x: len(self.items.codes[x[0]]))
+            for lot in range(0, len(own_lots), 96):
+                self._judge(own_lots[lot : lot + 96], reach, codes, bounds, owner, pairs)
         return sorted(pairs)
 
+    def _judge(self, part: list[tuple[int, int, int]], reach: int, codes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, pairs: set[tuple[int, int]]) -> None:
+        """Align candidates (item, piece, diagonal) of one class and add those that hold a passage."""
+        longest = max(len(self.items.codes[n]) for n, _, _ in part)
+        span = longest + 2 * reach
+        own, rows = np.full((len(part), longest), -1, np.int32), np.zeros((len(part), span), np.int32)
+        for r, (n, p, d) in enumerate(part):
+            own[r, : len(self.items.codes[n])] = self.items.codes[n]
+            lo, hi = max(d - reach, int(bounds[p]), 0), min(d - reach + span, int(bounds[p + 1]))
+            if hi > lo:
+                rows[r, lo - (d - reach) : hi - (d - reach)] = codes[lo:hi]
+        matched = _align(own, rows, reach)
+        for r, (n, p, _) in enumerate(part):
+            at = matched[r, : len(self.items.codes[n])]
+            if self.items.spaced[n]:
+                ok = _long_run(_whole_words(self.items.codes[n], self.items.words[n], at, rows[r]), FOUND_WORDS)
+            else:
+                ok = _long_run(at >= 0, FOUND_LETTERS)
+            if ok:
+                pairs.add((int(owner[p]), self.items.ids[n]))
+
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of each document and item of which the document holds a passage.
