@@ -103,14 +103,7 @@ def _linear(df: DataFrame) -> set[str] | None:
 def from_frame(df: DataFrame, header: list[str] | None = None, numbers: str | None = None) -> Table:
     """A table of a DataFrame; ``numbers`` is a column that holds the record number already."""
     names = [c for c in df.columns if c != numbers]
-    fields = [f for f in df.schema.fields if f.name != numbers] if numbers else df.schema.fields
-    cols = []
-    for n, (name, f) in enumerate(zip(names, fields)):
-        col = df[name] if names.count(name) == 1 else None
-        if col is None:
-            raise ValueError(f"column {name} is there twice")
-        if isinstance(f.dataType, T.DecimalType):
-            col = col.cast("double")
-        cols.append(col.alias(f"c{n + 1}"))
-    extra = [df[numbers].alias(NR)] if numbers else []
-    return Table(df.select(*cols, *extra), list(names) if header is None else header or None, numbered=bool(numbers))
+    inner = iter(range(1, len(names) + 1))
+    renamed = df.toDF(*(NR if c == numbers else f"c{next(inner)}" for c in df.columns))  # by position, so that equal names do no harm
+    cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in renamed.schema.fields]
+    return Table(renamed.select(*cols), list(names) if header is None else header or None, numbered=bool(numbers))

@@ -180,6 +180,15 @@ def test_record_numbers_over_several_files(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("nr").limit(3).collect()] == [(1, 3), (2, 10), (3, 17)]
 
 
+def test_frames_with_equal_names_decimals_and_random_order(spark):
+    df = spark.sql("select 1 as x, 'p' as x, cast(2.5 as decimal(10,2)) as d, timestamp'2020-01-02 03:04:05' as t, array(1, 2) as l")
+    r = query("select a.x, a1, a.d * 2 as d, a.t.year, len(a.l), a.l[0]", df)
+    assert [list(x) for x in r.df.collect()] == [["p", 1, 5.0, 2020, 2, 1]] and r.header == ["x", "x", "d", "col4", "col5", "col6"]
+    assert sorted(x[0] for x in query("select a.id order by random.random()", spark.range(20)).df.collect()) == list(range(20))
+    clash = spark.sql("select 1 as __nr, 2 as c1, 3 as a1, 4 as __o0")
+    assert [list(x) for x in query("select a1, a2, a3, a4, NR", clash).df.collect()] == [[1, 2, 3, 4, 1]]
+
+
 def test_empty_tables(spark):
     assert rows(spark, "select a1, NR where a1 order by a1", []) == []
     assert query_table(spark, "select a.x, max(a.x) group by a.x", [], header=["x"]).rows() == []
