@@ -47,7 +47,7 @@ BACK = str.maketrans("aeopcxyikmtbAEOPCXYIKMHTB", "аеорсхуікмтвАЕ
 DIGITS = str.maketrans("013457", "olesat")
 
 _LATIN, _CYRILLIC = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ѐ-ӿ]")
-_INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _PARTS = re.compile(r"[/()\[\]{}|:：（）［］]|\s[-–—]\s")
 _REPEATED = re.compile(r"(.)\1+")
 _WORDS = re.compile(r"[^\W_]+(?:[̀-ͯऀ-ॿ่-๎]*[^\W_]*)*|[&+]")

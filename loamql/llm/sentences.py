@@ -40,7 +40,7 @@ BRACKET_ENDS = {OPENERS[b]: b for b in BRACKETS}
 TITLES = "《〈"
 CLOSERS = {c for cs in OPENERS.values() for c in cs} | {'"'}
 CONTINUERS = ",;:،؛、，；：—–-‐‑/&%"
-INVISIBLE = "­​‌‍‎‏⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 ORDINAL_AFTER = {"am", "zur", "zum", "der", "die", "das", "dem", "den", "des", "vom", "im", "beim", "ab", "seit", "dritter"}
 # small words of a speaker's title, and verbs that introduce speech instead
 TITLE_WORDS = set("the la le les l de des du d von van der die das den of and et und y président présidente president chair chairman chairwoman speaker secretary vice herr frau г г-н г-жа д-р и".split())
@@ -82,7 +82,7 @@ class Trie:
                 break
             node = node[ch]
             at -= 1
-            if "$" in node and (at == floor or not (text[at - 1].isalnum() or text[at - 1] in ".-")):
+            if "$" in node and (at == floor or not (text[at - 1].isalnum() or text[at - 1] in ".-" or text[at - 1] in INVISIBLE)):
                 found = at
         return found
 
