@@ -63,7 +63,7 @@ def es_key(weight: Column, identity: Column, seed: int = SEED) -> Column:
     return -F.log(unit) / weight
 
 
-def mix(sized: DataFrame, targets: DataFrame, total: Column | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(picks, report) of ``sized`` (doc_id, source, tokens, key) and ``targets`` (source,
     target_share, max_repeats).
 
