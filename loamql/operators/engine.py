@@ -54,6 +54,7 @@ class Scope:
         self.a, self.b = a, b
         self.sides = {"a": a} | ({"b": b} if b else {})
         self.max_b: Column | None = None
+        self.types: dict[str, tuple[str, str]] = {}
 
     def column(self, side: str, n: int) -> Value | None:
         table = self.sides.get(side)
@@ -66,8 +67,6 @@ class Scope:
         name = f"{side}{n}"
         return Value(F.col(name), *self.types[name])
 
-    types: dict[str, tuple[str, str]] = {}
-
     def index(self, side: str, name: str) -> int | None:
         header = self.sides[side].header if side in self.sides else None
         if not header or name not in header:
@@ -247,7 +246,6 @@ class Planner:
 
     def _scope(self, a: Table, b: Table | None) -> Scope:
         scope = Scope(a, b)
-        scope.types = {}
         for side, table in scope.sides.items():
             if not table.ragged:
                 for n, f in enumerate(f for f in table.df.schema.fields if f.name != NR):
