@@ -95,29 +95,53 @@ class Evaluator:
             raise
 
 
-def spark_type(values: list[object]) -> T.DataType:
-    """The narrowest type that holds all of ``values``; string if they are unlike."""
-    values = [v for v in values if v is not None]
-    kinds = {type(v) for v in values}
-    if not kinds or kinds == {str}:
-        return T.StringType()
-    if kinds == {bool}:
+def kinds_of(value: object) -> set[str]:
+    """The kinds of a value and, behind "list/", of its elements; none of None."""
+    import datetime
+
+    if value is None:
+        return set()
+    if isinstance(value, (list, tuple, set)) and type(value) in (list, tuple, set):
+        return {"list"} | {f"list/{k}" for x in value for k in kinds_of(x)}
+    names = {str: "str", bool: "bool", int: "int", float: "float", Decimal: "float", datetime.datetime: "datetime", datetime.date: "date"}
+    return {names.get(type(value), "other")}
+
+
+def type_of_kinds(kinds: set[str]) -> T.DataType:
+    """The narrowest type that holds all of ``kinds``; string if they are unlike."""
+    own = {k for k in kinds if "/" not in k}
+    if own == {"bool"}:
         return T.BooleanType()
-    if kinds <= {int, bool}:
+    if own and own <= {"int", "bool"}:
         return T.LongType()
-    if kinds <= {int, float, bool, Decimal}:
+    if own and own <= {"int", "float", "bool"}:
         return T.DoubleType()
-    if kinds <= {list, tuple, set}:
-        return T.ArrayType(spark_type([x for v in values for x in v]))
-    import datetime
-
-    if kinds == {datetime.datetime}:
+    if own == {"list"}:
+        return T.ArrayType(type_of_kinds({k[5:] for k in kinds if "/" in k}))
+    if own == {"datetime"}:
         return T.TimestampType()
-    if kinds == {datetime.date}:
+    if own == {"date"}:
         return T.DateType()
     return T.StringType()
 
 
+def spark_type(values: list[object]) -> T.DataType:
+    """The narrowest type that holds all of ``values``; string if they are unlike."""
+    return type_of_kinds({k for v in values for k in kinds_of(v)})
+
+
+def seen(call: Callable[..., object]) -> Callable[..., list[str]]:
+    """The kinds of ``call``'s result; an error counts when the result is asked for."""
+
+    def kinds(*args: object) -> list[str]:
+        try:
+            return sorted(kinds_of(call(*args)))
+        except Exception:
+            return []
+
+    return kinds
+
+
 def coerced(call: Callable[..., object], kind: T.DataType) -> Callable[..., object]:
     """``call`` with results of the declared type; what can't be of it becomes text or an error."""
 
@@ -128,7 +152,7 @@ def coerced(call: Callable[..., object], kind: T.DataType) -> Callable[..., obje
             return value if isinstance(value, str) else str(value)
         if isinstance(kind, T.LongType):
             if isinstance(value, float) and value != int(value):
-                raise RuntimeQueryError(f"the expression gave {value!r} where whole numbers were seen before")
+                raise RuntimeQueryError(f"the expression gave {value!r} where whole numbers were seen over all rows")
             return int(value)
         if isinstance(kind, T.DoubleType):
             return float(value)

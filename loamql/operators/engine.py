@@ -321,17 +321,22 @@ class Planner:
         return Value(udf(*cols), *type_of(kind))
 
     def _seen_type(self, call: Callable[..., object], cols: list[Column]) -> T.DataType:
-        """The type of the results on the first rows, evaluated on the driver."""
-        rows = self._base.select(*(c.alias(f"v{n}") for n, c in enumerate(cols))).limit(50).collect()
-        results = []
-        for row in rows:
+        """The type of the results on all rows; errors on the first rows are raised at once."""
+        held = self._base.select(*(c.alias(f"v{n}") for n, c in enumerate(cols)))
+        for n, row in enumerate(held.limit(50).collect()):
             try:
-                results.append(call(*row))
+                call(*row)
             except RuntimeQueryError:
                 raise
             except Exception as e:
-                raise RuntimeQueryError(f"At record {len(results) + 1}, Details: {e}") from e
-        return fallback.spark_type(results)
+                raise RuntimeQueryError(f"At record {n + 1}, Details: {e}") from e
+        return self._kinds_over(call, held, [F.col(f"v{n}") for n in range(len(cols))])
+
+    @staticmethod
+    def _kinds_over(call: Callable[..., object], df: DataFrame, cols: list[Column]) -> T.DataType:
+        """One pass of the workers over all rows folds the kinds of the results; only the kinds are collected."""
+        kinds = F.udf(fallback.seen(call), "array<string>", useArrow=True)
+        return fallback.type_of_kinds({r[0] for r in df.select(F.explode(kinds(*cols)).alias("kind")).distinct().collect()})
 
     # -- join --------------------------------------------------------------------------------------
 
@@ -618,7 +623,7 @@ class Planner:
             listed = F.transform(F.array_sort(out), lambda x: x["v"])
             made = Value(listed, "list", value.type)
             if len(call.args) > 1:
-                made = self._post(made, call.args[1], df, value)
+                made = self._post(made, call.args[1], df.groupBy(*(c for c in df.columns if re.fullmatch(r"__g\d+", c))).agg(F.collect_list(item).alias(name)))
             return F.collect_list(item), made.col, made.type
         if kind in ("min", "max") and value.type in ("time",):
             return (F.min if kind == "min" else F.max)(value.col), out, value.type
@@ -642,8 +647,8 @@ class Planner:
     def _cast_of(value: Value, df: DataFrame) -> T.DataType:
         return df.select(value.col.alias("v")).schema["v"].dataType
 
-    def _post(self, listed: Value, node: ast.expr, df: DataFrame, item: Value) -> Value:
-        """ARRAY_AGG's callback: a lambda becomes a column where it can, else runs in Python."""
+    def _post(self, listed: Value, node: ast.expr, grouped: DataFrame) -> Value:
+        """ARRAY_AGG's callback: a lambda becomes a column where it can, else runs in Python, typed over all groups."""
         if isinstance(node, ast.Lambda) and len(node.args.args) == 1:
             compiler = Compiler(lambda n: None)
             compiler.local[node.args.args[0].arg] = listed
@@ -658,8 +663,7 @@ class Planner:
         source = f"({ast.unparse(node)})(__list)"
         self.options.python_expressions.append(source)
         call = fallback.Evaluator(source, ["__list"], {}, self.options.init_source, self.options.user)
-        sample = [r[0] for r in df.select(item.col).limit(50).collect()]
-        kind = fallback.spark_type([call(sample)])
+        kind = self._kinds_over(call, grouped, [listed.col])
         return Value(F.udf(fallback.coerced(call, kind), kind, useArrow=True)(listed.col), *type_of(kind))
 
     # -- update ------------------------------------------------------------------------------------

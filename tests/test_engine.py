@@ -219,3 +219,22 @@ def test_error_kinds():
     assert error_info(IOHandlingError("x"))[0] == "IO handling"
     assert error_info(SyntaxError("x"))[0] == "syntax error"
     assert error_info(ValueError("x"))[0] == "unexpected"
+
+
+def test_types_of_python_expressions_over_all_rows(spark):
+    df = spark.createDataFrame([(n, n % 2) for n in range(200)], "n int, g int").coalesce(1)
+    late = "select a.n, udf.f(a.n) as v order by udf.f(a.n) desc limit 2"
+    numbers = query(late, df, namespace={"f": lambda n: None if n < 100 else n}).df.collect()
+    assert [list(r) for r in numbers] == [[199, 199], [198, 198]]
+    floats = query("select udf.f(a.n) as v", df, namespace={"f": lambda n: n if n < 100 else n + 0.5}).rows()
+    assert floats == [[float(n)] if n < 100 else [n + 0.5] for n in range(200)]
+    texts = query("select udf.f(a.n) as v", df, namespace={"f": lambda n: n if n < 100 else "x"}).rows()
+    assert texts == [[str(n)] if n < 100 else ["x"] for n in range(200)]
+    lists = query("select udf.f(a.n) as v", df, namespace={"f": lambda n: [] if n < 100 else [[n], [0.5]]}).rows()
+    assert lists[0] == [[]] and lists[150] == [[[150.0], [0.5]]]
+
+
+def test_types_of_array_agg_callbacks_over_all_groups(spark):
+    df = spark.createDataFrame([(n, n // 100) for n in range(200)], "n int, g int").coalesce(1)
+    r = query("select a.g as g, ARRAY_AGG(a.n, udf.f) as v group by a.g", df, namespace={"f": lambda v: len(v) if v[0] < 100 else sum(v) / 7})
+    assert r.rows() == [[0, 100.0], [1, sum(range(100, 200)) / 7]]
