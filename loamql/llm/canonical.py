@@ -32,7 +32,6 @@ MARGIN = 0.02  # least distance to the next entry
 CORE_SHARE = 0.8  # of the score; the rest is the cosine of the whole name
 BLOCK_ENTRIES = 20_000  # entries of the reference list that one index holds
 EDIT_COST = 0.1  # what each edit takes off an accepted candidate's score
-CANDIDATES = 8  # of the best cosines that are looked at for the margin and the edit check
 
 # Words for the form of state, and what stands for them.
 FORM_WORDS = "united cantons republic grand duchy federation democratic kingdom state commonwealth principality saint islands of the".split()
@@ -235,9 +234,7 @@ class Index:
             cos = self.cosines(0, core)
             score = CORE_SHARE * cos + (1 - CORE_SHARE) * self.cosines(1, whole)
             hit = False
-            for n in np.argsort(-score, kind="stable")[:CANDIDATES]:
-                if cos[n] < THRESHOLD:
-                    continue
+            for n in np.flatnonzero(cos >= THRESHOLD):
                 mine = skeleton(self.reading[n].core)
                 most = allowed(len(mine))
                 off = misspelt(core, mine, most)
@@ -247,11 +244,13 @@ class Index:
             if not hit:  # blanks are missing, or a word for the form is beyond recognition
                 tight = skeleton("".join(_letters(w) for w in _WORDS.findall(reading.text)))
                 cos = self.cosines(2, tight)
-                for n in np.argsort(-cos, kind="stable")[:CANDIDATES]:
+                for n in np.flatnonzero(cos > 0):  # so many letters with so few edits leave common n-grams
                     mine = skeleton(self.joined[n])
                     most = 0 if len(mine) < 10 or len(self.reading[n].core) < 6 else 2 if len(mine) < 20 else 3
+                    if not most:
+                        continue
                     off = misspelt(tight, mine, most)
-                    if most and off <= most:
+                    if off <= most:
                         found[self.entry[n]] = max(found.get(self.entry[n], 0.0), float(cos[n]) - EDIT_COST * off)
         return sorted(((s, i) for i, s in found.items()), key=lambda x: (-x[0], x[1]))[:2]
 

@@ -73,6 +73,21 @@ def test_misspelt_names_are_found():
     assert right >= 390
 
 
+def test_candidates_are_not_capped():
+    index = c.Index([*((n + 2, "Marovlquena", None, None) for n in range(12)), (1, "Marvoel", None, None)])
+    cos = index.cosines(0, "marovl")
+    assert sum(cos > cos[-1]) == 12 and cos[-1] >= c.THRESHOLD
+    assert meant(index, "Marovl") == 1
+
+
+def test_candidates_without_blanks_are_not_capped():
+    index = c.Index([*((n + 2, "Old Marovlitania Que", None, None) for n in range(12)), (1, "Old Marvoelitania", None, None)])
+    index.parts[0] = index._build(["#"] * 13)  # no core is alike
+    cos = index.cosines(2, "oldmarovlitania".replace("i", "l"))
+    assert sum(cos > cos[-1]) == 12
+    assert meant(index, "OldMarovlitania") == 1
+
+
 @pytest.mark.parametrize("block", [20_000, 4])
 def test_rows(spark, monkeypatch, block):
     monkeypatch.setattr(c, "BLOCK_ENTRIES", block)
