@@ -131,7 +131,7 @@ def query(
     def find(name: str, modifier: str | None) -> Table | None:
         return known.get(name)
 
-    options = Options(init_code, dict(namespace or {}), allow_python, strict_nulls)
+    options = Options(init_code, dict(namespace or {}), allow_python, strict_nulls=strict_nulls)
     return run(text, from_frame(source) if source is not None else None, find if tables is not None else None, options)
 
 

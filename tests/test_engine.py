@@ -238,3 +238,14 @@ def test_types_of_array_agg_callbacks_over_all_groups(spark):
     df = spark.createDataFrame([(n, n // 100) for n in range(200)], "n int, g int").coalesce(1)
     r = query("select a.g as g, ARRAY_AGG(a.n, udf.f) as v group by a.g", df, namespace={"f": lambda v: len(v) if v[0] < 100 else sum(v) / 7})
     assert r.rows() == [[0, 100.0], [1, sum(range(100, 200)) / 7]]
+
+
+@pytest.mark.parametrize("aggregate", ["MIN", "MAX", "SUM", "AVG", "VARIANCE", "MEDIAN"])
+def test_strict_nulls(spark, aggregate):
+    df = spark.createDataFrame([(1, 1.5, "1"), (2, None, None), (None, 2.5, "2")], "n int, x double, t string")
+    for field in "nxt":
+        text = f"select {aggregate}(a.{field}) as v"
+        assert query(text, df).rows()[0][0] is not None
+        with pytest.raises(Exception, match=f"{aggregate} of a null value"):
+            query(text, df, strict_nulls=True).rows()
+        assert query(text, df.dropna(), strict_nulls=True).rows()[0][0] is not None
