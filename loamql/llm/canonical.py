@@ -1,8 +1,9 @@
 """Mapping freely typed values to the entries of a reference list.
 
 Values are deduplicated and normalised, candidates come from an inverted index of character n-grams,
-are scored by the weighted cosine of their n-grams, and the best is accepted if its score is above a
-threshold and above the next entry's by a margin; an edit-distance check of the accepted pair follows.
+which holds those that share as many n-grams as the allowed edits must leave; they are checked for their
+edit distance and scored by the weighted cosine of their n-grams, and the best is accepted if its score
+is above the next entry's by a margin.
 
 Normalising undoes what doesn't change a name: HTML entities, compatibility and invisible characters,
 case, accents of Latin letters, look-alike letters of another script, digits for letters, quotes,
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 
 from loamql.session import shuffle_width
 
-THRESHOLD = 0.15  # least cosine of cores
 MARGIN = 0.02  # least distance to the next entry
 CORE_SHARE = 0.8  # of the score; the rest is the cosine of the whole name
 BLOCK_ENTRIES = 20_000  # entries of the reference list that one index holds
@@ -152,12 +152,12 @@ def squeezed(text: str) -> str:
 
 
 def misspelt(a: str, b: str, most: int) -> int:
-    """The edits between two names; "rn" for "m", "vv" for "w" and doubled letters count as none."""
-    best = edits(a, b, most)
+    """The edits between two names; letters alike, "rn" for "m", "vv" for "w" and doubled letters count as none."""
+    best = edits(skeleton(a), skeleton(b), most)
     if best and ("rn" in a or "rn" in b or "vv" in a or "vv" in b):
-        best = min(best, edits(a.replace("rn", "m").replace("vv", "w"), b.replace("rn", "m").replace("vv", "w"), most))
+        best = min(best, edits(*(skeleton(x.replace("rn", "m").replace("vv", "w")) for x in (a, b)), most))
     if best > 1 and _REPEATED.search(a):
-        best = min(best, edits(squeezed(a), squeezed(b), most))
+        best = min(best, edits(skeleton(squeezed(a)), skeleton(squeezed(b)), most))
     return best
 
 
@@ -170,6 +170,46 @@ def readings(value: str) -> list[str]:
     return [p for p in dict.fromkeys(parts) if p]
 
 
+def _variants(text: str) -> list[str]:
+    """The writings of which ``misspelt`` compares one to the same one of the other name."""
+    return [skeleton(x) for x in (text, text.replace("rn", "m").replace("vv", "w"), squeezed(text))]
+
+
+class Near:
+    """The names that may be within so many edits of a text, each with its own most edits.
+
+    An edit, also a transposition, touches at most three of a name's bigrams, so two names that are
+    within ``most`` edits share all but 3 * most of them; a name of too few bigrams is always taken.
+    """
+
+    def __init__(self, names: list[str], most: list[int]) -> None:
+        self.most = np.asarray(most, dtype=int)
+        self.forms = []
+        for form in range(3):
+            posting: dict[str, list[int]] = defaultdict(list)
+            written = [_variants(n)[form] for n in names]
+            for n, name in enumerate(written):
+                for gram in self._bigrams(name):
+                    posting[gram].append(n)
+            least = np.asarray([len(self._bigrams(n)) for n in written], dtype=int) - 3 * self.most
+            self.forms.append(({g: np.asarray(p) for g, p in posting.items()}, least, np.asarray([len(n) for n in written], dtype=int)))
+
+    @staticmethod
+    def _bigrams(text: str) -> set[str]:
+        padded = f"^{text}$"
+        return {padded[i : i + 2] for i in range(len(padded) - 1)}
+
+    def places(self, text: str) -> np.ndarray:
+        near = np.zeros(len(self.most), dtype=bool)
+        for (posting, least, length), written in zip(self.forms, _variants(text)):
+            shared = np.zeros(len(least), dtype=int)
+            for gram in self._bigrams(written):
+                if gram in posting:
+                    shared[posting[gram]] += 1
+            near |= (shared >= least) & (abs(length - len(written)) <= self.most)
+        return np.flatnonzero(near)
+
+
 def _grams(text: str) -> list[str]:
     padded = f"^{text}$"
     return list({padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)})
@@ -178,7 +218,9 @@ def _grams(text: str) -> list[str]:
 class Index:
     """The inverted index of a reference list: each entry's names as cores and as wholes."""
 
-    def __init__(self, entries: list[tuple[int, str | None, str | None, str | None]]) -> None:
+    def __init__(self, entries: list[tuple[int, str | None, str | None, str | None]], counts: tuple[int, dict[tuple[int, str], int]] | None = None) -> None:
+        """``counts``: the readings of the whole list and those that hold a (part, n-gram), if ``entries`` is a block of it."""
+        self.counts = counts
         self.codes: dict[str, set[int]] = defaultdict(set)
         self.entry: list[int] = []
         self.reading: list[Reading] = []
@@ -189,17 +231,25 @@ class Index:
                     self.reading.append(Reading(text))
             if code and code.strip():
                 self.codes[plain(code.strip())].add(ident)
-        self.parts = [self._build([skeleton(r.core) for r in self.reading]), self._build([skeleton(r.whole) for r in self.reading])]
         self.joined = ["".join(_WORDS.findall(r.text)) for r in self.reading]
-        self.parts.append(self._build([skeleton(j) for j in self.joined]))
+        names = self.names()
+        self.parts = [self._build(held, part) for part, held in enumerate(names)]
+        self.near = Near([r.core for r in self.reading], [allowed(len(n)) for n in names[0]])
+        tight = [0 if len(j) < 10 or len(r.core) < 6 else 2 if len(j) < 20 else 3 for j, r in zip(names[2], self.reading)]
+        self.near_joined = Near(self.joined, tight)
 
-    def _build(self, names: list[str]) -> tuple:
+    def names(self) -> list[list[str]]:
+        """The parts' names: cores, wholes and names without blanks."""
+        return [[skeleton(r.core) for r in self.reading], [skeleton(r.whole) for r in self.reading], [skeleton(j) for j in self.joined]]
+
+    def _build(self, names: list[str], part: int = 0) -> tuple:
         posting: dict[str, list[int]] = defaultdict(list)
         for n, name in enumerate(names):
             for gram in _grams(name):
                 posting[gram].append(n)
-        total = max(len(names), 1)
-        weight = {g: math.log(1 + total / len(p)) for g, p in posting.items()}
+        total = max(self.counts[0] if self.counts else len(names), 1)
+        counted = {g: c for (k, g), c in self.counts[1].items() if k == part} if self.counts else {g: len(p) for g, p in posting.items()}
+        weight = {g: math.log(1 + total / c) for g, c in counted.items()}
         norm = np.zeros(len(names))
         for gram, places in posting.items():
             norm[places] += weight[gram] ** 2
@@ -210,11 +260,9 @@ class Index:
         scores, own = np.zeros(len(norm)), 0.0
         for gram in _grams(name):
             places = posting.get(gram)
-            if places is None:
-                own += unseen * unseen
-            else:
-                w = weight[gram] * weight[gram]
-                own += w
+            w = weight.get(gram, unseen) ** 2
+            own += w
+            if places is not None:
                 scores[places] += w
         return scores / (np.maximum(norm, 1e-9) * math.sqrt(own or 1.0))
 
@@ -234,39 +282,56 @@ class Index:
             cos = self.cosines(0, core)
             score = CORE_SHARE * cos + (1 - CORE_SHARE) * self.cosines(1, whole)
             hit = False
-            for n in np.flatnonzero(cos >= THRESHOLD):
-                mine = skeleton(self.reading[n].core)
-                most = allowed(len(mine))
-                off = misspelt(core, mine, most)
+            for n in self.near.places(reading.core):
+                most = int(self.near.most[n])
+                off = misspelt(reading.core, self.reading[n].core, most)
                 if off <= most:
                     hit = True
-                    found[self.entry[n]] = max(found.get(self.entry[n], 0.0), float(score[n]) - EDIT_COST * off)
+                    found[self.entry[n]] = max(found.get(self.entry[n], -math.inf), float(score[n]) - EDIT_COST * off)
             if not hit:  # blanks are missing, or a word for the form is beyond recognition
-                tight = skeleton("".join(_letters(w) for w in _WORDS.findall(reading.text)))
-                cos = self.cosines(2, tight)
-                for n in np.flatnonzero(cos > 0):  # so many letters with so few edits leave common n-grams
-                    mine = skeleton(self.joined[n])
-                    most = 0 if len(mine) < 10 or len(self.reading[n].core) < 6 else 2 if len(mine) < 20 else 3
+                tight = "".join(_letters(w) for w in _WORDS.findall(reading.text))
+                cos = self.cosines(2, skeleton(tight))
+                for n in self.near_joined.places(tight):
+                    most = int(self.near_joined.most[n])
                     if not most:
                         continue
-                    off = misspelt(tight, mine, most)
+                    off = misspelt(tight, self.joined[n], most)
                     if off <= most:
-                        found[self.entry[n]] = max(found.get(self.entry[n], 0.0), float(cos[n]) - EDIT_COST * off)
+                        found[self.entry[n]] = max(found.get(self.entry[n], -math.inf), float(cos[n]) - EDIT_COST * off)
         return sorted(((s, i) for i, s in found.items()), key=lambda x: (-x[0], x[1]))[:2]
 
 
+def _counts(entries: DataFrame) -> tuple[int, dict[tuple[int, str], int]]:
+    """The readings of the whole list, and how many hold each (part, n-gram)."""
+
+    def work(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [tuple(None if pd.isna(x) else x for x in r) for r in pdf.itertuples(index=False)]
+            index = Index(rows)
+            held = [(k, g) for k, part in enumerate(index.names()) for name in part for g in _grams(name)]
+            held += [(-1, "")] * len(index.reading)
+            yield pd.DataFrame(held, columns=["part", "gram"])
+
+    counted = entries.mapInPandas(work, "part int, gram string").groupBy("part", "gram").count().collect()
+    held = {(r["part"], r["gram"]): r["count"] for r in counted}
+    return held.pop((-1, ""), 0), held
+
+
 def match_values(values: DataFrame, entries: DataFrame, value: str = "value") -> DataFrame:
     """(value, entry, score): the entry (country_id) each distinct non-blank value means, 0 for none.
 
     ``entries`` has country_id, country, iso_code, local_name; nulls among the names are skipped. The
     list is taken in blocks of BLOCK_ENTRIES, one index each, and the blocks' best are compared; so a
-    list of any length works, and no more than a block is sent to the workers at once. With more than
-    one block, n-gram weights are those of the block.
+    list of any length works, and a task holds no more than a block and the n-gram counts of the whole
+    list, from which the weights of every block are made.
     """
     names = ["country_id", "country", "iso_code", "local_name"]
     distinct = values.select(value).filter(F.trim(value) != "").distinct()
     n_blocks = max(1, math.ceil(entries.count() / BLOCK_ENTRIES))
     parts = []
+    counts = _counts(entries.select(*names)) if n_blocks > 1 else None
     for b in range(n_blocks):
         held = entries.select(*names) if n_blocks == 1 else entries.select(*names).filter(F.pmod(F.xxhash64("country_id"), F.lit(n_blocks)) == b)
         block = [tuple(r) for r in held.collect()]
@@ -274,7 +339,7 @@ def match_values(values: DataFrame, entries: DataFrame, value: str = "value") ->
         def work(batches: Iterator, block: list = block) -> Iterator:
             import pandas as pd
 
-            index = Index(block)
+            index = Index(block, counts)
             for pdf in batches:
                 rows = [(v, s, i) for v in pdf[value] for s, i in index.best(v)]
                 yield pd.DataFrame(rows, columns=[value, "score", "entry"])
@@ -286,7 +351,7 @@ def match_values(values: DataFrame, entries: DataFrame, value: str = "value") ->
         found = found.unionByName(part)
     order = Window.partitionBy(value).orderBy(F.desc("score"), "entry")
     ranked = found.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).filter("n = 1")
-    clear = F.col("score") - F.coalesce("next", F.lit(0.0)) >= MARGIN
+    clear = F.col("next").isNull() | (F.col("score") - F.col("next") >= MARGIN)
     return ranked.select(value, F.when(clear, F.col("entry")).otherwise(F.lit(0)).alias("entry"), "score")
 
 
