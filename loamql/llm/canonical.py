@@ -1,16 +1,20 @@
 """Mapping freely typed values to the entries of a reference list.
 
-Values are deduplicated and normalised, candidates come from an inverted index of character n-grams,
-which holds those that share as many n-grams as the allowed edits must leave; they are checked for their
-edit distance and scored by the weighted cosine of their n-grams, and the best is accepted if its score
-is above the next entry's by a margin.
+Values are deduplicated and normalised; candidates come from an inverted index of character n-grams
+and are scored by the weighted cosine of their n-grams. All of a cosine of at least THRESHOLD are
+looked at, an exact check of their edit distance follows, and the best is accepted if its score is
+above the next entry's by MARGIN; a value without such a candidate means no entry.
 
 Normalising undoes what doesn't change a name: HTML entities, compatibility and invisible characters,
 case, accents of Latin letters, look-alike letters of another script, digits for letters, quotes,
 footnotes, separators. A value like "name (local)", "CODE: name" or "local / name" has several
-readings, of which the best counts. Of a reading the words for the form of state are set apart, also
-abbreviated or misspelt ones, so that the rest, the core, is compared by itself; where two entries
-share a core the forms decide, and a value that fits two entries alike means none.
+readings, of which the best counts.
+
+Nothing is known of any list beforehand: words that many entries share ("republic", "city", "senior")
+are learned from the list, each of at least COMMON_SHARE of the entries and COMMON_LEAST. In a value
+such words, also shortened or misspelt ones, are set apart, so that the rest, the core, is compared by
+itself. Common words that only follow others ("of") are links, and an unknown word before a link stands
+for a common one. The common words are a part of the score, so they decide where entries share a core.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ import html
 import math
 import re
 import unicodedata
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -28,20 +34,17 @@ from pyspark.sql import functions as F
 
 from loamql.session import shuffle_width
 
-MARGIN = 0.02  # least distance to the next entry
-CORE_SHARE = 0.8  # of the score; the rest is the cosine of the whole name
+THRESHOLD = 0.3  # least weighted cosine of a candidate's n-grams
+MARGIN = 0.02  # least distance of its score to the next entry's
+EDIT_COST = 0.1  # what each edit that the exact check finds takes off a candidate's score
+ARTICLES = frozenset({"the"})  # words that may stand before any name
+CORE_SHARE = 0.8  # of the score; the rest is for the common words
+COMMON_SHARE, COMMON_LEAST = 0.01, 3  # of the entries that share a common word, and how many at least
 BLOCK_ENTRIES = 20_000  # entries of the reference list that one index holds
-EDIT_COST = 0.1  # what each edit takes off an accepted candidate's score
-
-# Words for the form of state, and what stands for them.
-FORM_WORDS = "united cantons republic grand duchy federation democratic kingdom state commonwealth principality saint islands of the".split()
-FORM_SHORT = {
-    "utd": "united", "cant": "cantons", "cantn": "cantons", "rep": "republic", "repub": "republic", "republ": "republic", "gr": "grand", "gd": "grand duchy", "dem": "democratic", "democr": "democratic", "democ": "democratic",
-    "fed": "federation", "st": "saint", "ste": "saint", "snt": "saint", "isl": "islands", "is": "islands", "isls": "islands", "islds": "islands", "island": "islands", "king": "kingdom", "dy": "duchy", "duc": "duchy", "feder": "federation", "kgdm": "kingdom", "un": "united", "princ": "principality",
-}
-OTHER_SHORT = {"nth": "north", "n": "north", "nw": "new", "&": "and", "+": "and", "und": "and", "et": "and"}
-# Cyrillic and Greek letters that look like Latin ones
-LOOKS = str.maketrans("аеорсхуікмнтвѕјԁһԛԝӏзгАЕОРСХУІКМНТВЅЈЗοανιρυκτεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyikmhtbsjdhqwl3rAEOPCXYIKMHTBSJ3oavipuktεABEZHIKMNOPTYX".replace("ε", "e"))
+GRAM_BITS = 18  # n-grams are counted in so many hash buckets, so the counts' size is bounded
+
+# Cyrillic and Greek letters, and the Latin ones that they look like.
+LOOKS = str.maketrans("аеорсхуікмнтвѕјԁһԛԝӏзгАЕОРСХУІКМНТВЅЈЗοανιρυκτεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyikmhtbsjdhqwl3rAEOPCXYIKMHTBSJ3oavipukteABEZHIKMNOPTYX")
 BACK = str.maketrans("aeopcxyikmtbAEOPCXYIKMHTB", "аеорсхуікмтвАЕОРСХУІКМНТВ")
 DIGITS = str.maketrans("013457", "olesat")
 
@@ -50,6 +53,7 @@ _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _PARTS = re.compile(r"[/()\[\]{}|:：（）［］]|\s[-–—]\s")
 _REPEATED = re.compile(r"(.)\1+")
 _WORDS = re.compile(r"[^\W_]+(?:[̀-ͯऀ-ॿ่-๎]*[^\W_]*)*|[&+]")
+_INITIALS = re.compile(r"(?:\b[^\W\d_](?:\.\s?|\s)){2,}")
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -97,51 +101,6 @@ def _letters(word: str) -> str:
     return word.translate(DIGITS) if any(c.isalpha() for c in word) else word
 
 
-def _form(word: str) -> str | None:
-    """The word for the form of state that ``word`` is, short or misspelt."""
-    if word in FORM_SHORT:
-        return FORM_SHORT[word]
-    for known in FORM_WORDS:
-        most = 0 if len(known) < 4 or len(word) < 4 else 1 if len(known) < 6 else 2
-        if edits(word, known, most) <= most or most and squeezed(word) == known:
-            return known
-    return "of" if word in ("off", "oof", "og", "od", "pf", "if", "fo", "0f", "o", "f", "ov", "oo", "iof", "ofn") else None
-
-
-class Reading:
-    """One reading of a value: its whole name without blanks, its core and its form of state."""
-
-    __slots__ = ("core", "forms", "text", "whole")
-
-    def __init__(self, text: str) -> None:
-        text = plain(text)
-        if "," in text:  # "core, form" with the form moved behind
-            head, _, tail = text.partition(",")
-            if tail.strip(" .,"):
-                text = f"{tail} {head}"
-        text = re.sub(r"\bg\.?\s?d\.?(?=\s)", "gd ", text)
-        self.text = text
-        words = [_letters(w) for w in _WORDS.findall(text)]
-        core, forms = [], []
-        for n, word in enumerate(words):
-            form = _form(word)
-            if not form and forms and not core and n + 1 < len(words) and len(word) < 5 and forms[-1] != "of" and edits(word, "of", 2) <= 2:
-                form = "of"
-            if form:
-                forms += form.split()
-            else:
-                word = OTHER_SHORT.get(word, word)
-                if not core and n + 1 < len(words):  # a misspelt "new" or "north" before the name
-                    word = "new" if 1 < len(word) < 5 and edits(word, "new", 1) <= 1 else "north" if 3 < len(word) < 8 and edits(word, "north", 1) <= 1 else word
-                core.append(word)
-        forms = [f for f in forms if f not in ("of", "the")]
-        if not core:  # a name made of such words only
-            core, forms = words, []
-        self.core = "".join(core)
-        self.forms = frozenset(forms)
-        self.whole = "".join(sorted(self.forms)) + self.core
-
-
 def skeleton(text: str) -> str:
     """Letters that are taken for each other whatever the writing made equal."""
     return text.replace("i", "l")
@@ -170,179 +129,302 @@ def readings(value: str) -> list[str]:
     return [p for p in dict.fromkeys(parts) if p]
 
 
-def _variants(text: str) -> list[str]:
-    """The writings of which ``misspelt`` compares one to the same one of the other name."""
-    return [skeleton(x) for x in (text, text.replace("rn", "m").replace("vv", "w"), squeezed(text))]
+def words_of(text: str) -> list[str]:
+    """The words of a normalised text, "core, form" with the form moved to the front, initials joined."""
+    if "," in text:
+        head, _, tail = text.partition(",")
+        if tail.strip(" .,"):
+            text = f"{tail} {head}"
+    text = _INITIALS.sub(lambda m: "".join(c for c in m.group() if c.isalpha()) + " ", text)
+    return ["and" if w in ("&", "+") else _letters(w) for w in _WORDS.findall(text)]
+
+
+def shortens(word: str, known: str) -> bool:
+    """Whether ``word`` may be short for ``known``: its first letter and more of its letters in their order."""
+    if not (len(word) < len(known) and len(known) > 2 and word[:1] == known[0]):
+        return False
+    at = iter(known)
+    return all(c in at for c in word)
+
+
+class Common:
+    """The common words of a list, learned from counts over all its entries."""
+
+    def __init__(self, n_entries: int, words: Counter) -> None:
+        least = max(COMMON_LEAST, math.ceil(COMMON_SHARE * n_entries))
+        self.n_entries = n_entries
+        self.weight = {w: math.log(1 + n_entries / c) / math.log(1 + n_entries / least) for w, c in words.items() if c >= least}
+        self.links: set[str] = set()
+        self.initials: dict[str, set[tuple[str, ...]]] = defaultdict(set)
+        self.kept = lru_cache(100_000)(self._meant)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.kept = lru_cache(100_000)(self._meant)
+
+    def learn(self, facts: Counter) -> None:
+        """Links and the initials of runs of common words, from ``second_facts``."""
+        self.links = {w for w in self.weight if facts[("seen", w)] and facts[("seen", w)] == facts[("follows", w)]}
+        for kind, run in facts:
+            if kind == "run":
+                for a in range(len(run)):
+                    for b in range(a + 2, len(run) + 1):
+                        self.initials["".join(w[0] for w in run[a:b])].add(run[a:b])
+
+    def _meant(self, word: str) -> tuple[tuple[str, ...], ...]:
+        """What common words ``word`` may stand for; none if it is a word of its own."""
+        if word in self.weight:
+            return ((word,),)
+        if word in self.initials:
+            return tuple(sorted(self.initials[word]))
+        for known in self.weight:
+            most = 0 if len(known) < 4 or len(word) < 4 else 1 if len(known) < 6 else 2
+            if most and (edits(word, known, most) <= most or squeezed(word) == known):
+                return ((known,),)
+        short = [known for known in self.weight if shortens(word, known) and (len(word) < 5 or known.startswith(word))]
+        starts = [known for known in short if known.startswith(word)]
+        return tuple((known,) for known in sorted(starts or short))
+
+    def little(self, word: str) -> str | None:
+        """The common word of up to three letters, a link among them, that ``word`` is a misspelling of."""
+        if not 0 < len(word) < 5:
+            return None
+        near = sorted((edits(word, k, 2), k not in self.links, k) for k in self.weight if len(k) < 4)
+        return near[0][2] if near and near[0][0] <= (1 if len(word) < 4 and near[0][2] not in self.links or len(word) > 3 else 2) else None
 
 
-class Near:
-    """The names that may be within so many edits of a text, each with its own most edits.
+class Reading:
+    """One reading of a value: its core, its common words, each with what it may mean, and its whole name without blanks."""
 
-    An edit, also a transposition, touches at most three of a name's bigrams, so two names that are
-    within ``most`` edits share all but 3 * most of them; a name of too few bigrams is always taken.
-    """
+    __slots__ = ("core", "forms", "joined")
 
-    def __init__(self, names: list[str], most: list[int]) -> None:
-        self.most = np.asarray(most, dtype=int)
-        self.forms = []
-        for form in range(3):
-            posting: dict[str, list[int]] = defaultdict(list)
-            written = [_variants(n)[form] for n in names]
-            for n, name in enumerate(written):
-                for gram in self._bigrams(name):
-                    posting[gram].append(n)
-            least = np.asarray([len(self._bigrams(n)) for n in written], dtype=int) - 3 * self.most
-            self.forms.append(({g: np.asarray(p) for g, p in posting.items()}, least, np.asarray([len(n) for n in written], dtype=int)))
-
-    @staticmethod
-    def _bigrams(text: str) -> set[str]:
-        padded = f"^{text}$"
-        return {padded[i : i + 2] for i in range(len(padded) - 1)}
-
-    def places(self, text: str) -> np.ndarray:
-        near = np.zeros(len(self.most), dtype=bool)
-        for (posting, least, length), written in zip(self.forms, _variants(text)):
-            shared = np.zeros(len(least), dtype=int)
-            for gram in self._bigrams(written):
-                if gram in posting:
-                    shared[posting[gram]] += 1
-            near |= (shared >= least) & (abs(length - len(written)) <= self.most)
-        return np.flatnonzero(near)
-
-
-def _grams(text: str) -> list[str]:
+    def __init__(self, text: str, common: Common) -> None:
+        words = words_of(plain(text))
+        self.joined = "".join(words)
+        core: list[str] = []
+        forms: list[tuple[tuple[str, ...], ...]] = []
+        last = False  # whether the word before was a common one
+        for n, word in enumerate(words):
+            more = n + 1 < len(words)
+            if word in ARTICLES and more and not core:
+                continue
+            meant = common.kept(word)
+            if not meant and more and (near := common.little(word)) and (last or near not in common.links):
+                meant = ((near,),)
+            if not meant and more and common.kept(words[n + 1]) and all(m[-1] in common.links for m in common.kept(words[n + 1])) and n + 2 < len(words):
+                meant = ((word,),)  # an unknown word before a link stands for a common one
+            last = bool(meant)
+            if meant:
+                forms.append(meant)
+            else:
+                core.append(word)
+        if not core:  # a name made of such words only
+            core, forms = words, []
+        self.core = "".join(core)
+        self.forms = [f for f in forms if not all(m[-1] in common.links and len(m) == 1 for m in f)]
+
+    def meant(self) -> set[str]:
+        """The common words, each by its first meaning."""
+        return {w for f in self.forms for w in f[0]}
+
+
+def alike(reading: Reading, known: set[str], common: Common) -> float:
+    """How far the common words of a value are those of an entry, from 0 to 1: the weight of the value's
+    words that the entry has, and one more if the entry has no others. So which words an entry has
+    beyond the value's makes no difference where two entries share a core, only whether it has any."""
+    mine: set[str] = set()
+    for meanings in reading.forms:
+        mine |= set(max(meanings, key=lambda m: (len(known.intersection(m)), -len(m))))
+    weigh = lambda words: sum(common.weight.get(w, 1.0) for w in words if w not in common.links)
+    return (weigh(mine & known) + (not weigh(known - mine))) / (weigh(mine) + 1)
+
+
+def _grams(text: str) -> set[str]:
+    """Pairs of neighbouring letters, and of letters with one between."""
     padded = f"^{text}$"
-    return list({padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)})
+    return {padded[i : i + 2] for i in range(len(padded) - 1)} | {f"{padded[i]}\n{padded[i + 2]}" for i in range(len(padded) - 2)}
 
 
-class Index:
-    """The inverted index of a reference list: each entry's names as cores and as wholes."""
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & ((1 << GRAM_BITS) - 1)
+
+
+Entry = tuple[int, "str | None", "str | None", "str | None"]
+
+
+def _names(rows: list[Entry]) -> list[tuple[int, str]]:
+    return [(ident, text) for ident, name, _, local in rows for text in (name, local) if text and text.strip()]
+
+
+def first_facts(rows: list[Entry]) -> Counter:
+    """The entries, and those that hold each word."""
+    found: Counter = Counter({("entries", ""): len(rows)})
+    for _, name, _, local in rows:
+        found.update({("word", w) for text in (name, local) if text for w in words_of(plain(text))})
+    return found
+
+
+def second_facts(rows: list[Entry], common: Common) -> Counter:
+    """How often each common word is seen and follows another, the runs of common words, and the names
+    that hold each n-gram bucket, as a core or as a whole."""
+    found: Counter = Counter()
+    for _, text in _names(rows):
+        words, run = words_of(plain(text)), []
+        for word in [*words, ""]:
+            if word in common.weight:
+                found[("seen", word)] += 1
+                found[("follows", word)] += bool(run)
+                run.append(word)
+            else:
+                if len(run) > 1:
+                    found[("run", tuple(run))] += 1
+                run = []
+        reading = Reading(text, common)
+        for part, name in enumerate((reading.core, reading.joined)):
+            found.update({(part, _bucket(g)) for g in _grams(skeleton(name))})
+        found[("names", "")] += 1
+    return found
 
-    def __init__(self, entries: list[tuple[int, str | None, str | None, str | None]], counts: tuple[int, dict[tuple[int, str], int]] | None = None) -> None:
-        """``counts``: the readings of the whole list and those that hold a (part, n-gram), if ``entries`` is a block of it."""
-        self.counts = counts
+
+class Index:
+    """The inverted index of a block of a reference list; ``common`` and ``facts`` are of the whole list."""
+
+    def __init__(self, entries: list[Entry], common: Common | None = None, facts: Counter | None = None) -> None:
+        if common is None or facts is None:
+            first = first_facts(entries)
+            common = Common(first[("entries", "")], Counter({w: c for (k, w), c in first.items() if k == "word"}))
+            facts = second_facts(entries, common)
+            common.learn(facts)
+            facts = second_facts(entries, common)
+        self.common = common
         self.codes: dict[str, set[int]] = defaultdict(set)
-        self.entry: list[int] = []
-        self.reading: list[Reading] = []
-        for ident, name, code, local in entries:
-            for text in (name, local):
-                if text and text.strip():
-                    self.entry.append(ident)
-                    self.reading.append(Reading(text))
+        for ident, _, code, _ in entries:
             if code and code.strip():
                 self.codes[plain(code.strip())].add(ident)
-        self.joined = ["".join(_WORDS.findall(r.text)) for r in self.reading]
-        names = self.names()
-        self.parts = [self._build(held, part) for part, held in enumerate(names)]
-        self.near = Near([r.core for r in self.reading], [allowed(len(n)) for n in names[0]])
-        tight = [0 if len(j) < 10 or len(r.core) < 6 else 2 if len(j) < 20 else 3 for j, r in zip(names[2], self.reading)]
-        self.near_joined = Near(self.joined, tight)
-
-    def names(self) -> list[list[str]]:
-        """The parts' names: cores, wholes and names without blanks."""
-        return [[skeleton(r.core) for r in self.reading], [skeleton(r.whole) for r in self.reading], [skeleton(j) for j in self.joined]]
-
-    def _build(self, names: list[str], part: int = 0) -> tuple:
-        posting: dict[str, list[int]] = defaultdict(list)
-        for n, name in enumerate(names):
-            for gram in _grams(name):
-                posting[gram].append(n)
-        total = max(self.counts[0] if self.counts else len(names), 1)
-        counted = {g: c for (k, g), c in self.counts[1].items() if k == part} if self.counts else {g: len(p) for g, p in posting.items()}
-        weight = {g: math.log(1 + total / c) for g, c in counted.items()}
-        norm = np.zeros(len(names))
-        for gram, places in posting.items():
-            norm[places] += weight[gram] ** 2
-        return {g: np.asarray(p) for g, p in posting.items()}, weight, np.sqrt(norm), math.log(1 + total)
-
-    def cosines(self, part: int, name: str) -> np.ndarray:
-        posting, weight, norm, unseen = self.parts[part]
-        scores, own = np.zeros(len(norm)), 0.0
-        for gram in _grams(name):
-            places = posting.get(gram)
-            w = weight.get(gram, unseen) ** 2
-            own += w
-            if places is not None:
-                scores[places] += w
-        return scores / (np.maximum(norm, 1e-9) * math.sqrt(own or 1.0))
+        names = _names(entries)
+        self.entry = [ident for ident, _ in names]
+        self.reading = [Reading(text, common) for _, text in names]
+        self.known = [r.meant() for r in self.reading]
+        total = max(facts[("names", "")], 1)
+        self.parts = []
+        for part in range(2):
+            counts = {b: c for (p, b), c in facts.items() if p == part and type(p) is int}
+            written = [skeleton(r.joined if part else r.core) for r in self.reading]
+            posting: dict[str, list[int]] = defaultdict(list)
+            norm = np.zeros(len(written))
+            weight = lambda g, c=counts: math.log(1 + total / c.get(_bucket(g), 1)) ** 2
+            for n, name in enumerate(written):
+                for gram in _grams(name):
+                    posting[gram].append(n)
+            weights = {g: weight(g) for g in posting}
+            for gram, places in posting.items():
+                norm[places] += weights[gram]
+            self.parts.append(({g: np.asarray(p) for g, p in posting.items()}, weights, np.sqrt(norm), weight))
+
+    def cosines(self, part: int, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """(names, cosines) of the names of a part that share an n-gram with ``name`` and reach THRESHOLD."""
+        posting, weights, norm, weight = self.parts[part]
+        places, shares, own = [], [], 0.0
+        for gram in _grams(skeleton(name)):
+            held = posting.get(gram)
+            if held is None:
+                own += weight(gram)
+                continue
+            own += weights[gram]
+            places.append(held)
+            shares.append(np.full(len(held), weights[gram]))
+        if not places:
+            return np.zeros(0, int), np.zeros(0)
+        found, at = np.unique(np.concatenate(places), return_inverse=True)
+        cos = np.bincount(at, weights=np.concatenate(shares)) / (np.maximum(norm[found], 1e-9) * math.sqrt(own))
+        near = cos >= THRESHOLD
+        return found[near], cos[near]
 
     def best(self, value: str) -> list[tuple[float, int]]:
-        """(score, entry) of the accepted candidates, best first, one per entry."""
+        """(score, entry) of the two best candidates that the exact check confirms, one per entry."""
         found: dict[int, float] = {}
-        texts = readings(value)
-        for text in texts:
-            code = self.codes.get(plain(text))
-            if code:
-                for ident in code:
-                    found[ident] = max(found.get(ident, 0.0), 1.0)
-            reading = Reading(text)
+
+        def put(n: int, score: float) -> None:
+            found[self.entry[n]] = max(found.get(self.entry[n], -math.inf), score)
+
+        for text in readings(value):
+            for ident in self.codes.get(plain(text), ()):
+                found[ident] = max(found.get(ident, 0.0), 1.0)
+            reading = Reading(text, self.common)
             if not reading.core or not self.reading:
                 continue
-            core, whole = skeleton(reading.core), skeleton(reading.whole)
-            cos = self.cosines(0, core)
-            score = CORE_SHARE * cos + (1 - CORE_SHARE) * self.cosines(1, whole)
             hit = False
-            for n in self.near.places(reading.core):
-                most = int(self.near.most[n])
-                off = misspelt(reading.core, self.reading[n].core, most)
-                if off <= most:
+            for n, cos in zip(*self.cosines(0, reading.core)):
+                most = allowed(len(skeleton(self.reading[n].core)))
+                if (off := misspelt(reading.core, self.reading[n].core, most)) <= most:
                     hit = True
-                    found[self.entry[n]] = max(found.get(self.entry[n], -math.inf), float(score[n]) - EDIT_COST * off)
-            if not hit:  # blanks are missing, or a word for the form is beyond recognition
-                tight = "".join(_letters(w) for w in _WORDS.findall(reading.text))
-                cos = self.cosines(2, skeleton(tight))
-                for n in self.near_joined.places(tight):
-                    most = int(self.near_joined.most[n])
-                    if not most:
-                        continue
-                    off = misspelt(tight, self.joined[n], most)
-                    if off <= most:
-                        found[self.entry[n]] = max(found.get(self.entry[n], -math.inf), float(cos[n]) - EDIT_COST * off)
+                    put(n, CORE_SHARE * float(cos) + (1 - CORE_SHARE) * alike(reading, self.known[n], self.common) - EDIT_COST * off)
+            if not hit:  # blanks are missing, or a common word is beyond recognition
+                for n, cos in zip(*self.cosines(1, reading.joined)):
+                    joined = self.reading[n].joined
+                    most = 0 if len(joined) < 10 or len(self.reading[n].core) < 6 else 2 if len(joined) < 20 else 3
+                    if most and (off := misspelt(reading.joined, joined, most)) <= most:
+                        put(n, float(cos) - EDIT_COST * off)
         return sorted(((s, i) for i, s in found.items()), key=lambda x: (-x[0], x[1]))[:2]
 
 
-def _counts(entries: DataFrame) -> tuple[int, dict[tuple[int, str], int]]:
-    """The readings of the whole list, and how many hold each (part, n-gram)."""
+def _learn(entries: DataFrame, rows: list[Entry] | None) -> tuple[Common, Counter]:
+    """The common words and the counts of the whole list: from ``rows`` if they are all of it, else by the
+    same functions on the workers, whose counts are added up."""
+
+    def over(facts, *more: object) -> Counter:  # noqa: ANN001
+        if rows is not None:
+            return facts(rows, *more)
+
+        def work(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            for pdf in batches:
+                held = [tuple(None if pd.isna(x) else x for x in r) for r in pdf.itertuples(index=False)]
+                yield pd.DataFrame([(repr(k), c) for k, c in facts(held, *more).items()], columns=["fact", "n"])
 
-    def work(batches: Iterator) -> Iterator:
-        import pandas as pd
+        counted = entries.mapInPandas(work, "fact string, n long").groupBy("fact").agg(F.sum("n").alias("n"))
+        if not more:  # only words that can be common are collected
+            total = entries.count()
+            counted = counted.filter((F.col("n") >= max(COMMON_LEAST, math.ceil(COMMON_SHARE * total))) | F.col("fact").contains("entries"))
+        import ast
 
-        for pdf in batches:
-            rows = [tuple(None if pd.isna(x) else x for x in r) for r in pdf.itertuples(index=False)]
-            index = Index(rows)
-            held = [(k, g) for k, part in enumerate(index.names()) for name in part for g in _grams(name)]
-            held += [(-1, "")] * len(index.reading)
-            yield pd.DataFrame(held, columns=["part", "gram"])
+        return Counter({ast.literal_eval(r["fact"]): r["n"] for r in counted.collect()})
 
-    counted = entries.mapInPandas(work, "part int, gram string").groupBy("part", "gram").count().collect()
-    held = {(r["part"], r["gram"]): r["count"] for r in counted}
-    return held.pop((-1, ""), 0), held
+    first = over(first_facts)
+    common = Common(first[("entries", "")], Counter({w: c for (k, w), c in first.items() if k == "word"}))
+    common.learn(over(second_facts, common))
+    return common, over(second_facts, common)  # links change what a core is
 
 
 def match_values(values: DataFrame, entries: DataFrame, value: str = "value") -> DataFrame:
     """(value, entry, score): the entry (country_id) each distinct non-blank value means, 0 for none.
 
     ``entries`` has country_id, country, iso_code, local_name; nulls among the names are skipped. The
-    list is taken in blocks of BLOCK_ENTRIES, one index each, and the blocks' best are compared; so a
-    list of any length works, and a task holds no more than a block and the n-gram counts of the whole
-    list, from which the weights of every block are made.
+    list is taken in blocks of BLOCK_ENTRIES, one index each, and the blocks' best are compared; common
+    words and weights are of the whole list, so the number of blocks changes no result. A task holds a
+    block and counts of at most 2 * 2**GRAM_BITS buckets.
     """
     names = ["country_id", "country", "iso_code", "local_name"]
     distinct = values.select(value).filter(F.trim(value) != "").distinct()
+    entries = entries.select(*names)
     n_blocks = max(1, math.ceil(entries.count() / BLOCK_ENTRIES))
+    rows = [tuple(r) for r in entries.collect()] if n_blocks == 1 else None
+    common, facts = _learn(entries, rows)
     parts = []
-    counts = _counts(entries.select(*names)) if n_blocks > 1 else None
     for b in range(n_blocks):
-        held = entries.select(*names) if n_blocks == 1 else entries.select(*names).filter(F.pmod(F.xxhash64("country_id"), F.lit(n_blocks)) == b)
-        block = [tuple(r) for r in held.collect()]
+        block = rows if rows is not None else [tuple(r) for r in entries.filter(F.pmod(F.xxhash64("country_id"), F.lit(n_blocks)) == b).collect()]
 
         def work(batches: Iterator, block: list = block) -> Iterator:
             import pandas as pd
 
-            index = Index(block, counts)
+            index = Index(block, common, facts)
             for pdf in batches:
-                rows = [(v, s, i) for v in pdf[value] for s, i in index.best(v)]
-                yield pd.DataFrame(rows, columns=[value, "score", "entry"])
+                out = [(v, s, i) for v in pdf[value] for s, i in index.best(v)]
+                yield pd.DataFrame(out, columns=[value, "score", "entry"])
 
         spread = distinct.repartition(shuffle_width(values.sparkSession))  # each task builds an index, so few values are worth a task
         parts.append(spread.mapInPandas(work, f"`{value}` string, score double, entry int"))
