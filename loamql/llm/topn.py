@@ -1,11 +1,17 @@
 """The N highest rows of every group, with a total order among ties, whatever the groups' sizes.
 
-Hot-cold split: groups are counted exactly. The rows of light groups go through an ordinary window.
-The rows of heavy groups are cut into ranges of the leading sort value and, within a range, into
-salts by their identity, so that neither a large group nor a large tie meets in one task; each
-(group, range, salt) is sorted for its own first N, and the survivors are ranked once more per group.
-Spark prunes each window to N rows per key before its shuffle, so what is moved doesn't grow with
-the group but with the number of its ranges and salts.
+Hot-cold split by exact counts:
+
+* Rows are counted per (hash of the group, range of the leading sort value); the counts give each
+  group's size. The HOT_GROUPS largest of more than ``heavy_rows`` rows are heavy; so any other group
+  holds less than a HOT_GROUPS-th of all rows and goes through an ordinary window.
+* From the same counts, taken from the top range down, follows the range below which no row of a heavy
+  group can be among its first N. Rows below it are dropped where they are read. What is left, a large
+  tie perhaps, is cut into salts by the rows' identity; each (group, salt) is sorted for its own first N,
+  and the survivors are ranked once more per group.
+
+Only (hash of 128 bits, range, salts) of heavy groups is sent to all tasks: 28 bytes each, whatever the
+keys are. Spark prunes each window to N rows per key before its shuffle.
 """
 
 from __future__ import annotations
@@ -17,38 +23,37 @@ from loamql.session import pin
 
 HEAVY_ROWS = 20_000  # a group of more rows is heavy
 PART_ROWS = 20_000  # rows of a heavy group for one salt
-BROADCAST_KEYS = 100_000  # heavy groups that are sent to every task; more are joined by shuffle
+HOT_GROUPS = 100_000  # heavy groups at most: 2.8 MB
 
 
-def top_n(df: DataFrame, groups: list[str], order: list[Column], identity: list[str], n: int, leading_range: Column, heavy_rows: int = HEAVY_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+def top_n(df: DataFrame, groups: list[str], order: list[Column], identity: list[str], n: int, leading_range: Column, heavy_rows: int = HEAVY_ROWS, part_rows: int = PART_ROWS, hot_groups: int = HOT_GROUPS) -> DataFrame:
     """Rows of ``df`` with ``rank`` (from 1, up to ``n``) in each group by ``order``.
 
     ``order`` has to settle every tie that matters: rows equal in all of it rank in either order.
-    ``leading_range`` is an integer that never rises along ``order``, as the floor of a score that is
-    sorted downwards; ``identity`` spreads rows of one range. A null in ``groups`` is a group of its
-    own; groups of fewer than ``n`` rows come out whole; an empty table gives no row; every repeated
-    row counts.
+    ``leading_range`` is an integer that never rises along ``order`` and takes few values, as the floor of
+    a score that is sorted downwards, null last; ``identity`` spreads rows of one range. A null in
+    ``groups`` is a group of its own; groups of fewer than ``n`` rows come out whole; an empty table gives
+    no row; every repeated row counts.
     """
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > heavy_rows)
-    sizes = sizes.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)), "__size")
-    # there are at most rows / heavy_rows of them; they are counted before they are broadcast
-    sizes = pin(sizes)
-    n_heavy = sizes.count()
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    if not n_heavy:
-        return df.withColumn("rank", rank).filter(F.col("rank") <= n)
-    if n_heavy <= BROADCAST_KEYS:
-        sizes = F.broadcast(sizes)
-    same = [df[g].eqNullSafe(sizes[f"__g{i}"]) for i, g in enumerate(groups)]
-    joined = df.join(sizes, same, "left").drop(*(f"__g{i}" for i in range(len(groups))))
-    light = joined.filter(F.col("__size").isNull()).drop("__size")
-    heavy = joined.filter(F.col("__size").isNotNull())
+    columns, ids = df.columns, ["__h1", "__h2"]
+    parts = [x for g in groups for x in (F.col(g).isNull(), F.col(g))]  # a hash passes over nulls
+    hashes = {h: F.xxhash64(F.lit(seed), *parts) for seed, h in enumerate(ids)}
+    marked = df.withColumns(hashes | {"__range": F.coalesce(leading_range.cast("long"), F.lit(-(2**63)))})
+    counts = pin(marked.groupBy(*ids, "__range").agg(F.count(F.lit(1)).alias("__n")))
+    hot = counts.groupBy(*ids).agg(F.sum("__n").alias("__size")).filter(F.col("__size") > heavy_rows).orderBy(F.desc("__size"), *ids).limit(hot_groups)
+    # ranges of heavy groups only: a group has as many rows here as leading_range takes values in it
+    upto = F.sum("__n").over(Window.partitionBy(*ids).orderBy(F.desc("__range")))
+    ranges = counts.join(F.broadcast(hot.select(*ids)), ids).withColumn("__upto", upto).filter(F.col("__upto") >= n)
+    cuts = pin(ranges.groupBy(*ids).agg(F.max("__range").alias("__least"), F.ceil(F.min("__upto") / F.lit(part_rows)).cast("int").alias("__salts")))
 
-    salts = F.ceil(F.col("__size") / F.lit(part_rows)).cast("long")
-    salted = heavy.withColumn("__range", leading_range).withColumn("__salt", F.pmod(F.xxhash64(*identity), salts))
-    part = F.row_number().over(Window.partitionBy(*groups, "__range", "__salt").orderBy(*order))
-    survivors = salted.withColumn("__part", part).filter(F.col("__part") <= n).drop("__part", "__range", "__salt", "__size")
-    return light.withColumn("rank", rank).filter(F.col("rank") <= n).unionByName(survivors.withColumn("rank", rank).filter(F.col("rank") <= n))
+    joined = marked.join(F.broadcast(cuts), ids, "left")
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    light = joined.filter(F.col("__least").isNull()).select(*columns)
+    heavy = joined.filter(F.col("__range") >= F.col("__least")).withColumn("__salt", F.pmod(F.xxhash64(*identity), F.col("__salts")))
+    part = F.row_number().over(Window.partitionBy(*groups, "__salt").orderBy(*order))
+    survivors = heavy.withColumn("__part", part).filter(F.col("__part") <= n).select(*columns)
+    ranked = [x.withColumn("rank", rank).filter(F.col("rank") <= n) for x in (light, survivors)]
+    return ranked[0].unionByName(ranked[1])
 
 
 def top_universities(ranking: DataFrame, countries: DataFrame, n: int = 3, heavy_rows: int = HEAVY_ROWS) -> DataFrame:

@@ -43,6 +43,29 @@ def test_heavy_parts_are_small(spark):
     assert [r.ranking_id for r in got.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("hot_groups", [1, 2, 100])
+def test_any_number_of_heavy_groups(spark, hot_groups):
+    """However few groups may be treated as heavy, the rows are the same; hashes tell nulls apart."""
+    rng = random.Random(9)
+    rows = [(n, g, h, rng.choice([None, 1.0, 2.0, 2.0])) for n, (g, h) in enumerate([(None, "a"), ("a", None), ("a", "a"), (None, None)] * 200)]
+    df = spark.createDataFrame(rows, "i bigint, g string, h string, s double")
+    order = [F.col("s").desc_nulls_last(), F.col("i").asc()]
+    got = topn.top_n(df, ["g", "h"], order, ["i"], 4, F.floor("s"), heavy_rows=10, part_rows=20, hot_groups=hot_groups)
+    want = set()
+    for key in {r[1:3] for r in rows}:
+        best = sorted((r for r in rows if r[1:3] == key), key=lambda r: (-(r[3] or 0.0), r[0]))[:4]
+        want |= {(r[0], n + 1) for n, r in enumerate(best)}
+    assert {(r.i, r["rank"]) for r in got.collect()} == want
+
+
+def test_rows_below_the_range_that_matters_are_not_moved(spark):
+    """Of a heavy group only rows of its top ranges reach a window."""
+    df = spark.range(0, 40_000).selectExpr("id as i", "1 as g", "cast(id % 100 as double) as s")
+    out = topn.top_n(df, ["g"], [F.col("s").desc(), F.col("i").asc()], ["i"], 3, F.floor("s"), heavy_rows=1000)
+    assert [r.i for r in out.orderBy("rank").collect()] == [99, 199, 299]
+    assert "__least" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_top_n_of_nothing(spark):
     empty = spark.createDataFrame([], RANKING).drop("rank", "__size")
     assert topn.top_universities(empty, spark.createDataFrame([], "country string")).collect() == []
