@@ -5,9 +5,11 @@ taking documents by ascending key is weighted sampling without replacement. A so
 and A tokens is used for floor(B / A) complete epochs, up to its max_repeats; what is left of B is
 filled by a prefix of its documents in key order, as long as the next document fits.
 
-The prefix is found without sorting a source in one task: keys are cut into buckets by their
-distribution, token sums per (source, bucket) are prefix-summed (at most ``buckets`` rows per
-source), whole buckets are taken or left, and only the one bucket that the budget cuts is sorted.
+The prefix is found without sorting a source in one task: keys are cut into buckets by their logarithm,
+token sums per (source, bucket) are prefix-summed (some ten thousand rows per source at most), and the
+bucket that the budget cuts is cut again into FINE buckets, of which again one is cut. Only that one is
+sorted. A bucket of the first kind is a 512th of an octave of the key, so of a source's keys, which are
+exponential variables over weights, it holds less than a thousandth whatever the weights.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from loamql.session import pin
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-BUCKETS = 4096
+OCTAVE = 512  # buckets of one octave of the key
+FINE_BITS = 12  # a bucket is cut into 2**FINE_BITS
 SEED = 17
 
 
@@ -51,10 +54,18 @@ def source_label(column: str) -> Column:
 
 
 def quality(text: str) -> Column:
-    """A weight above 0 and up to 1: the share of letters and blanks, less for very short texts."""
-    length = F.greatest(F.length(text), F.lit(1))
-    plain = F.length(F.regexp_replace(F.col(text), r"[^\p{L}\p{M} ]+", ""))
-    return F.greatest(F.coalesce(plain / length * F.least(length / F.lit(200.0), F.lit(1.0)), F.lit(0.0)), F.lit(0.01))
+    """A weight from 0.01 to 1, the product of four shares: letters, marks and blanks among the characters;
+    the length up to 200 characters; different words among the words, up to three in ten; and words that
+    are no longer than 40 characters, for scripts with blanks."""
+    raw = F.col(text)
+    length = F.greatest(F.length(raw), F.lit(1))
+    letters = F.length(F.regexp_replace(raw, r"[^\p{L}\p{M} ]+", "")) / length
+    words = F.split(F.lower(raw), r"\s+")
+    n_words = F.greatest(F.size(words), F.lit(1))
+    varied = F.least(F.size(F.array_distinct(words)) / n_words / F.lit(0.3), F.lit(1.0))
+    unspaced = raw.rlike("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
+    sound = F.when(unspaced, F.lit(1.0)).otherwise(1 - F.size(F.filter(words, lambda w: F.length(w) > 40)) / n_words)
+    return F.greatest(F.coalesce(letters * F.least(length / F.lit(200.0), F.lit(1.0)) * varied * sound, F.lit(0.0)), F.lit(0.01))
 
 
 def es_key(weight: Column, identity: Column, seed: int = SEED) -> Column:
@@ -63,7 +74,7 @@ def es_key(weight: Column, identity: Column, seed: int = SEED) -> Column:
     return -F.log(unit) / weight
 
 
-def mix(sized: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, targets: DataFrame, octave: int = OCTAVE, fine_bits: int = FINE_BITS) -> tuple[DataFrame, DataFrame]:
     """(picks, report) of ``sized`` (doc_id, source, tokens, key) and ``targets`` (source,
     target_share, max_repeats).
 
@@ -73,25 +84,31 @@ def mix(sized: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> tuple[D
     falls short by all its budget. Equal keys are settled by doc_id.
     """
     all_tokens = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))  # one row
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
-    docs = sized.filter(F.col("tokens") > 0).withColumn("bucket", bucket)
-    sums = docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
-    upto = F.sum("bucket_tokens").over(Window.partitionBy("source").orderBy("bucket"))
-    held = F.sum("bucket_tokens").over(Window.partitionBy("source"))
-    sums = sums.select("source", "bucket", "bucket_tokens", (upto - F.col("bucket_tokens")).alias("before"), held.alias("available"))
+    octaves = F.log2(F.greatest(F.col("key"), F.lit(1e-300)))
+    fine = F.floor(octaves * F.lit(float(octave << fine_bits))).cast("long")
+    docs = sized.filter(F.col("tokens") > 0).withColumn("fine", fine).withColumn("bucket", F.shiftright("fine", fine_bits))
     goals = targets.select("source", "target_share", "max_repeats").crossJoin(F.broadcast(all_tokens)).withColumn("budget", F.floor(F.col("target_share") * F.col("all_tokens")).cast("long"))
-    plan = sums.join(goals, "source")
-    plan = plan.withColumn("epochs", F.least(F.floor(F.try_divide("budget", "available")), F.col("max_repeats")).cast("int"))
+
+    def cut(sums: DataFrame, place: str) -> DataFrame:
+        """The one row per source in whose tokens its rest ends, with the tokens ``before`` it."""
+        upto = F.sum("held").over(Window.partitionBy("source").orderBy(place))
+        placed = sums.withColumn("before", F.col("before") + upto - F.col("held"))
+        return placed.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("held"))).drop("held")
+
+    sums = docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("held"))
+    sums = sums.withColumn("available", F.sum("held").over(Window.partitionBy("source"))).join(goals, "source")
+    epochs = F.least(F.floor(F.try_divide("budget", "available")), F.col("max_repeats")).cast("int")
     rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(F.lit(0))
-    plan = plan.withColumn("rest", rest)
-    whole = F.col("before") + F.col("bucket_tokens") <= F.col("rest")
-    cut = (F.col("before") < F.col("rest")) & ~whole
-    plan = plan.withColumn("part", F.when(whole, "whole").when(cut, "cut").otherwise("none"))
-    joined = docs.join(plan.select("source", "bucket", "part", "epochs", "before", "rest"), ["source", "bucket"])
-    plain = joined.filter(F.col("part") != "cut").withColumn("extra", (F.col("part") == "whole").cast("int"))
-    # the one bucket of a source that its budget cuts: about 1 / buckets of the source
-    run = F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id"))
-    edge = joined.filter(F.col("part") == "cut").withColumn("extra", (F.col("before") + run <= F.col("rest")).cast("int"))
+    sums = sums.withColumn("epochs", epochs).withColumn("rest", rest).withColumn("before", F.lit(0).cast("long"))
+    coarse = cut(sums.select("source", "bucket", "held", "epochs", "rest", "before"), "bucket")
+    # from here on there is one row per target in ``coarse`` and ``plan``; the rest is less than a source has, so it always ends in one
+    sums = docs.join(F.broadcast(coarse), ["source", "bucket"]).groupBy("source", "fine", "epochs", "rest", "before").agg(F.sum("tokens").alias("held"))
+    plan = pin(cut(sums, "fine").select("source", F.col("fine").alias("edge"), "epochs", "rest", "before"))
+
+    joined = docs.join(F.broadcast(plan), "source")
+    plain = joined.filter(F.col("fine") != F.col("edge")).withColumn("extra", (F.col("fine") < F.col("edge")).cast("int"))
+    run = F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    edge = joined.filter(F.col("fine") == F.col("edge")).withColumn("extra", (F.col("before") + run <= F.col("rest")).cast("int"))
     picks = plain.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("extra")).filter(F.col("copies") > 0).select("doc_id", "source", "tokens", "copies")
 
     used = picks.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count(F.lit(1)).alias("n_documents"), F.max("copies").alias("most_copies"))

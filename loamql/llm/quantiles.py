@@ -11,7 +11,7 @@ merged by adding counts of equal nodes and compressing again; the bound holds fo
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +25,10 @@ COMPRESSION = 3200  # k: rank error at most 16 / 3200 = 0.5 %
 def code_of(value: Column) -> Column:
     """The code of a non-negative whole number of up to 63 bits."""
     v = value.cast("long")
-    bits = F.when(v <= 0, F.lit(0)).otherwise(F.length(F.bin(v)))
+    shifted = lambda by: F.call_function("shiftright", v, by.cast("int"))
+    top = F.least(F.floor(F.log2(F.greatest(v, F.lit(1)).cast("double"))), F.lit(62))  # the highest bit, or one off by rounding
+    top = top + (shifted(top + 1) > 0).cast("int") - (shifted(top) == 0).cast("int")
+    bits = F.when(v <= 0, F.lit(0)).otherwise(top + 1)
     shift = F.greatest(bits - F.lit(MANTISSA_BITS), F.lit(0)).cast("int")
     return shift.cast("long") * F.lit(1 << (MANTISSA_BITS - 1)) + F.call_function("shiftright", v, shift)
 
@@ -36,7 +39,7 @@ def values_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     half = 1 << (MANTISSA_BITS - 1)
     shift = np.maximum(code // half - 1, 0)
     mantissa = code - shift * half
-    return mantissa << shift, ((mantissa + 1) << shift) - 1
+    return mantissa << shift, (mantissa << shift) + ((1 << shift) - 1)
 
 
 def compress(nodes: np.ndarray, counts: np.ndarray, k: int = COMPRESSION) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +50,8 @@ def compress(nodes: np.ndarray, counts: np.ndarray, k: int = COMPRESSION) -> tup
     counts = np.add.reduceat(counts, np.flatnonzero(keep)) if len(nodes) else counts
     nodes = nodes[keep]
     limit = int(counts.sum()) // k
+    if not limit:  # fewer than k values stay as they are
+        return nodes, counts
     done_nodes, done_counts = [], []
     for level in range(UNIVERSE_BITS, 0, -1):
         at = nodes >> level == 1
@@ -107,19 +112,25 @@ def merge(parts: DataFrame, groups: list[str], k: int = COMPRESSION) -> DataFram
 
 
 def _compressed(counts: DataFrame, groups: list[str], k: int) -> DataFrame:
+    """Each group's nodes are listed, at most 2**(UNIVERSE_BITS + 1) of them, compressed and spread again."""
     schema = counts.select(*groups, F.col("node").cast("long"), F.col("n").cast("long")).schema
+    keys = [f"__k{i}" for i in range(len(groups))]
+    listed = counts.groupBy(*(F.col(g).alias(x) for g, x in zip(groups, keys))).agg(F.collect_list(F.struct(F.col("node").cast("long").alias("node"), F.col("n").cast("long").alias("n"))).alias("__nodes"))
 
-    def work(pdf):  # noqa: ANN001, ANN202
-        nodes, sums = compress(pdf["node"].to_numpy(), pdf["n"].to_numpy(), k)
-        out = pdf.iloc[np.zeros(len(nodes), int)].reset_index(drop=True)
-        out["node"], out["n"] = nodes, sums
-        return out[schema.names]
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(len(keys))
+            flat, ends = lists.flatten(), lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            nodes, sums = flat.field("node").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
+            parts = [compress(nodes[a:b], sums[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
+            at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts]), pa.int64())
+            made = [np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), pa.array(made[0]), pa.array(made[1])], names=schema.names)
 
-    # a digest of fewer than k values holds its leaves as they are, so it never leaves the JVM
-    sized = counts.select(*schema.names, F.sum("n").over(Window.partitionBy(*groups)).alias("__all"))
-    small = sized.filter(F.col("__all") < k).drop("__all")
-    large = sized.filter(F.col("__all") >= k).drop("__all")
-    return small.unionByName(large.groupBy(*groups).applyInPandas(work, schema))
+    return listed.mapInArrow(work, schema)
 
 
 def percentiles(digest: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
@@ -145,14 +156,21 @@ def region_label(column: str) -> Column:
 BOUNDS = {"gdp_per_capita": (1, 1_000_000), "population": (1, 20_000_000_000)}
 
 
-def measured(stats: DataFrame, extra: list[str]) -> DataFrame:
+def measured(stats: DataFrame, extra: list[str], countries: DataFrame | None = None) -> DataFrame:
     """(region, *extra, field, value): values that the field can have, each delivery once.
 
+    A row without a region has that of its country in ``countries``; a row without either is in no region
+    and left out.
+
     Rows of one (feed_id, country_id, snapshot_day) with the same figures and region are one row
     that was delivered again; it counts once. Corrections with other figures count by themselves.
     """
     keys = [c for c in ("feed_id", "country_id", "snapshot_day") if c in stats.columns]
-    once = stats.select(*keys, region_label("region").alias("region"), *BOUNDS).distinct().filter(F.col("region").isNotNull())
+    rows = stats.select(*keys, region_label("region").alias("region"), *BOUNDS)
+    if countries is not None:
+        home = countries.select("country_id", region_label("region").alias("__home")).groupBy("country_id").agg(F.min("__home").alias("__home"))
+        rows = rows.join(home, "country_id", "left").withColumn("region", F.coalesce("region", "__home")).select(*keys, "region", *BOUNDS)
+    once = rows.filter(F.col("region").isNotNull()).distinct()
     fields = [F.struct(F.lit(f).alias("field"), F.when(F.col(f).between(*b), F.col(f).cast("long")).alias("value")) for f, b in BOUNDS.items()]
     return once.select("region", *extra, F.inline(F.array(*fields))).filter(F.col("value").isNotNull())
 
@@ -160,23 +178,33 @@ def measured(stats: DataFrame, extra: list[str]) -> DataFrame:
 SHARES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
-def feed_digests(stats: DataFrame) -> DataFrame:
+def feed_digests(stats: DataFrame, countries: DataFrame | None = None) -> DataFrame:
     """One digest per (region, feed_id, year of snapshot_day, field)."""
-    rows = measured(stats, ["feed_id", F.year("snapshot_day").alias("year")])
+    rows = measured(stats, ["feed_id", F.year("snapshot_day").alias("year")], countries)
     return digests(rows, ["region", "feed_id", "year", "field"], "value")
 
 
-def region_percentiles(stats: DataFrame) -> DataFrame:
+def region_percentiles(stats: DataFrame, countries: DataFrame | None = None) -> DataFrame:
     """Percentiles of each field per region, from the digests of its feeds and years."""
-    merged = merge(feed_digests(stats), ["region", "field"])
+    merged = merge(feed_digests(stats, countries), ["region", "field"])
     return percentiles(merged, ["region", "field"], SHARES)
 
 
-def region_percentiles_checked(stats: DataFrame) -> DataFrame:
+def country_percentiles(stats: DataFrame) -> DataFrame:
+    """Percentiles of each field per country_id, whatever the region; exact but for the width of a code
+    where a country has fewer than COMPRESSION values."""
+    keys = ["feed_id", "country_id", "snapshot_day", *BOUNDS]
+    once = stats.filter(F.col("country_id").isNotNull()).select(*keys).distinct()
+    fields = [F.struct(F.lit(f).alias("field"), F.when(F.col(f).between(*b), F.col(f).cast("long")).alias("value")) for f, b in BOUNDS.items()]
+    rows = once.select("country_id", F.inline(F.array(*fields))).filter(F.col("value").isNotNull())
+    return percentiles(digests(rows, ["country_id", "field"], "value"), ["country_id", "field"], SHARES)
+
+
+def region_percentiles_checked(stats: DataFrame, countries: DataFrame | None = None) -> DataFrame:
     """Each answer beside its true rank: ``below`` values are less than its code and ``upto`` not above
     it, and ``within`` says whether the rank asked for is within the stated error of those."""
-    answers = region_percentiles(stats)
-    counts = measured(stats, []).withColumn("code", code_of(F.col("value"))).groupBy("region", "field", "code").agg(F.count(F.lit(1)).alias("c"))
+    answers = region_percentiles(stats, countries)
+    counts = measured(stats, [], countries).withColumn("code", code_of(F.col("value"))).groupBy("region", "field", "code").agg(F.count(F.lit(1)).alias("c"))
     # at most 2**UNIVERSE_BITS codes of a region and field
     upto = F.sum("c").over(Window.partitionBy("region", "field").orderBy("code"))
     ranks = counts.select("region", "field", "code", upto.alias("upto"), (upto - F.col("c")).alias("below"))

@@ -30,16 +30,36 @@ WHERE rank <= 3
 """
 
 
+def _stats(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "country_stats"), table(spark, folder, "countries")
+
+
 def p4_region_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return quantiles.region_percentiles(table(spark, folder, "country_stats"))
+    return quantiles.region_percentiles(*_stats(spark, folder))
 
 
 def p4_feed_digests(spark: SparkSession, folder: str) -> DataFrame:
-    return quantiles.feed_digests(table(spark, folder, "country_stats"))
+    return quantiles.feed_digests(*_stats(spark, folder))
 
 
 def p4_percentiles_checked(spark: SparkSession, folder: str) -> DataFrame:
-    return quantiles.region_percentiles_checked(table(spark, folder, "country_stats"))
+    return quantiles.region_percentiles_checked(*_stats(spark, folder))
+
+
+def p4_country_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    return quantiles.country_percentiles(table(spark, folder, "country_stats"))
+
+
+# the least and greatest number of the code that holds the exact percentile; exact below 3200 values a country
+P4_COUNTRY_SQL = """
+WITH once AS (SELECT DISTINCT feed_id, country_id, snapshot_day, gdp_per_capita, population FROM country_stats WHERE country_id IS NOT NULL),
+     long AS (SELECT country_id, 'gdp_per_capita' AS field, CAST(gdp_per_capita AS BIGINT) AS v FROM once WHERE gdp_per_capita BETWEEN 1 AND 1000000
+              UNION ALL SELECT country_id, 'population', population FROM once WHERE population BETWEEN 1 AND 20000000000),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY country_id, field ORDER BY v) AS r, count(*) OVER (PARTITION BY country_id, field) AS n FROM long),
+     asked AS (SELECT country_id, field, n, share, v, greatest(length(format('{:b}', v)) - 11, 0) AS shift
+               FROM ranked, (SELECT CAST(unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS DOUBLE) AS share) WHERE r = greatest(ceil(share * n), 1))
+SELECT country_id, field, n, share, (v >> shift) << shift AS low, ((v >> shift) << shift) + (1::BIGINT << shift) - 1 AS high FROM asked
+"""
 
 
 def p4_error_bound(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,8 +68,10 @@ def p4_error_bound(spark: SparkSession, folder: str) -> DataFrame:
 
 
 P4_BOUND_SQL = """
-WITH once AS (SELECT DISTINCT feed_id, country_id, snapshot_day, upper(trim(regexp_replace(region, '\\s+', ' ', 'g'))) AS region, gdp_per_capita, population
-              FROM country_stats),
+WITH home AS (SELECT country_id, min(nullif(upper(trim(regexp_replace(region, '\\s+', ' ', 'g'))), '')) AS home FROM countries GROUP BY 1),
+     once AS (SELECT DISTINCT feed_id, country_id, snapshot_day, coalesce(nullif(upper(trim(regexp_replace(region, '\\s+', ' ', 'g'))), ''), home) AS region,
+                     gdp_per_capita, population
+              FROM country_stats LEFT JOIN home USING (country_id)),
      long AS (SELECT region, 'gdp_per_capita' AS field FROM once WHERE gdp_per_capita BETWEEN 1 AND 1000000
               UNION ALL SELECT region, 'population' FROM once WHERE population BETWEEN 1 AND 20000000000)
 SELECT region, field, n, CAST(share AS DOUBLE) AS share, true AS within
@@ -93,29 +115,36 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "documents"))
 
 
-def p7_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each source kept to its budget and repeats and came within a document of the budget, or
-    used all it may."""
-    sized = mixing.sized_documents(table(spark, folder, "documents"))
-    picks, report = mixing.mix(sized, table(spark, folder, "source_targets"))
-    largest = sized.groupBy("source").agg(F.max("tokens").alias("largest"))
-    most = picks.groupBy("source").agg(F.max("copies").alias("most"))
-    joined = report.join(largest, "source", "left").join(most, "source", "left")
-    spent = F.col("used_tokens") == F.col("available_tokens") * F.col("max_repeats")
-    return joined.select(
-        "source", "max_repeats", "target_share", (F.col("used_tokens") <= F.col("target_tokens")).alias("within_budget"),
-        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (spent | (F.col("shortfall_tokens") < F.col("largest"))).alias("filled"),
-    )
-
-
-P7_BOUNDS_SQL = "SELECT source, max_repeats, target_share, true AS within_budget, true AS within_repeats, true AS filled FROM source_targets"
+def p7_mix_by_length(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix with the texts' characters as sizes and keys that SQL can make: of an md5 and the length as weight."""
+    unit = (F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    weight = F.greatest(F.least(F.length("text") / 200.0, F.lit(1.0)), F.lit(0.01))
+    docs = table(spark, folder, "documents").filter(F.col("text").isNotNull())
+    sized = docs.select("doc_id", mixing.source_label("source").alias("source"), F.length("text").cast("long").alias("tokens"), (-F.log(unit) / weight).alias("key"))
+    return mixing.mix(sized, table(spark, folder, "source_targets"))[0]
+
+
+P7_LENGTH_SQL = """
+WITH docs AS (SELECT doc_id, lower(trim(source)) AS source, length(text) AS tokens,
+                     -ln((CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE)
+                     / greatest(least(length(text) / 200.0::DOUBLE, 1), 0.01) AS key
+              FROM documents WHERE text IS NOT NULL),
+     goals AS (SELECT source, max_repeats, CAST(floor(target_share * (SELECT sum(tokens) FROM docs)) AS BIGINT) AS budget FROM source_targets),
+     held AS (SELECT source, sum(tokens) AS available FROM docs GROUP BY 1),
+     plan AS (SELECT source, least(budget // available, max_repeats) AS epochs,
+                     CASE WHEN budget // available < max_repeats THEN budget - (budget // available) * available ELSE 0 END AS rest
+              FROM goals JOIN held USING (source) WHERE available > 0),
+     runs AS (SELECT doc_id, source, tokens, epochs, rest, sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id) AS run
+              FROM docs JOIN plan USING (source) WHERE tokens > 0)
+SELECT doc_id, source, tokens, CAST(epochs + (run <= rest)::INT AS INTEGER) AS copies FROM runs WHERE epochs + (run <= rest)::INT > 0
+"""
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_error_bound, p4_countries_percentiles, p5_found, p5_unmatched, p6_found, p6_item_report, p7_mix, p7_report, p7_bounds, p8_found)
+    for f in (p3_found, p3_top_universities, p4_region_percentiles, p4_feed_digests, p4_percentiles_checked, p4_error_bound, p4_country_percentiles, p4_countries_percentiles, p5_found, p5_unmatched, p6_found, p6_item_report, p7_mix, p7_report, p7_mix_by_length, p8_found)
 }
-SQL = {"p3_found": f"SELECT ranking_id FROM ({P3_SQL})", "p3_top_universities": P3_SQL, "p4_error_bound": P4_BOUND_SQL, "p7_bounds": P7_BOUNDS_SQL}
+SQL = {"p3_found": f"SELECT ranking_id FROM ({P3_SQL})", "p3_top_universities": P3_SQL, "p4_error_bound": P4_BOUND_SQL, "p4_country_percentiles": P4_COUNTRY_SQL, "p7_mix_by_length": P7_LENGTH_SQL}
 
 
 def queries() -> dict[str, Query]:

@@ -34,12 +34,12 @@ def plain(rows, targets):
     return picks
 
 
-@pytest.mark.parametrize("buckets", [1, 8, 4096])
-def test_mix_against_a_plain_version(spark, buckets):
+@pytest.mark.parametrize(("octave", "fine"), [(1, 0), (8, 2), (512, 12)])
+def test_mix_against_a_plain_version(spark, octave, fine):
     rng = random.Random(1)
     df, rows = sized(spark, {"a": [rng.randrange(1, 40) for _ in range(400)], "b": [rng.randrange(0, 9) for _ in range(60)], "c": [5] * 3, None: [7] * 20})
     targets = [("a", 0.4, 1), ("b", 0.3, 4), ("c", 0.2, 2), ("d", 0.1, 5)]
-    picks, report = m.mix(df, spark.createDataFrame(targets, TARGETS), buckets=buckets)
+    picks, report = m.mix(df, spark.createDataFrame(targets, TARGETS), octave, fine)
     got = {r.doc_id: r.copies for r in picks.collect()}
     assert got == plain(rows, targets)
     by = {r.source: r for r in report.collect()}
@@ -49,6 +49,19 @@ def test_mix_against_a_plain_version(spark, buckets):
     assert sum(r.used_tokens for r in by.values()) == sum(tokens[d] * c for d, c in got.items())
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.1, 0.01])
+def test_buckets_are_small_whatever_the_weights(spark, weight):
+    keys = spark.range(200_000).select(m.es_key(F.lit(weight), F.col("id")).alias("key"))
+    buckets = keys.groupBy(F.floor(F.log2("key") * m.OCTAVE).alias("b")).count()
+    assert buckets.agg(F.max("count")).first()[0] < 200_000 / 1000
+
+
+def test_equal_keys_and_repeated_rows(spark):
+    df = spark.createDataFrame([(n // 2, "a", 1, 0.5) for n in range(40)], "doc_id bigint, source string, tokens bigint, key double")
+    picks, report = m.mix(df, spark.createDataFrame([("a", 0.5, 1)], TARGETS))
+    assert sorted(r.doc_id for r in picks.collect()) == [n // 2 for n in range(20)] and report.first().used_tokens == 20
+
+
 def test_empty_and_untokenised(spark):
     df, _ = sized(spark, {"a": [0, 0]})
     targets = spark.createDataFrame([("a", 1.0, 3)], TARGETS)
@@ -59,12 +72,12 @@ def test_empty_and_untokenised(spark):
 
 
 def test_tokens_labels_and_weights(spark):
-    docs = spark.createDataFrame([(1, "Hello world, hello!", " Plenary_Record "), (2, None, None), (3, "", "x"), (4, "!!! 12 ???", "x"), (5, "word " * 100, "x")], "doc_id bigint, text string, source string")
+    docs = spark.createDataFrame([(1, "Hello world, hello!", " Plenary_Record "), (2, None, None), (3, "", "x"), (4, "!!! 12 ???", "x"), (5, "word " * 100, "x"), (6, " ".join(chr(97 + n % 26) * (2 + n // 26) for n in range(100)), "x"), (7, "a" * 300, "x")], "doc_id bigint, text string, source string")
     rows = {r.doc_id: r for r in m.sized_documents(docs).collect()}
     assert rows[1].source == "plenary_record" and rows[1].tokens == 5 and rows[2].tokens == rows[3].tokens == 0 and rows[5].tokens >= 100
     assert all(r.key > 0 for r in rows.values())
     weights = {r.doc_id: r.w for r in docs.select("doc_id", m.quality("text").alias("w")).collect()}
-    assert weights[5] == 1.0 and weights[2] == weights[3] == 0.01 and weights[4] < weights[1] < 1
+    assert weights[6] == 1.0 and weights[5] < 0.1 and weights[7] == 0.01 and weights[2] == weights[3] == 0.01 and weights[4] < weights[1] < 1
 
 
 def test_heavier_documents_come_first_more_often(spark):
