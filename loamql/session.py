@@ -55,20 +55,24 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def pin(df: DataFrame, partitions_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage, survives the loss of executors and fixes whatever depends on how the rows
-    were partitioned. The table is compressed Parquet; a recomputed task writes the same rows again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pinned-{os.getpid()}-{uuid.uuid4().hex}"
+def pinned_path(df: DataFrame, partitions_by: list[str] | None = None) -> str:
+    """Write ``df`` once to the shared folder as compressed Parquet, and say where."""
+    path = f"{shared_dir(df.sparkSession)}/pinned-{os.getpid()}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partitions_by:
         writer = writer.partitionBy(*partitions_by)
     writer.parquet(path)
     _pinned.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def pin(df: DataFrame, partitions_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    This cuts the lineage, survives the loss of executors and fixes whatever depends on how the rows
+    were partitioned; a recomputed task writes the same rows again.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(pinned_path(df, partitions_by))
 
 
 def shuffle_width(spark: SparkSession) -> int:
