@@ -3,16 +3,24 @@
 Q-gram lemma filtering over normalised character streams, then banded alignment:
 
 * A text becomes the stream of its letters, marks and digits: compatibility forms resolved, case and
-  accents folded, everything else dropped, remarks in brackets taken out (long ones are looked at by
-  themselves as well). So spacing, punctuation, line breaks and hyphens at line ends make no difference.
-* Of each item those character q-grams are indexed that few items share. For every window of the
+  accents folded, everything else dropped, remarks in brackets taken out (those that could hold a
+  passage are looked at by themselves). So spacing, punctuation, line breaks and hyphens at line ends
+  make no difference.
+* An item is cut into segments that overlap by more than any run that has to be found; its remarks in
+  brackets, and its text with them, are segments too. So a segment is short whatever the item's length.
+* Of each segment those character q-grams are indexed that few segments share. For every window of the
   least length that counts, with the greatest number of words altered, the number of indexed q-grams
-  that must survive is bounded from below (the q-gram lemma, by words); grams that more items share
-  are added until the bound of each window is at least 1. The least bound of an item is its threshold,
-  so no window that counts can be missed.
-* A document's shared q-grams are counted per item in overlapping bands of diagonals. Bands that
-  reach the threshold are aligned with the item by a banded local alignment, and accepted if some run
-  of the item is found with at most the allowed share of its words altered.
+  that must survive is bounded from below (the q-gram lemma, by words); grams that more segments share
+  are added until the bound of each window is at least 4 or all are in. The least bound of a segment is
+  its threshold. Where even all q-grams leave no bound, shorter q-grams are taken; only windows of
+  which no SHORT letters in a row need survive, sixteen words of one letter, say, can be missed.
+* A document's shared q-grams are counted per segment in overlapping bands of diagonals. Bands that
+  reach the threshold are aligned with the segment by banded local alignments over all diagonals of
+  their hits, and accepted if some run is found with at most the allowed share of its words altered.
+
+The items are indexed in blocks on the workers and the blocks kept in the shared folder. The documents
+are read, normalised and turned into streams once; each task looks a stretch of them up in one block
+after the other, so neither the driver nor a task holds more than one block.
 
 Defined results: null, empty and other texts without a letter or digit match nothing; equal documents
 and equal items count by themselves; an item shorter than the window counts if it is found whole.
@@ -20,23 +28,44 @@ and equal items count by themselves; an item shorter than the window counts if i
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamql.session import pinned_path
+
 WORDS, LETTERS = 16, 40  # least run that counts, in scripts with and without blanks
 ALTERED = 8  # at most one in so many words is altered
-FOUND_WORDS, FOUND_LETTERS, FOUND_ALTERED = WORDS - 1, LETTERS, ALTERED  # what the alignment has to show; it may lose a word at an end
+# what the alignment has to show: it may lose a word, or letters beyond an altered one, at an end
+FOUND_WORDS, FOUND_LETTERS, FOUND_ALTERED = WORDS - 1, LETTERS - 4, ALTERED
 Q_SPACED, Q_UNSPACED = 8, 5
 BAND = 64  # diagonals of a band; the next begins half a band on
 REACH = {True: 48, False: 24}  # diagonals to either side in the alignment, by whether words are spaced: words change length, letters hardly do
 BATCH_CHARS = 3_000_000
-BLOCK_ITEMS, BLOCK_CHARS = 4_000, 4_000_000  # items, and their characters, that one pass over the documents looks for
-LONG_REMARK = 60
+HELD_BATCHES = 16  # batches of streams that a task holds while it looks them up in all blocks
+BLOCK_ITEMS, BLOCK_CHARS = 4_000, 1_000_000  # items, and their characters, of one block of the index
+SEGMENT = {True: (192, 48), False: (600, 120)}  # words or letters of a segment, and of its overlap with the next
+LONG_REMARK = 2 * FOUND_WORDS - 1  # characters that a passage takes at least
+SHORT = Q_UNSPACED
+
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_TABLE_BITS = 22
+_BRACKETS = re.compile("[(\\[〔【)\\]〕】]|\\n\\s*\\n")
+_UNSPACED = 8, 5
+BAND = 64  # diagonals of a band; the next begins half a band on
+REACH = {True: 48, False: 24}  # diagonals to either side in the alignment, by whether words are spaced: words change length, letters hardly do
+BATCH_CHARS = 3_000_000
+HELD_BATCHES = 16  # batches of streams that a task holds while it looks them up in all blocks
+BLOCK_ITEMS, BLOCK_CHARS = 4_000, 1_000_000  # items, and their characters, of one block of the index
+SEGMENT = {True: (192, 48), False: (600, 120)}  # words or letters of a segment, and of its overlap with the next
+LONG_REMARK = 2 * FOUND_WORDS - 1  # characters that a passage takes at least
+SHORT = Q_UNSPACED
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TABLE_BITS = 22
@@ -78,21 +107,35 @@ class Folder:
         return out
 
 
-def without_remarks(text: str) -> str:
-    """``text`` (normalised to NFKC) without bracketed remarks, nested ones first; those long enough to
-    hold a passage follow at the end, after a 0."""
+def without_remarks(text: str) -> list[str]:
+    """``text`` (normalised to NFKC) without bracketed remarks, and the remarks that are long enough to
+    hold a passage, without those within them. A bracket that isn't closed before the next blank line is
+    an ordinary character."""
     kept: list[str] = []
-
-    def take(m: re.Match) -> str:
-        if len(m.group(1)) >= LONG_REMARK:
-            kept.append(m.group(1))
-        return ""
-
-    for _ in range(3):
-        text, n = _REMARK.subn(take, text)
-        if not n:
-            break
-    return "\x00".join([text, *kept])
+    levels: list[list[str]] = [[]]
+    at = 0
+    for mark in _BRACKETS.finditer(text):
+        ch = mark.group()
+        levels[-1].append(text[at : mark.start()])
+        at = mark.end()
+        if ch in "([〔【":
+            levels.append([ch])
+        elif ch in ")]〕】":
+            if len(levels) > 1:
+                remark = "".join(levels.pop()[1:])
+                if len(remark) >= LONG_REMARK:
+                    kept.append(remark)
+            else:
+                levels[0].append(ch)
+        else:
+            for level in levels[1:]:
+                levels[0] += level
+            levels = levels[:1]
+            levels[0].append(ch)
+    for level in levels[1:]:
+        levels[0] += level
+    levels[0].append(text[at:])
+    return ["".join(levels[0]), *kept]
 
 
 def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,58 +155,78 @@ def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """The indexed items of one block."""
+    """The indexed segments of one block of items."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
         folder = Folder()
         self.ids, self.codes, self.words, self.spaced, self.need = [], [], [], [], []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         for ident, text in items:
-            text = without_remarks(unicodedata.normalize("NFKC", (text or "").replace("\x00", " "))).partition("\x00")[0]
-            spaced = len(_UNSPACED.findall(text)) * 2 < max(1, len(_LETTER.findall(text)))
-            pieces = [folder.codes(w) for w in (text.split() if spaced else [text])]
-            pieces = [p[p > 0] for p in pieces]
-            pieces = [p for p in pieces if len(p)]
-            if not pieces:
-                continue
-            codes = np.concatenate(pieces)
-            word = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]) if spaced else np.arange(len(codes))
-            self.ids.append(ident)
-            self.codes.append(codes)
-            self.words.append(word)
-            self.spaced.append(spaced)
-            found.append(grams(codes))
+            text = unicodedata.normalize("NFKC", (text or "").replace("\x00", " "))
+            pieces = without_remarks(text)
+            several = pieces[0] != text
+            if several and not self._add(folder, ident, text, True):
+                several = False  # too short for parts of it to count
+                pieces = [text]
+            for piece in pieces:
+                self._add(folder, ident, piece, several)
+        found = [grams(codes) for codes in self.codes]
         sets: list[dict[int, int]] = [{}, {}]
-        for short, long in found:
-            for kind, hashes in enumerate((short, long)):
+        for both in found:
+            for held, hashes in zip(sets, both):
                 for h in np.unique(hashes).tolist():
-                    sets[kind][h] = sets[kind].get(h, 0) + 1
+                    held[h] = held.get(h, 0) + 1
         entries: list[list[tuple[int, int, int]]] = [[], []]
-        for n, (short, long) in enumerate(found):
+        for n, both in enumerate(found):
             kind = int(self.spaced[n])
-            hashes = (long if kind else short).tolist()
-            shared = np.array([sets[kind][h] for h in hashes], np.int64)
-            need, most = 0, 1
-            while len(hashes):
-                chosen = shared <= most
-                need = self._bound(n, chosen)
-                if need >= 4 or most >= shared.max():
-                    break
-                most = min(most * 2, int(shared.max()))
-            chosen = shared <= most if len(hashes) else np.zeros(0, bool)
+            need, chosen = self._choose(n, kind, both[kind].tolist(), sets[kind])
+            if kind and need < 1:
+                kind = 0
+                need, chosen = self._choose(n, kind, both[kind].tolist(), sets[kind])
             self.need.append(max(need, 1))
-            entries[kind] += [(hashes[p], n, int(p)) for p in np.flatnonzero(chosen)]
+            entries[kind] += [(int(both[kind][p]), n, int(p)) for p in np.flatnonzero(chosen)]
         self.index = []
         for rows in entries:
             rows.sort()
             hashes = np.array([r[0] for r in rows], np.uint64)
             table = np.zeros(1 << _TABLE_BITS, bool)
             table[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-            self.index.append((hashes, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.packbits(table)))
-
-    def _bound(self, n: int, chosen: np.ndarray) -> int:
+            self.index.append((hashes, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int32), np.packbits(table)))
+
+    def _add(self, folder: Folder, ident: int, text: str, long_only: bool) -> bool:
+        """Add the segments of a text; False if there are none, or if it has to be long and isn't."""
+        spaced = len(_UNSPACED.findall(text)) * 2 < max(1, len(_LETTER.findall(text)))
+        pieces = [folder.codes(w) for w in (text.split() if spaced else [text])]
+        pieces = [p[p > 0] for p in pieces]
+        pieces = [p for p in pieces if len(p)]
+        if not pieces or long_only and (len(pieces) < WORDS if spaced else len(pieces[0]) < LETTERS):
+            return False
+        codes = np.concatenate(pieces)
+        word = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]) if spaced else np.arange(len(codes))
+        size, overlap = SEGMENT[spaced]
+        for begin in range(0, max(int(word[-1]) + 1 - overlap, 1), size - overlap):
+            inside = (word >= begin) & (word < begin + size)
+            self.ids.append(ident)
+            self.codes.append(codes[inside])
+            self.words.append(word[inside] - begin)
+            self.spaced.append(spaced)
+        return True
+
+    def _choose(self, n: int, kind: int, hashes: list[int], counts: dict[int, int]) -> tuple[int, np.ndarray]:
+        """The bound of a segment and its chosen q-grams, rare ones first."""
+        if not hashes:
+            return 0, np.zeros(0, bool)
+        shared = np.array([counts[h] for h in hashes], np.int64)
+        most = 1
+        while True:
+            chosen = shared <= most
+            need = self._bound(n, chosen, Q_SPACED if kind else SHORT)
+            if need >= 4 or most >= shared.max():
+                return need, chosen
+            most = min(most * 2, int(shared.max()))
+
+    def _bound(self, n: int, chosen: np.ndarray, q: int) -> int:
         """The least number of chosen q-grams that survive in any window that counts."""
-        word, q = self.words[n], Q_SPACED if self.spaced[n] else Q_UNSPACED
+        word = self.words[n]
         n_words, size = int(word[-1]) + 1, WORDS if self.spaced[n] else LETTERS
         size = min(size, n_words)
         lost = max(1, size // ALTERED)
@@ -273,20 +336,37 @@ def _whole_words(codes: np.ndarray, words: np.ndarray, at: np.ndarray, doc: np.n
     return good
 
 
+@dataclass
+class Streams:
+    """The streams of a batch of texts, one after the other: ``codes`` with a 1 between pieces, the text
+    each piece is of, and the bounds of the pieces in ``codes``."""
+
+    codes: np.ndarray
+    owner: np.ndarray
+    bounds: np.ndarray
+
+
+def streams(folder: Folder, texts: list[str]) -> Streams:
+    cleaned = [without_remarks(t) for t in unicodedata.normalize("NFKC", "\x00".join(t.replace("\x00", " ") for t in texts)).split("\x00")]
+    codes = folder.codes("\x00".join(p for pieces in cleaned for p in pieces))
+    owner = np.repeat(np.arange(len(texts)), [len(pieces) for pieces in cleaned])
+    codes = codes[codes > 0]
+    return Streams(codes, owner, np.searchsorted(np.cumsum(codes == 1), np.arange(len(owner) + 1)))
+
+
 class Finder:
-    """Looks for one block of items in batches of texts."""
+    """Looks for one block of items in streams."""
 
     def __init__(self, items: Items) -> None:
         self.items = items
-        self.folder = Folder()
         self.tables = [np.unpackbits(x[3]).view(bool) for x in items.index]
 
     def find(self, texts: list[str]) -> list[tuple[int, int]]:
         """(place in ``texts``, item id) pairs."""
-        cleaned = [without_remarks(t) for t in unicodedata.normalize("NFKC", "\x00".join(t.replace("\x00", " ") for t in texts)).split("\x00")]
-        codes = self.folder.codes("\x00".join(cleaned))
-        owner = np.repeat(np.arange(len(texts)), [c.count("\x00") + 1 for c in cleaned])
-        codes = codes[codes > 0]
+        return self.search(streams(Folder(), texts))
+
+    def search(self, streams: Streams) -> list[tuple[int, int]]:
+        codes, owner, bounds = streams.codes, streams.owner, streams.bounds
         piece = np.cumsum(codes == 1)  # a separator belongs to the piece behind it
         keys = []
         for (hashes, item, place, _), table, h in zip(self.items.index, self.tables, grams(codes)):
@@ -300,7 +380,7 @@ class Finder:
                 continue
             at = np.repeat(near, count)
             entry = np.repeat(low, count) + (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count))
-            keys.append((item[entry], at - place[entry], piece[at]))
+            keys.append((item[entry].astype(np.int64), at - place[entry], piece[at]))
         if not keys:
             return []
         item, diagonal, where = (np.concatenate(x) for x in zip(*keys))
@@ -313,15 +393,17 @@ class Finder:
             new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
             size = np.diff(np.r_[new, len(order)])
             for k in np.flatnonzero(size >= need[a[new]]):
-                middle = diagonal[order[new[k] + size[k] // 2]]
-                asked.add((int(a[new[k]]), int(c[new[k]]), int(middle)))
+                lowest, highest = int(diagonal[order[new[k]]]), int(diagonal[order[new[k] + size[k] - 1]])
+                reach = REACH[self.items.spaced[int(a[new[k]])]]
+                parts = 1 + (highest - lowest) // (3 * reach // 2)  # alignments that together cover all hits, with room to drift
+                for x in range(parts):
+                    asked.add((int(a[new[k]]), int(c[new[k]]), lowest + (2 * x + 1) * (highest - lowest) // (2 * parts)))
         pairs: set[tuple[int, int]] = set()
         # both bandings find most regions; one alignment will do for centres this close
         lots: list[tuple[int, int, int]] = []
         for n, p, d in sorted(asked):
             if not (lots and lots[-1][:2] == (n, p) and d - lots[-1][2] <= REACH[self.items.spaced[n]] // 6):
                 lots.append((n, p, d))
-        bounds = np.searchsorted(piece, np.arange(len(owner) + 1))
         for spaced, reach in REACH.items():
             own_lots = sorted((x for x in lots if self.items.spaced[x[0]] == spaced), key=lambda x: len(self.items.codes[x[0]]))
             for lot in range(0, len(own_lots), 96):
@@ -349,41 +431,86 @@ class Finder:
                 pairs.add((int(owner[p]), self.items.ids[n]))
 
 
+def index_blocks(items: DataFrame) -> tuple[str, int]:
+    """Where the index of ``items`` (item_id, text) is, one Parquet folder per block, and the blocks.
+
+    Rows of one item_id and text count once; blocks are of about BLOCK_ITEMS items or BLOCK_CHARS characters.
+    """
+    once = items.select("item_id", "text").distinct()
+    size = once.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n_blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
+
+    def build(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        rows = sorted((int(i), t) for i, t in zip(pdf["item_id"], pdf["text"]) if t)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "payload": [pickle.dumps(Items(rows), protocol=5)]})
+
+    numbered = once.filter(F.col("item_id").isNotNull()).withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int"))
+    return pinned_path(numbered.groupBy("block").applyInPandas(build, "block int, payload binary"), ["block"]), n_blocks
+
+
+_held: dict[str, Finder] = {}  # the block that this worker used last
+
+
+def _finder(path: str, block: int) -> Finder | None:
+    """The finder of a block, read from the shared folder; None if no item fell into it."""
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    name = f"{path}/block={block}"
+    if name not in _held:
+        store, folder = fs.FileSystem.from_uri(name)
+        files = [] if store.get_file_info(folder).type == fs.FileType.NotFound else store.get_file_info(fs.FileSelector(folder))
+        payloads = [p for f in files if f.path.endswith(".parquet") for p in pq.read_table(f.path, filesystem=store, columns=["payload"], partitioning=None).column(0).to_pylist()]
+        _held.clear()
+        _held[name] = Finder(pickle.loads(payloads[0])) if payloads else None  # noqa: S301 - written by index_blocks
+    return _held[name]
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of each document and item of which the document holds a passage.
 
-    The items are the query set: they are taken in blocks of about BLOCK_ITEMS or BLOCK_CHARS, each
-    looked for in one pass over all documents; no document leaves its task.
+    The items are the query set, indexed by ``index_blocks``; the documents are read once, whatever the
+    number of items, and none leaves its task.
     """
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    n_blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
-    parts = []
-    for b in range(n_blocks):
-        held = items.select("item_id", "text")
-        held = held if n_blocks == 1 else held.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b)
-        index = Items([(r[0], r[1]) for r in held.collect()])
-
-        def work(batches: Iterator, index: Items = index) -> Iterator:
-            import pyarrow as pa
-
-            finder = Finder(index)
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                out, lot, size = [], [], 0
-                for k, text in enumerate([*texts, None]):
-                    if text:
-                        lot.append(k)
-                        size += len(text)
-                    if lot and (size > BATCH_CHARS or k == len(texts)):
-                        out += [(ids[lot[p]], item) for p, item in finder.find([texts[x] for x in lot])]
-                        lot, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["doc_id", "item_id"])
-
-        parts.append(documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, item_id bigint"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+    path, n_blocks = index_blocks(items)
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        folder = Folder()
+        held: list[tuple[list, Streams]] = []
+
+        def look() -> pa.RecordBatch:
+            found: list[set[tuple[int, int]]] = [set() for _ in held]  # an item's texts may be in several blocks
+            for block in range(n_blocks):
+                if finder := _finder(path, block):
+                    for pairs, (_, made) in zip(found, held):
+                        pairs.update(finder.search(made))
+            out = [(ids[p], item) for pairs, (ids, _) in zip(found, held) for p, item in sorted(pairs)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["doc_id", "item_id"])
+
+        ids, lot, size = [], [], 0
+        for batch in batches:
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                ids.append(ident)
+                lot.append(text)
+                size += len(text)
+                if size > BATCH_CHARS:
+                    held.append((ids, streams(folder, lot)))
+                    ids, lot, size = [], [], 0
+                    if len(held) >= (HELD_BATCHES if n_blocks > 1 else 1):
+                        yield look()
+        if lot:
+            held.append((ids, streams(folder, lot)))
+        if held:
+            yield look()
+
+    return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, item_id bigint")
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

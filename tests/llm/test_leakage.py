@@ -96,7 +96,64 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(n, around(ITEMS[n][1])) for n in range(8)], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     monkeypatch.setattr(L, "BLOCK_ITEMS", 7)
-    assert sorted(tuple(r) for r in L.leaks(docs, items).collect()) == [(n, n) for n in range(8)]
+    found = L.leaks(docs, items)
+    assert sorted(tuple(r) for r in found.collect()) == [(n, n) for n in range(8)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_many_items_are_one_pass(spark):
+    items = spark.range(0, 12_000).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(1, 24), x -> substr(md5(concat(id, '/', x)), 1, 6))) as text")
+    docs = items.filter("item_id % 500 = 7").selectExpr("item_id as doc_id", "concat('Here it is. ', text, '. And more.') as text").repartition(2)
+    found = L.leaks(docs, items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [(n, n) for n in range(7, 12_000, 500)]
+
+
+def test_bracketed_passages(finder):
+    assert found(finder, f"动议获得通过。（{CJK[1][1][20:66]}）湄筠的昶珂") == [101]
+    words = ITEMS[9][1].split()
+    assert found(finder, around(f"[{' '.join(words[3:20])}]")) == [9]
+    deep = " ".join([*words[:8], "(a [b (c [d (e) f] g) h] i)", *words[8:17]])
+    assert found(finder, around(deep)) == [9]
+    open_only = " ".join([*words[:8], "(", *words[8:17]])
+    assert found(finder, around(open_only)) == [9]
+
+
+def test_items_with_brackets():
+    inner, outer = passage(24), passage(30)
+    finder = L.Finder(L.Items([(1, f"Question: what ({inner})?"), (2, f"{outer} (Applause.)"), (3, "Question: what (now)?")]))
+    assert found(finder, around(inner)) == [1] and found(finder, around(f"({inner})")) == [1]
+    assert found(finder, around(outer)) == [2]
+    assert found(finder, around("Question: what is this, applause")) == []
+    words = inner.split()
+    assert found(finder, around(f"Question: what {' '.join(words[:14])}")) == [1]
+
+
+def test_long_items_are_cut(finder):
+    long = passage(3000)
+    items = L.Items([(1, long)])
+    assert max(len(c) for c in items.codes) < 192 * 12 and len(items.ids) > 15
+    finder, words = L.Finder(items), long.split()
+    for begin in range(0, 2980, 97):
+        assert found(finder, around(" ".join(words[begin : begin + 16]))) == [1]
+
+
+def test_many_brackets_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    text = "a (b " * 200_000
+    assert L.without_remarks(text) == [text] and L.without_remarks("(" * 300_000 + "x" + ")" * 300_000) == [""]
+    assert time.perf_counter() - began < 5
+
+
+def test_words_of_one_letter():
+    """Where a window leaves no eight letters in a row, shorter q-grams are taken."""
+    text = " ".join("abcdefghijklmnopqrstuvwxyz"[n * 7 % 26] for n in range(40))
+    items = L.Items([(1, text)])
+    assert not len(items.index[1][0]) and len(items.index[0][0])
+    assert found(L.Finder(items), f"xx yy. {text}. zz") == [1]
 
 
 def test_bounds_hold_for_the_worst_alteration():
