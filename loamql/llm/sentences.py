@@ -1,12 +1,18 @@
 """Sentence units with their places, across languages and scripts.
 
-A pushdown automaton walks over the marks of a paragraph: its stack holds the open quotations and
-brackets, so nothing ends inside them, and its state is where the unit began, how the outermost
-quotation was introduced and whether the unit is a list item's number so far. Marks that could end a
-sentence are settled by script, by a trie of abbreviations and by what follows.
+A pushdown automaton walks over the marks of a paragraph. One stack holds the open quotations and
+brackets, so nothing ends inside them; another holds the levels of lists: the kind and number of the
+marker that each level is at. Its state is where the unit began and how the outermost quotation was
+introduced. Marks that could end a sentence are settled by script, by a trie of abbreviations and by
+what follows.
+
+A list marker (``1.``, ``2)``, ``(3)``, ``1.1.``, ``a)``, ``(b)``, ``iv.``, a bullet) counts at the head of
+a paragraph, and at the head of a line where it goes on with a level of the stack, or begins a level
+behind a colon, a semicolon or within a list. It belongs to its item, and an item begins a unit.
 
 Defined results: a null, empty or blank text has no unit; an opening mark whose partner is missing
-before the next blank line is an ordinary character; offsets are code points.
+before the next blank line is an ordinary character; offsets are code points. Time grows with the
+text's length only.
 """
 
 from __future__ import annotations
@@ -52,8 +58,16 @@ _MARKS = re.compile(r"[.…．]+|[!?。！？｡।॥؟۔]|[\"()\[\]{}（）［
 _THAI_MARKS = re.compile(_MARKS.pattern + r"|\s+")
 _THAI = re.compile("[ก-๎]")
 _LETTER = re.compile(r"[^\W\d_]")
-_WORD_BEFORE = re.compile(r"[^\s.…\"“”„«»()\[\]（）「」,;:!?]+$")
-_LABEL = re.compile(r"(?:[^\n\r:：\d!?。！？।؟“”„«»「」\"]|(?:\r\n|\n|\r)(?![^\S\r\n]*[\r\n])){1,90}[:：]")
+_NOT_IN_WORD = set(".…\"“”„«»()[]（）「」,;:!?")
+# the number, letter or Roman number of a list marker, by the marker's kind
+_MARKER = re.compile(
+    r"(?:\((?P<digits_in>\d{1,3})\)|\((?P<roman_in>[ivx]+)\)|\((?P<letter_in>[a-z])\)|(?P<level>(?:\d{1,3}\.)+\d{1,3})[.)]|(?P<digits_dot>\d{1,3})\.|(?P<digits_end>\d{1,3})\)"
+    r"|(?P<roman_dot>[ivx]+)\.|(?P<roman_end>[ivx]+)\)|(?P<letter_dot>[a-z])\.|(?P<letter_end>[a-z])\)|(?P<bullet>[•‣▪◦]))(?=\s+\S)"
+)
+_LINE_HEAD = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?=[\d(a-z•‣▪◦])")
+_FIRST = {"1", "1.1", "a", "i", "•", "‣", "▪", "◦"}
+_ROMAN = {"i": 1, "v": 5, "x": 10}
+_LABEL = re.compile(r"(?:[^\n\r:：\d!?。！？।؟“”„«»「」\"]|(?:\r\n|\n|\r)(?![^\S\r\n]*[\r\n]))+[:：]")
 _QUOTES = "\"“„«「『‹"
 
 
@@ -107,22 +121,28 @@ def _past_brackets(text: str, at: int, end: int) -> int:
     return at
 
 
-def _before_brackets(text: str, at: int, start: int) -> int:
-    """The end of the last word before ``at`` that isn't in a bracketed remark."""
+def _before_brackets(text: str, at: int, start: int, opened: dict[int, int]) -> int:
+    """The end of the last word before ``at`` that isn't in a bracketed remark; ``opened`` has the place
+    where each bracket that was closed had been opened."""
     while at > start:
         if text[at - 1].isspace() or text[at - 1] in INVISIBLE:
             at -= 1
-        elif text[at - 1] in BRACKET_ENDS:
-            begin = text.rfind(BRACKET_ENDS[text[at - 1]], start, at)
-            if begin < 0:
-                return at
-            at = begin
+        elif opened.get(at - 1, -1) >= start:
+            at = opened[at - 1]
         else:
             return at
     return at
 
 
-def _dot_ends(text: str, dot: int, after: int, end: int, start: int) -> bool:
+def _word_before(text: str, at: int, start: int) -> str:
+    """The word that ends at ``at`` and begins at or behind ``start``."""
+    begin = at
+    while begin > start and not (text[begin - 1].isspace() or text[begin - 1] in _NOT_IN_WORD):
+        begin -= 1
+    return text[begin:at]
+
+
+def _dot_ends(text: str, dot: int, after: int, end: int, start: int, opened: dict[int, int]) -> bool:
     """Whether the single dot at ``dot`` ends the sentence; ``after`` is the place behind it and any
     closing marks."""
     place = _next_place(text, after, end)
@@ -132,8 +152,7 @@ def _dot_ends(text: str, dot: int, after: int, end: int, start: int) -> bool:
     nxt = text[place]
     if nxt in CONTINUERS:
         return False
-    word = _WORD_BEFORE.search(text, max(start, dot - 40), dot)
-    word = word.group() if word else ""
+    word = _word_before(text, dot, start)
     if not word:
         if dot > start and text[dot - 1] in CLOSERS:
             return not nxt.islower()
@@ -152,21 +171,22 @@ def _dot_ends(text: str, dot: int, after: int, end: int, start: int) -> bool:
         if dot - len(word) <= start:  # a list item's number
             return False
         if len(word) <= 3:
-            behind = _before_brackets(text, dot - len(word), start)
-            before = _WORD_BEFORE.search(text, max(start, behind - 20), behind)
-            if before and before.group().lower() in ORDINAL_AFTER:
+            if _word_before(text, _before_brackets(text, dot - len(word), start, opened), start).lower() in ORDINAL_AFTER:
                 return False
         return True
     loose = _LOOSE.ends_at(text, dot, start)
     if loose < 0 and word in ("д", "п"):  # a remark may stand within "т. д."
-        behind = _before_brackets(text, dot - 1, start)
+        behind = _before_brackets(text, dot - 1, start, opened)
         if text[behind - 2 : behind] == "т.":
             loose = behind - 2
     if loose >= 0:
         ahead = _past_brackets(text, after, end)
         if ahead < end and text[ahead].islower():
             return False
-        if word in ("г", "в", "f") and not re.search(r"\d\s*$", text[max(start, loose - 6) : loose]):
+        number = loose
+        while number > start and text[number - 1].isspace():
+            number -= 1
+        if word in ("г", "в", "f") and not (number > start and text[number - 1].isdigit()):
             return False
         return not nxt.isdigit()
     if _BOUND.ends_at(text, dot, start) >= 0:
@@ -224,10 +244,14 @@ def _label_end(text: str) -> int:
         at = start + dot.start()
         if len(dot.group()) > 1 or _BOUND.ends_at(text, at, start) < 0 and not (at - 1 >= start and text[at - 1].isalpha() and (at - 2 < start or not text[at - 2].isalnum())):
             return 0
-    if head[-1] not in ")]）］":  # without a party or office behind the name, the words have to look like one
-        small = [w for w in re.findall(r"[^\W\d_]{2,}", head) if w[0].islower()]
-        if SPEECH.search(head) or any(w not in TITLE_WORDS for w in small):
+    # words that a name or office would not have: none without a party or office behind it, else fewer than the others
+    words = re.findall(r"[^\W\d_]{2,}", head)
+    small = [w for w in words if w[0].islower() and w not in TITLE_WORDS]
+    if head[-1] in ")]）］":
+        if 2 * len(small) > max(len(words), 6):
             return 0
+    elif small or SPEECH.search(head):
+        return 0
     return found.end()
 
 
@@ -255,21 +279,99 @@ def _next_place_space(text: str, at: int, end: int) -> int:
     return at
 
 
+class Levels:
+    """The stack of list levels: the kind of marker of each and the number it is at."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[str, tuple[int, ...]]] = []
+
+    def take(self, found: re.Match, anywhere: bool) -> bool:
+        """Whether the marker goes on with a level, which ends those within it, or begins one. A level
+        begins with the first number, ``anywhere`` with any."""
+        readings = self._readings(found)
+        at = {kind: n for n, (kind, _) in enumerate(self.held)}  # a kind has one level at most
+        for kind, numbers in readings:
+            if kind in at and numbers in self._next(self.held[at[kind]][1]):
+                self.held[at[kind] :] = [(kind, numbers)]
+                return True
+        for kind, numbers in readings:
+            if anywhere or self.held and kind not in at and numbers[-1] == 1:
+                self.held[at.get(kind, len(self.held)) :] = [(kind, numbers)]
+                return True
+        return False
+
+    @staticmethod
+    def _next(was: tuple[int, ...]) -> set[tuple[int, ...]]:
+        """What may follow a number: 1.2 is followed by 1.3, 2, 2.1 and 1.2.1; 1 by 1 where none counts up."""
+        return {(1,) if was == (1,) else (was[0] + 1,)} | {(*was[:n], was[n] + 1) for n in range(len(was))} | {(*was[:n], was[n] + 1, 1) for n in range(len(was))} | {(*was, 1)}
+
+    @staticmethod
+    def _readings(found: re.Match) -> list[tuple[str, tuple[int, ...]]]:
+        kind, text = found.lastgroup, found.group(found.lastgroup)
+        if kind == "bullet":
+            return [(kind, (1,))]
+        form, _, place = kind.partition("_")
+        if form == "level":
+            return [("digits_dot", tuple(int(x) for x in text.split(".")))]
+        if form == "digits":
+            return [(kind, (int(text),))]
+        letter = [(f"letter_{place}", (ord(text) - 96,))] if len(text) == 1 else []
+        if form == "letter":
+            return letter
+        values = [_ROMAN[c] for c in text]
+        total = sum(-v if v < max(values[n:]) else v for n, v in enumerate(values))
+        return [*letter, (kind, (total,))] if text != "i" else [(kind, (1,)), *letter]
+
+
 def _paragraph(text: str, at: int, end: int, marks: re.Pattern, thai: bool, out: list[tuple[int, int]]) -> None:
     start = _next_place_space(text, at, end)
     while end > start and text[end - 1].isspace():
         end -= 1
-    stack: list[str] = []  # closing marks that are awaited
-    remark = first = colon = ended = False
+    stack: list[tuple[str, int]] = []  # closing marks that are awaited, and where they were opened
+    opened: dict[int, int] = {}  # of each bracket that was closed, where it had been opened
+    last: dict[str, int] = {}  # the last place of a closing mark
+
+    def awaits(partners: str, place: int) -> bool:
+        """Whether one of ``partners`` comes behind ``place``."""
+        for p in partners:
+            if p not in last:
+                last[p] = text.rfind(p, at, end)
+        return any(last[p] > place for p in partners)
+
+    levels = Levels()
     skip = start
+    if marker := _MARKER.match(text, start, end):
+        levels.take(marker, True)
+        skip = marker.end()
+    remark = first = colon = False
+    heads = iter(_LINE_HEAD.finditer(text, start, end))
+    head = next(heads, None)
+
+    def lines(upto: int) -> None:
+        """End the unit at list markers at the heads of the lines that begin before ``upto``."""
+        nonlocal head, start, skip, first, colon
+        while head and head.end() <= upto:
+            if head.start() >= skip and not stack and (marker := _MARKER.match(text, head.end(), end)):
+                before = head.start()
+                while before > start and text[before - 1].isspace():
+                    before -= 1
+                begins = before > start and text[before - 1] in ":;：；" and marker.group(marker.lastgroup) in _FIRST
+                if levels.take(marker, begins):
+                    if before > start:
+                        out.append((start, before))
+                    start, skip = marker.start(), marker.end()
+                    first = colon = False
+            head = next(heads, None)
+
     for mark in marks.finditer(text, start, end):
         place = mark.start()
+        lines(place)
         if place < skip:
             continue
         ch = text[place]
         stop = -1
-        if stack and ch in stack[-1]:
-            stack.pop()
+        if stack and ch in stack[-1][0]:
+            opened[place] = stack.pop()[1]
             if stack:
                 continue
             after = place + 1
@@ -285,20 +387,20 @@ def _paragraph(text: str, at: int, end: int, marks: re.Pattern, thai: bool, out:
                 if text[inside] in TERMINATORS and not thai and _quote_ends(text, after, end, first, colon):
                     stop = after
         elif stack:
-            if ch in OPENERS and text.find(OPENERS[ch][0], place, end) >= 0:
-                stack.append(OPENERS[ch])
+            if ch in OPENERS and awaits(OPENERS[ch][0], place - 1):
+                stack.append((OPENERS[ch], place))
             continue
         elif ch in OPENERS or ch == '"':
             partners = OPENERS.get(ch, '"')
-            if all(text.find(p, place + 1, end) < 0 for p in partners):
+            if not awaits(partners, place):
                 continue
-            stack.append(partners)
+            stack.append((partners, place))
             begins = _next_place(text, start, place) == place
             if ch in BRACKETS:
                 remark = begins
             elif ch not in TITLES:
                 first = begins
-                back = _before_brackets(text, place, start)
+                back = _before_brackets(text, place, start, opened)
                 colon = not begins and text[back - 1 : back] in (":", "：")
             continue
         elif ch in CLOSERS:
@@ -320,7 +422,7 @@ def _paragraph(text: str, at: int, end: int, marks: re.Pattern, thai: bool, out:
                 after += 1
             if ch in DOTTED:
                 if ch == "." and len(run) == 1:
-                    done = not thai and _dot_ends(text, place, after, end, start)
+                    done = not thai and _dot_ends(text, place, after, end, start, opened)
                 else:
                     ahead = _next_place(text, after, end)
                     done = ahead >= end or text[ahead].isupper() or text[ahead] in _QUOTES and not stack
@@ -337,6 +439,7 @@ def _paragraph(text: str, at: int, end: int, marks: re.Pattern, thai: bool, out:
         start = _next_place_space(text, stop, end)
         skip = stop
         first = colon = False
+    lines(end)
     if start < end:
         out.append((start, end))
 

@@ -139,6 +139,41 @@ def test_layout():
     assert texts("(a b") == ["(a b"] and texts("...") == ["..."] and texts("a.b.c d. e") == ["a.b.c d. e"]
 
 
+LISTS = [
+    ["1. First item", "2. Second item"], ["(1) Erstens gilt das.", "(2) Zweitens nicht."], ["1.1. Minutes."], ["Intro:", "1. First", "2. Second one.", "And more.", "3. Third"], ["ii. Text here"], ["(a) Text here"],
+    ["a) one;", "b) two:", "  i) deep", "  ii) deeper", "c) three"], ["• one", "• two"], ["1. A", "1.1. B", "1.2. C", "2. D"], ["i. one", "ii. two", "iii. three", "iv. four"], ["h) eight", "i) nine", "j) ten"],
+    ["1. one", "1. one more"], ["1) She said (2) and “3. Nothing.\n2) More” then.", "2) Next"],
+]
+
+
+@pytest.mark.parametrize("items", LISTS)
+def test_lists(items):
+    assert texts("\n".join(items)) == [i.strip() for i in items]
+
+
+def test_numbers_that_are_no_markers():
+    for whole in ("Wir kamen am\n3. Mai 1993 an.", "It was\n(applause)\nfine.", "The sum of\n2) and 3) is 5.", "Nothing\n• here."):
+        assert texts(whole) == [whole]
+
+
+@pytest.mark.parametrize("text", ["Wort („a ", "x) „a“ ", "( a", '"a ', "(a) ", "\n1. x", "\n(1) x", "a" * 500 + ". ", "A.", "т. ", "3. ", ") т. д. "])
+def test_time_grows_with_the_length_only(text):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        units(text * (n // len(text)))
+        return time.perf_counter() - began
+
+    assert took(1_000_000) < 25 * max(took(100_000), 0.02)
+
+
+def test_long_labels_and_words():
+    name = " ".join(["Delbrimelesh"] * 20)
+    assert texts(f"{name}: We begin.") == [f"{name}:", "We begin."]
+    assert texts(f"{'k' * 100}. Then 5. Mai.")[0] == f"{'k' * 100}."
+
+
 def test_offsets_and_odd_texts(spark):
     docs = [(1, None), (2, ""), (3, " \n "), (4, "😀 One. 😀 Two."), (4, "😀 One. 😀 Two."), (5, "word " * 200_000 + "end.")]
     got = sorted(tuple(r) for r in sentence_units(spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as start_char")).collect())
