@@ -2,11 +2,11 @@
 
 Hot-cold split by exact counts:
 
-* Rows are counted per (hash of the group, range of the leading sort value); the counts give each
-  group's size. The HOT_GROUPS largest of more than ``heavy_rows`` rows are heavy; so any other group
-  holds less than a HOT_GROUPS-th of all rows and goes through an ordinary window.
-* From the same counts, taken from the top range down, follows the range below which no row of a heavy
-  group can be among its first N. Rows below it are dropped where they are read. What is left, a large
+* Rows are counted per hash of the group. The HOT_GROUPS largest groups of more than ``heavy_rows`` rows
+  are heavy; so any other group holds less than a HOT_GROUPS-th of all rows and goes through an ordinary
+  window.
+* The rows of heavy groups are counted per range of the leading sort value. From these counts, taken from
+  the top range down, follows the range below which no row of the group can be among its first N. Rows below it are dropped where they are read. What is left, a large
   tie perhaps, is cut into salts by the rows' identity; each (group, salt) is sorted for its own first N,
   and the survivors are ranked once more per group.
 
@@ -39,11 +39,12 @@ def top_n(df: DataFrame, groups: list[str], order: list[Column], identity: list[
     parts = [x for g in groups for x in (F.col(g).isNull(), F.col(g))]  # a hash passes over nulls
     hashes = {h: F.xxhash64(F.lit(seed), *parts) for seed, h in enumerate(ids)}
     marked = df.withColumns(hashes | {"__range": F.coalesce(leading_range.cast("long"), F.lit(-(2**63)))})
-    counts = pin(marked.groupBy(*ids, "__range").agg(F.count(F.lit(1)).alias("__n")))
-    hot = counts.groupBy(*ids).agg(F.sum("__n").alias("__size")).filter(F.col("__size") > heavy_rows).orderBy(F.desc("__size"), *ids).limit(hot_groups)
+    sizes = marked.groupBy(*ids).agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > heavy_rows)
+    hot = pin(sizes.orderBy(F.desc("__size"), *ids).limit(hot_groups).select(*ids))
     # ranges of heavy groups only: a group has as many rows here as leading_range takes values in it
     upto = F.sum("__n").over(Window.partitionBy(*ids).orderBy(F.desc("__range")))
-    ranges = counts.join(F.broadcast(hot.select(*ids)), ids).withColumn("__upto", upto).filter(F.col("__upto") >= n)
+    ranges = marked.select(*ids, "__range").join(F.broadcast(hot), ids).groupBy(*ids, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    ranges = ranges.withColumn("__upto", upto).filter(F.col("__upto") >= n)
     cuts = pin(ranges.groupBy(*ids).agg(F.max("__range").alias("__least"), F.ceil(F.min("__upto") / F.lit(part_rows)).cast("int").alias("__salts")))
 
     joined = marked.join(F.broadcast(cuts), ids, "left")
