@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,7 @@ class Result:
 
     table: Table
     python_expressions: list[str]
+    output_checks: list[Callable[[], list[str]]] = field(default_factory=list)
 
     @property
     def df(self) -> DataFrame:
@@ -36,16 +38,30 @@ class Result:
 
     @property
     def warnings(self) -> list[str]:
-        """What was unusual in the inputs; some of it takes a pass over them."""
+        """What was unusual in the inputs, and in the output where its form is known; some of it takes a
+        pass over them."""
         said: list[str] = []
-        for w in self.table.warnings:
+        for w in [*self.table.warnings, *self.output_checks]:
             said += w() if callable(w) else [w]
         return list(dict.fromkeys(said))
 
     def rows(self) -> list[list[object]]:
-        if self.table.ragged:
-            return [list(r[0]) for r in self.df.collect()]
-        return [list(r) for r in self.df.collect()]
+        with self.placing_errors():
+            return [list(r[0]) if self.table.ragged else list(r) for r in self.df.collect()]
+
+    @contextmanager
+    def placing_errors(self) -> Iterator[None]:
+        """Errors of the input are raised with the place that the checks of the sources find."""
+        try:
+            yield
+        except QueryError:
+            raise
+        except Exception as e:
+            if not _debug:
+                for check in self.table.checks if error_info(e)[0] == "IO handling" else ():
+                    if found := check():
+                        raise found from e
+            raise
 
 
 def run(text: str, source: Table | None, find: Finder | None, options: Options) -> Result:
@@ -151,13 +167,21 @@ def error_info(error: Exception) -> tuple[str, str]:
     if isinstance(error, SyntaxError):
         return "syntax error", str(error)
     text = str(error)
-    if "USER_RAISED_EXCEPTION" in text or "PythonException" in type(error).__name__ or "CAST_INVALID_INPUT" in text or "DIVIDE_BY_ZERO" in text:
+    if told := re.search(r"\[USER_RAISED_EXCEPTION\]\s*(.*?)\s*SQLSTATE: \w+", text, re.DOTALL):
+        return "IO handling" if told.group(1).startswith(INPUT_OUTPUT) else "query execution", told.group(1)
+    if "ARITHMETIC_OVERFLOW" in text:
+        return "query execution", "a whole number is beyond 64 bits"
+    if "PythonException" in type(error).__name__ or "CAST_INVALID_INPUT" in text or "DIVIDE_BY_ZERO" in text:
         lines = [x.strip() for x in text.split("\n") if x.strip() and not x.lstrip().startswith(("at ", "File ", "Traceback", "==", "JVM"))]
         told = [x for x in lines if re.match(r"[\w.]*(Error|Exception)\b.*: ", x) and "Traceback" not in x]
-        return "query execution", (told or lines or [text])[-1 if told else 0]
+        return "query execution", re.sub(r"\s*SQLSTATE: \w+.*|^\[\w+(?:\.\w+)*\]\s*", "", (told or lines or [text])[-1 if told else 0])
     return "unexpected", text
 
 
+# How messages begin that tell of inputs and outputs rather than of the query.
+INPUT_OUTPUT = ("Unable to decode input table", "Inconsistent double quote escaping", "Error decoding JSON", "Unable to use monocolumn", "Inconsistent number of columns in output")
+
+
 def _find_delimited(spark: SparkSession, input_path: str | None, delim: str, policy: str, encoding: str | None, has_header: bool, **options: object) -> Finder:
     def find(name: str, modifier: str | None) -> Table | None:
         path = delimited.table_path(name, input_path)
@@ -187,34 +211,48 @@ def query_csv(
     source = ModifiedTable(lambda m: delimited.read_delimited(spark, input_path, delim, policy, encoding, with_headers, modifier=m, **options))
     find = _find_delimited(spark, input_path, delim, policy, encoding, with_headers, **options)
     result = run(text, source, find, Options(init_code or default_init_code(), {}, allow_python, keep_order=True))
-    if output_path:
+    result.output_checks.append(lambda: writers.output_warnings(result.table, output_delim, output_policy))
+    _write(result, output_path, output_delim, output_policy, encoding, single_file)
+    return result
+
+
+def _write(result: Result, path: str | None, delim: str, policy: str, encoding: str | None = "utf-8", single_file: bool = True) -> None:
+    if not path:
+        return
+    with result.placing_errors():
         if single_file:
-            with open(output_path, "w", encoding=encoding or "latin-1", newline="") as out:
-                writers.write_stream(result.table, out, output_delim, output_policy)
+            with open(path, "w", encoding=encoding or "latin-1", newline="") as out:
+                writers.write_stream(result.table, out, delim, policy)
         else:
-            writers.write_folder(result.table, output_path, output_delim, output_policy)
-    return result
+            writers.write_folder(result.table, path, delim, policy)
 
 
 def query_json(spark: SparkSession, text: str, input_path: str, output_path: str | None = None, init_code: str = "", tables: Mapping[str, str] | None = None) -> Result:
     """Run ``text`` over JSON Lines; a1 is each line's value. ``tables`` names files to join."""
-    find = None if tables is None else (lambda name, m: others.read_jsonl(spark, tables[name]) if name in tables else None)
+    find = None if tables is None else (lambda name, m: others.read_jsonl(spark, tables[name], "join") if name in tables else None)
     result = run(text, others.read_jsonl(spark, input_path), find, Options(init_code or default_init_code(), keep_order=True))
     if output_path:
-        with open(output_path, "w", encoding="utf-8") as out:
+        with result.placing_errors(), open(output_path, "w", encoding="utf-8") as out:
             for row in writers.json_lines(result.table).toLocalIterator():
                 out.write(row[0] + "\n")
     return result
 
 
-def query_sqlite(spark: SparkSession, text: str, database: str, table: str | None = None, init_code: str = "") -> Result:
-    """Run ``text`` over tables of an SQLite file; joins name tables of the same file."""
+def query_sqlite(
+    spark: SparkSession, text: str, database: str, table: str | None = None, init_code: str = "", output_path: str | None = None, output_delim: str = ",",
+    output_policy: str = "quoted_rfc", single_file: bool = True,
+) -> Result:
+    """Run ``text`` over tables of an SQLite file; joins name tables of the same file. With
+    ``output_path`` write the result as text."""
 
     def find(name: str, modifier: str | None) -> Table | None:
         return others.read_sqlite(spark, database, name)
 
     source = others.read_sqlite(spark, database, table) if table else None
-    return run(text, source, find, Options(init_code or default_init_code(), keep_order=True))
+    result = run(text, source, find, Options(init_code or default_init_code(), keep_order=True))
+    result.output_checks.append(lambda: writers.output_warnings(result.table, output_delim, output_policy))
+    _write(result, output_path, output_delim, output_policy, single_file=single_file)
+    return result
 
 
 def query_dataframe(spark: SparkSession, text: str, frame: object, join_frame: object | None = None, init_code: str = ""):  # noqa: ANN201

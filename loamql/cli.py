@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import atexit
+import itertools
 import json
 import os
+import shutil
 import sys
+import tempfile
 
 from loamql import __version__
 
@@ -23,6 +27,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--output")
         p.add_argument("--init-source-file")
         p.add_argument("--error-format", choices=("hr", "json"), default="hr")
+        p.add_argument("--debug-mode", action="store_true", help="show errors as they are raised")
         if mode in ("csv", "sqlite"):
             p.add_argument("--out-format", choices=("csv", "tsv", "input"), default="input" if mode == "csv" else "csv")
             p.add_argument("--out-delim")
@@ -76,20 +81,22 @@ def _out(args: argparse.Namespace, delim: str, policy: str) -> tuple[str, str]:
 
 
 def run_one(args: argparse.Namespace, query: str) -> bool:
-    from loamql.api import query_csv, query_json, query_sqlite
+    from loamql.api import query_csv, query_json, query_sqlite, set_debug_mode
     from loamql.session import local_session
     from loamql.sinks import writers
     from loamql.sources import delimited
 
     spark = local_session()
     spark.sparkContext.setLogLevel("OFF")
+    set_debug_mode(args.debug_mode)
     try:
         said: list[str] = []
         if args.mode == "json":
             result = query_json(spark, query, args.input, args.output, _init_code(args))
             if not args.output:
-                for row in writers.json_lines(result.table).toLocalIterator():
-                    print(row[0])
+                with result.placing_errors():
+                    for row in writers.json_lines(result.table).toLocalIterator():
+                        print(row[0])
             return True
         if args.mode == "csv":
             delim, policy = _delimiter(args.delim), args.policy
@@ -106,17 +113,20 @@ def run_one(args: argparse.Namespace, query: str) -> bool:
         else:
             out_delim, out_policy = _out(args, ",", "quoted_rfc")
             result = query_sqlite(spark, query, args.database, args.input, _init_code(args))
-        if args.output:
-            with open(args.output, "w", encoding=getattr(args, "encoding", "utf-8"), newline="") as out:
-                writers.write_stream(result.table, out, out_delim, out_policy)
-        elif not writers.write_stream(result.table, sys.stdout, out_delim, out_policy, colour=args.color):
-            os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())  # the reader went away
-            return True
-        said = result.warnings + writers.output_warnings(result.table, out_delim, out_policy)
+        with result.placing_errors():
+            if args.output:
+                with open(args.output, "w", encoding=getattr(args, "encoding", "utf-8"), newline="") as out:
+                    writers.write_stream(result.table, out, out_delim, out_policy)
+            elif not writers.write_stream(result.table, sys.stdout, out_delim, out_policy, colour=args.color):
+                os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())  # the reader went away
+                return True
+        said = result.warnings
         for warning in dict.fromkeys(said):
             print(f"Warning: {warning}", file=sys.stderr)
         return True
     except Exception as e:  # noqa: BLE001 - told to the user
+        if args.debug_mode:
+            raise
         _report(args, e)
         return False
 
@@ -141,14 +151,29 @@ def interactive(args: argparse.Namespace) -> int:
             return 0
         if readline:
             readline.write_history_file(os.path.expanduser(HISTORY))
-        run_one(args, query)
+        if run_one(args, query) and args.output:  # what was written is shown from its file
+            print(f"The result is in {args.output}; it begins with:")
+            with open(args.output, encoding=getattr(args, "encoding", "utf-8")) as made:
+                for line in itertools.islice(made, 10):
+                    print(line.rstrip("\n"))
+
+
+def _from_stdin() -> str:
+    """The standard input as a file, so that it can be read in parts and more than once."""
+    handle, path = tempfile.mkstemp(prefix="loamql-stdin-")
+    atexit.register(os.unlink, path)
+    with os.fdopen(handle, "wb") as copy:
+        shutil.copyfileobj(sys.stdin.buffer, copy)
+    return path
 
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
-    if args.mode != "sqlite" and not args.input:
-        print("Error: --input is needed", file=sys.stderr)
-        return 1
     if args.query is None:
+        if args.mode != "sqlite" and not args.input:
+            print("Error: --input is needed where queries are typed in", file=sys.stderr)
+            return 1
         return interactive(args)
+    if args.mode != "sqlite" and not args.input:
+        args.input = _from_stdin()
     return 0 if run_one(args, args.query) else 1

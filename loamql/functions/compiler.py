@@ -33,6 +33,7 @@ class Value:
     type: str
     item: str = "other"  # type of a list's items
     const: object = None  # the value of a literal
+    raw: Column | None = None  # a decimal as it is stored, where ``col`` is it as a double
 
     @property
     def number(self) -> bool:

@@ -8,6 +8,7 @@ where the query mentions them or its result depends on the order of rows.
 from __future__ import annotations
 
 import ast
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -21,7 +22,8 @@ from loamql.functions import fallback
 from loamql.functions.compiler import Compiler, Unsupported, Value, float_text, parse, type_of
 from loamql.plans.lexer import IOHandlingError, ParsingError, RuntimeQueryError
 from loamql.plans.stage import Stage
-from loamql.sources.tables import FIELDS, NR, Table
+from loamql.session import pin
+from loamql.sources.tables import FIELDS, NR, Table, in_file_order, of_many_files
 
 # The spellings of the aggregates.
 AGGREGATES = {
@@ -30,6 +32,7 @@ AGGREGATES = {
 }
 AGGREGATE_OF = {spelling: name for name, spellings in AGGREGATES.items() for spelling in spellings}
 UNNEST = ("UNNEST", "unnest", "Unnest")
+EARLY_ROWS = 10_000  # a LIMIT of up to so many rows, without an order, is taken from the first tasks at once
 FORBIDDEN = '"ORDER BY", "UPDATE" and "DISTINCT" keywords are not allowed in aggregate queries'
 INSIDE = "Aggregate functions can't be used inside other expressions"
 
@@ -55,6 +58,7 @@ class Scope:
         self.sides = {"a": a} | ({"b": b} if b else {})
         self.max_b: Column | None = None
         self.types: dict[str, tuple[str, str]] = {}
+        self.decimals: set[str] = set()  # fields that are stored as decimals
 
     def column(self, side: str, n: int) -> Value | None:
         table = self.sides.get(side)
@@ -65,6 +69,8 @@ class Scope:
         if not 0 < n <= table.width:
             return Value(F.lit(None), "null")
         name = f"{side}{n}"
+        if name in self.decimals:
+            return Value(F.col(name).cast("double"), *self.types[name], raw=F.col(name))
         return Value(F.col(name), *self.types[name])
 
     def index(self, side: str, name: str) -> int | None:
@@ -160,6 +166,7 @@ class Planner:
                 have = "has a header while the Join table doesn't have a header" if a.header else "doesn't have a header while the Join table has a header"
                 raise IOHandlingError(f"Inconsistent modes: Input table {have}")
         self.warnings = [*a.warnings, *(self.b.warnings if self.b else [])]
+        self.checks = [*a.checks, *(self.b.checks if self.b else [])]
 
     # -- what is needed ----------------------------------------------------------------------------
 
@@ -220,13 +227,24 @@ class Planner:
         if aggregates:
             grouped_in_order = any(k in ("any_value", "array_agg", "plain") for k in self._aggregate_kinds())
         ordered = s.order is not None or s.distinct and s.limit is not None or s.distinct_count or s.limit is not None and not aggregates and s.assignments is None
-        keep = (self.options.sort_stages or self.options.keep_order and (s.join is not None or s.distinct)) and not aggregates
+        self.early = (
+            s.limit is not None and s.limit <= EARLY_ROWS and not (aggregates or s.assignments is not None or s.order or s.distinct or s.distinct_count or s.join)
+            and not self.mentions("NR", "aNR", "a.NR") and not self.a.numbered and in_file_order(self.a.df)
+        )
+        ordered = ordered and not self.early
+        keep = (self.options.sort_stages or self.options.keep_order and (s.join is not None or s.distinct or of_many_files(self.a.df))) and not aggregates
+        keep = keep and not self.early
         ordered = ordered or keep
         self.sorted_out = keep
-        if self.mentions("NR", "aNR", "a.NR") or ordered or grouped_in_order:
+        short = s.assignments is not None and (self.a.ragged or ordered)  # a record without the field is named in the error
+        if self.mentions("NR", "aNR", "a.NR") or short:
             self.a = self.a.with_numbers()
-        if self.b and (self.mentions("bNR", "b.NR") or ordered or grouped_in_order):
+        elif ordered or grouped_in_order:
+            self.a = self.a.with_order()
+        if self.b and self.mentions("bNR", "b.NR"):
             self.b = self.b.with_numbers()
+        elif self.b and (ordered or grouped_in_order):
+            self.b = self.b.with_order()
         self.scope = self._scope(self.a, self.b)
         df = self._side("a", self.a)
         if self.b:
@@ -250,6 +268,8 @@ class Planner:
             if not table.ragged:
                 for n, f in enumerate(f for f in table.df.schema.fields if f.name != NR):
                     scope.types[f"{side}{n + 1}"] = type_of(f.dataType)
+                    if isinstance(f.dataType, T.DecimalType):
+                        scope.decimals.add(f"{side}{n + 1}")
         return scope
 
     @staticmethod
@@ -306,7 +326,7 @@ class Planner:
                     if value is not None:
                         names.append(inner.id)
                         cols.append(value.col)
-        if self.a.numbered:  # for messages
+        if self.a.numbered and self.a.counted:  # for messages
             names.append("__record")
             cols.append(F.col(f"a{NR}"))
         fallback.namespace(self.options.init_source, self.options.user)  # its errors come now, not on a worker
@@ -371,7 +391,7 @@ class Planner:
                     held = F.col(f"{side}{FIELDS}")
                     text = f'No "a{place}" field at record ' if side == "a" else f'No field with index {place} at record '
                     tail = "" if side == "a" else ' in "B" table'
-                    number = F.col(f"{side}{NR}").cast("string") if self.scope.sides[side].numbered else F.lit("?")
+                    number = F.col(f"{side}{NR}").cast("string") if self.scope.sides[side].numbered and self.scope.sides[side].counted else F.lit("?")
                     guard = F.when(F.size(held) < place, F.raise_error(F.concat(F.lit(text), number, F.lit(tail)))).otherwise(F.lit(True))
                     if side == "a":
                         df = df.filter(guard)
@@ -395,7 +415,10 @@ class Planner:
         if self.b.ragged:
             self.scope.max_b = F.lit(self.b.df.agg(F.coalesce(F.max(F.size(FIELDS)), F.lit(0))).first()[0])
         if how == "strict" or self.stage.assignments is not None:
-            b = b.withColumn("__same", F.count(F.lit(1)).over(Window.partitionBy(*(n for n, _, _ in keys_b))))
+            # only keys that b has more than once; none, as a rule
+            many = b.groupBy(*(F.col(n).alias(f"__m{n}") for n, _, _ in keys_b)).agg(F.count(F.lit(1)).alias("__same")).filter(F.col("__same") > 1)
+            same = [b[n].eqNullSafe(many[f"__m{n}"]) for n, _, _ in keys_b]
+            b = b.join(many, same, "left").drop(*(f"__m{n}" for n, _, _ in keys_b)).withColumn("__same", F.coalesce("__same", F.lit(1)))
         cond = None
         for (x, _, kind), (y, _, _) in zip(keys_a, keys_b):
             one = df[x].eqNullSafe(b[y])
@@ -489,7 +512,7 @@ class Planner:
                         raise ParsingError(f"*{item.text}: only a list can become columns")
                     value = Value(value.col, "fields", value.item)
                 values.append(value)
-        made = df.withColumns({f"__o{n}": v.col for n, v in enumerate(values)}) if values else df
+        made = df.withColumns({f"__o{n}": v.col if v.raw is None else v.raw for n, v in enumerate(values)}) if values else df
         keys = []
         if s.order:
             for n, text in enumerate(s.order):
@@ -529,11 +552,16 @@ class Planner:
                 made = made.select(*renamed, *keys, *places)
                 names = [f"c{n + 1}" for n in range(len(names) + 1)]
             header = None if header is None else ["count", *header]
+        if self.early and not any(isinstance(f.dataType, T.VariantType) for f in made.select(*names).schema.fields):
+            # the first tasks' first rows are the first rows: no other task is started once they are found
+            first = made.select(*names)
+            held = made.sparkSession.createDataFrame(first.take(s.limit), first.schema)
+            return Table(held, header, ragged, warnings=self.warnings, checks=self.checks)
         if keys or (s.limit is not None and places) or s.distinct_count or self.sorted_out:
             made = made.orderBy(*order)
         if s.limit is not None:
             made = made.limit(s.limit)
-        return Table(made.select(*names), header, ragged, warnings=self.warnings)
+        return Table(made.select(*names), header, ragged, warnings=self.warnings, checks=self.checks)
 
     def _field_number(self, name: str) -> int | None:
         node = parse(name)
@@ -548,18 +576,26 @@ class Planner:
 
     # -- aggregation -------------------------------------------------------------------------------
 
-    def _numbers(self, v: Value, df: DataFrame) -> Value:
+    def _numbers(self, v: Value) -> Value:
         """A value as a number: text is whole numbers if all of it is, else floats."""
         if v.number:
             return Value(v.col.cast("long"), "int") if v.type == "bool" else v
         if v.type == "str":
             text = F.trim(v.col)
-            whole = df.filter(text.isNotNull() & text.try_cast("long").isNull()).limit(1).count() == 0
-            return Value(text.cast("long"), "int") if whole else Value(text.cast("double"), "float")
+            return Value(text.cast("long"), "int") if self.whole[v.col._jc.toString()] else Value(text.cast("double"), "float")
         if v.type == "json":
             return Value(F.variant_get(v.col, "$", "double"), "float")
         raise RuntimeQueryError(f"Unable to convert value of type {v.type} to a number")
 
+    def _whole_texts(self, df: DataFrame, values: list[Value]) -> dict[str, bool]:
+        """Whether each text that is aggregated as a number is a whole number in all rows; one pass for all."""
+        texts = {v.col._jc.toString(): v.col for v in values if v.type == "str"}
+        if not texts:
+            return {}
+        odd = [F.max((F.trim(c).isNotNull() & F.trim(c).try_cast("long").isNull()).cast("int")).alias(f"t{n}") for n, c in enumerate(texts.values())]
+        found = df.agg(*odd).first()
+        return {name: not found[n] for n, name in enumerate(texts)}
+
     def _aggregate(self, df: DataFrame) -> Table:
         s = self.stage
         self._base = df
@@ -570,52 +606,93 @@ class Planner:
         group = [f"__g{n}" for n in range(max(len(keys), 1))]
         aggs: list[Column] = []
         shown: list[tuple[Column, str]] = []
+        keys_shown: list[Column] = []
         order = [c for c in (f"a{NR}", f"b{NR}") if c in df.columns]
         place = F.struct(*order) if order else F.lit(0)
+        wanted: list[tuple[str, ast.Call | None, Value | None]] = []
         for item in s.items:
-            values: list[tuple[str, ast.Call | None, Value | None]] = []
             if item.star:
-                values = [("plain", None, v) for v in self._star(item.star)]
-            else:
-                node = parse(self._counted(item.text))
-                call = self._aggregate_call(node)
-                if call is None:
-                    if any(isinstance(x, ast.Call) and self._aggregate_call(x) for x in ast.walk(node)):
-                        raise ParsingError(INSIDE)
-                    if ast.dump(node) in key_nodes:
-                        shown.append((F.col(group[key_nodes.index(ast.dump(node))]), keys[key_nodes.index(ast.dump(node))].type))
-                        continue
-                    values = [("plain", None, self._value(item.text, node))]
-                else:
-                    kind = AGGREGATE_OF[call.func.id]
-                    values = [(kind, call, None if kind == "count" else self._value("", call.args[0]))]
-            for kind, call, value in values:
-                name = f"__x{len(aggs)}"
-                if kind == "count":
-                    aggs.append(F.count(F.lit(1)).alias(name))
-                    shown.append((F.col(name), "int"))
+                wanted += [("plain", None, v) for v in self._star(item.star)]
+                continue
+            node = parse(self._counted(item.text))
+            call = self._aggregate_call(node)
+            if call is None:
+                if any(isinstance(x, ast.Call) and self._aggregate_call(x) for x in ast.walk(node)):
+                    raise ParsingError(INSIDE)
+                if ast.dump(node) in key_nodes:
+                    wanted.append(("key", None, keys[key_nodes.index(ast.dump(node))]))
+                    keys_shown.append(F.col(group[key_nodes.index(ast.dump(node))]))
                     continue
-                made, out, kind_out = self._one_aggregate(kind, call, value, df, place, name)
-                aggs.append(made.alias(name))
-                shown.append((out, kind_out))
+                wanted.append(("plain", None, self._value(item.text, node)))
+            else:
+                kind = AGGREGATE_OF[call.func.id]
+                wanted.append((kind, call, None if kind == "count" else self._value("", call.args[0])))
+        self.whole = self._whole_texts(df, [v for kind, _, v in wanted if kind in ("min", "max", "sum", "avg", "variance", "median")])
+        medians: list[tuple[int, Value]] = []
+        shown_keys = iter(keys_shown)
+        for kind, call, value in wanted:
+            if kind == "key":
+                shown.append((next(shown_keys), value.type))
+                continue
+            name = f"__x{len(aggs)}"
+            if kind == "count":
+                aggs.append(F.count(F.lit(1)).alias(name))
+                shown.append((F.col(name), "int"))
+                continue
+            if kind == "median":
+                medians.append((len(shown), self._numbers(value)))
+                shown.append((F.lit(None), "null"))  # joined below
+                continue
+            made, out, kind_out = self._one_aggregate(kind, call, value, df, place, name, len(shown) + 1)
+            aggs.append(made.alias(name))
+            shown.append((out, kind_out))
         grouped = df.groupBy(*group).agg(*aggs) if aggs else df.select(*group).distinct()
+        for n, number in medians:
+            found, kind = self._median(df, group, number)
+            same = [grouped[g].eqNullSafe(found[f"__m{g}"]) for g in group]
+            grouped = grouped.join(found, same[0] if len(same) == 1 else functools.reduce(lambda x, y: x & y, same), "left").drop(*(f"__m{g}" for g in group)).withColumnRenamed("__median", f"__q{n}")
+            shown[n] = (F.col(f"__q{n}"), kind)
         if s.limit is not None or s.group:
             grouped = grouped.orderBy(*(F.col(g).asc_nulls_first() for g in group))
         if s.limit is not None:
             grouped = grouped.limit(s.limit)
         out = grouped.select(*(c.alias(f"c{n + 1}") for n, (c, _) in enumerate(shown)))
-        return Table(out, header, warnings=self.warnings)
+        return Table(out, header, warnings=self.warnings, checks=self.checks)
 
-    def _one_aggregate(self, kind: str, call: ast.Call | None, value: Value, df: DataFrame, place: Column, name: str) -> tuple[Column, Column, str]:
+    def _median(self, df: DataFrame, group: list[str], number: Value) -> tuple[DataFrame, str]:
+        """(the groups as __m*, __median): equal values are counted before the shuffle, and of the counted
+        values, in order, the two middle ones are taken; no list of a group's values is ever held. Whole
+        numbers stay whole unless some group's middles differ, which one look at the groups' middles tells."""
+        col = number.col
+        if self.options.strict_nulls:
+            col = F.coalesce(col, F.raise_error(F.lit("MEDIAN of a null value")).cast("long"))
+        named = df.select(*(F.col(g).alias(f"__m{g}") for g in group), col.alias("__v")).filter(F.col("__v").isNotNull())
+        keys = [f"__m{g}" for g in group]
+        counts = named.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+        upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__v"))
+        placed = counts.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
+        high = F.min(F.when(F.col("__upto") * 2 > F.col("__all"), F.col("__v")))
+        middles = placed.filter(F.col("__upto") * 2 >= F.col("__all")).groupBy(*keys).agg(F.min("__v").alias("__low"), high.alias("__high"))
+        kind = number.type
+        if kind == "int":
+            middles = pin(middles)  # one row per group
+            kind = "float" if middles.filter("__low <> __high").limit(1).count() else "int"
+        low, high = (F.col(c).cast("double" if kind == "float" else "long") for c in ("__low", "__high"))
+        return middles.select(*keys, (low if kind == "int" else F.when(low == high, low).otherwise((low + high) / 2)).alias("__median")), kind
+
+    def _one_aggregate(self, kind: str, call: ast.Call | None, value: Value, df: DataFrame, place: Column, name: str, number: int) -> tuple[Column, Column, str]:
         """(aggregate, its result after grouping, its type)."""
         out = F.col(name)
         if kind == "plain":  # has to be the same in all rows of a group
             if value.type == "fields":
                 raise ParsingError("* can't be used in aggregate queries over records of varying width")
-            states = F.struct(F.min_by(value.col, F.when(value.col.isNotNull(), place)).alias("v"), F.count_distinct(value.col).alias("n"))
-            number = int(name[3:]) + 1
-            guard = F.when(F.col(f"{name}.n") > 1, F.raise_error(F.lit(f"Invalid aggregate expression: non-constant values in output column {number}"))).otherwise(F.lit(None))
-            return states, F.coalesce(guard.cast("string").cast(self._cast_of(value, df)), F.col(f"{name}.v")), value.type
+            same = F.to_json(value.col) if value.type == "json" else value.col
+            states = F.struct(F.min_by(value.col, place).alias("v"), F.min(same).alias("lo"), F.max(same).alias("hi"), F.count(F.lit(1)).alias("n"), F.count(same).alias("set"))
+            state = F.col(name)
+            unlike = (state["lo"] != state["hi"]) | (state["set"] > 0) & (state["set"] < state["n"])
+            wrong = F.raise_error(F.lit(f"Invalid aggregate expression: non-constant values in output column {number}"))
+            guard = F.when(unlike, wrong).otherwise(F.lit(None))
+            return states, F.coalesce(guard.cast("string").cast(self._cast_of(value, df)), state["v"]), value.type
         if kind == "any_value":
             return F.min_by(F.struct(value.col.alias("v")), place), F.col(f"{name}.v"), value.type
         if kind == "array_agg":
@@ -627,8 +704,8 @@ class Planner:
             return F.collect_list(item), made.col, made.type
         if kind in ("min", "max") and value.type in ("time",):
             return (F.min if kind == "min" else F.max)(value.col), out, value.type
-        number = self._numbers(value, df)
-        col = number.col
+        number = self._numbers(value)
+        col = number.col if value.raw is None or kind not in ("min", "max", "sum") else value.raw
         if self.options.strict_nulls:
             col = F.coalesce(col, F.raise_error(F.lit(f"{kind.upper()} of a null value")).cast("long"))
         if kind in ("min", "max"):
@@ -639,8 +716,6 @@ class Planner:
             return F.avg(col.cast("double")), out, "float"
         if kind == "variance":
             return F.var_pop(col.cast("double")), out, "float"
-        if kind == "median":
-            return F.median(col.cast("double")), out, "float"
         raise ParsingError(f"Unknown aggregate {kind}")
 
     @staticmethod
@@ -690,13 +765,14 @@ class Planner:
             for n, value in new.items():
                 old = held
                 short = F.size(F.col(f"a{FIELDS}")) < n
-                guard = F.when(short, F.raise_error(F.lit(f'No "a{n}" field at record'))).otherwise(F.lit(None).cast("string"))
+                record = F.col(f"a{NR}").cast("string") if self.a.numbered else F.lit("?")
+                guard = F.when(short, F.raise_error(F.concat(F.lit(f'No "a{n}" field at record '), record))).otherwise(F.lit(None).cast("string"))
                 put = F.coalesce(guard, rendered_or_null(value))
                 held = F.transform(old, _put_at(n - 1, put))
                 held = F.when(short, F.array(guard)).otherwise(held)
             df = df.orderBy(f"a{NR}") if self.sorted_out else df
             made = df.select(F.when(test, held).otherwise(F.col(f"a{FIELDS}")).alias(FIELDS), *([F.col(f"a{NR}").alias(NR)] if self.a.numbered else []))
-            return Table(made, self.a.header, True, self.a.numbered, self.warnings)
+            return Table(made, self.a.header, True, self.a.numbered, self.warnings, self.checks)
         cols = []
         for n in range(1, self.a.width + 1):
             old = F.col(f"a{n}")
@@ -712,7 +788,7 @@ class Planner:
             cols.append(old.alias(f"c{n}"))
         df = df.orderBy(f"a{NR}") if self.sorted_out else df
         made = df.select(*cols, *([F.col(f"a{NR}").alias(NR)] if self.a.numbered else []))
-        return Table(made, self.a.header, False, self.a.numbered, self.warnings)
+        return Table(made, self.a.header, False, self.a.numbered, self.warnings, self.checks)
 
 
 def rendered(col: Column, kind: str, item: str = "str", separator: str = "|") -> Column:

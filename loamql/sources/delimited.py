@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamql.plans.lexer import IOHandlingError
-from loamql.sources.tables import FIELDS, NR, Table, number
+from loamql.sources.tables import FIELDS, NR, Table, file_places, number
 
 POLICIES = ("simple", "quoted", "quoted_rfc", "whitespace", "monocolumn")
 NAMED_FORMATS = {"csv": (",", "quoted"), "tsv": ("\t", "simple"), "monocolumn": ("", "monocolumn")}
@@ -74,23 +74,21 @@ def split_fields(line: Column, delim: str, policy: str) -> tuple[Column, Column]
     return F.when(has_quote, unquoted).otherwise(plain), has_quote & bad
 
 
+UTF8_ERROR = "Unable to decode input table as UTF-8. Use binary (latin-1) encoding instead"
+
+
 def _lines(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
-    """(value) of each line, in the order of files and of lines in them."""
+    """(value) of each line. Rows have the order of files and of lines in them only where ``number`` or a
+    writer asks for it: nothing is sorted here."""
     try:
         df = spark.read.text(path)
-        many = len(df.inputFiles()) > 1
     except Exception as e:
         raise IOHandlingError(f"Unable to read {path}: {str(e).splitlines()[0]}") from e
-    if many:
-        place = ["__p", "__b", "__m"]
-        df = df.select("value", F.col("_metadata.file_path").alias("__p"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
-        df = df.orderBy(*place).select("value")
     raw = F.col("value")
     if encoding and ENCODINGS[encoding.lower()] == "latin-1":
         return df.select(F.decode(raw.cast("binary"), "ISO-8859-1").alias("value"))
     if encoding:
-        checked = F.when(F.is_valid_utf8(raw), raw).otherwise(F.raise_error(F.lit("Unable to decode input table as UTF-8. Use binary (latin-1) encoding instead.")))
-        return df.select(checked.alias("value"))
+        return df.select(F.when(F.is_valid_utf8(raw), raw).otherwise(F.raise_error(F.lit(UTF8_ERROR))).alias("value"))
     return df
 
 
@@ -108,7 +106,8 @@ def _begins_with(spark: SparkSession, lines: DataFrame, mark: bytes) -> bool:
 
 
 def _records(lines: DataFrame, comment: Column) -> DataFrame:
-    """(value, __nr) of each record of ``quoted_rfc`` lines; a comment counts only between records.
+    """(value, __nr, __line) of each record of ``quoted_rfc`` lines, __line being its last line; a comment
+    counts only between records.
 
     A line with an odd number of quotes opens or closes a quoted field, a comment line between
     records does nothing: with an odd number of quotes it leaves "outside" and makes "inside" outside.
@@ -139,8 +138,8 @@ def _records(lines: DataFrame, comment: Column) -> DataFrame:
     counts = rows.groupBy("block").agg(F.sum(begins).alias("c"))
     offset = counts.select("block", F.coalesce(F.sum("c").over(whole), F.lit(0)).alias("offset"))
     rows = rows.join(offset, "block").withColumn(NR, F.col("offset") + F.sum(begins).over(by_line))
-    joined = rows.groupBy(NR).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("lines"))
-    return joined.select(F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"), NR).orderBy(NR)
+    joined = rows.groupBy(NR).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("lines"), F.max("n").alias("__line"))
+    return joined.select(F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"), NR, "__line").orderBy(NR)
 
 
 def read_delimited(
@@ -172,7 +171,7 @@ def read_delimited(
         records = lines.filter(~comment) if comment_prefix or comment_regex else lines
     fields, bad = split_fields(value, delim, policy)
     if policy == "quoted_rfc":
-        message = F.concat(F.lit(f"Inconsistent double quote escaping in {table_name} table at record "), F.col(NR).cast("string"))
+        message = F.concat(F.lit(f"Inconsistent double quote escaping in {table_name} table at record "), F.col(NR).cast("string"), F.lit(", line "), F.col("__line").cast("string"))
         fields = F.when(bad, F.raise_error(message)).otherwise(fields)
     if strip_whitespaces:
         fields = F.transform(fields, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
@@ -185,17 +184,17 @@ def read_delimited(
             table = table.filter(F.col(NR) > 1).withColumn(NR, F.col(NR) - 1)
         out = Table(table, header, ragged=True, numbered=True)
     else:
-        table = records.select(fields.alias(FIELDS), bad.alias("bad"), *([F.monotonically_increasing_id().alias("place")] if has_header else []))
         if has_header:
-            head = table.head(1)
-            header = list(head[0][0]) if head else []
-            table = table.filter(F.col("place") != head[0]["place"]) if head else table
+            records = records.withColumns(file_places())
+        table = records.select(fields.alias(FIELDS), *(["__path", "__block", "__place"] if has_header else []))
+        if has_header:
+            table, header = _without_headers(table)
         if policy == "quoted":
-            marked = table
 
             def quotes() -> list[str]:
-                n = marked.filter("bad").limit(1).count()
-                return [f"Inconsistent double quote escaping in {table_name} table"] if n else []
+                numbered = number(lines).filter(~comment)
+                first = numbered.filter(split_fields(value, delim, policy)[1]).agg(F.min(NR)).first()[0]
+                return [f"Inconsistent double quote escaping in {table_name} table. E.g. at line {first}"] if first else []
 
             warnings.append(quotes)
         out = Table(table.select(FIELDS), header, ragged=True)
@@ -214,6 +213,19 @@ def read_delimited(
     return out
 
 
+def _without_headers(table: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``table`` (fields, and where each record is read from) without the first record of every file, and
+    that of the first file. With several files one pass finds where they begin; one place per file is kept."""
+    if len(table.inputFiles()) > 1:
+        first = F.min_by(F.struct("__place", FIELDS), F.struct("__block", "__place"))
+        heads = table.groupBy("__path").agg(first.alias("h")).orderBy("__path").select("h.*").collect()
+    else:
+        heads = table.select("__place", FIELDS).head(1)
+    if heads:
+        table = table.filter(~F.col("__place").isin([h["__place"] for h in heads]))
+    return table, list(heads[0][FIELDS]) if heads else []
+
+
 def detect_dialect(spark: SparkSession, path: str) -> tuple[str, str] | None:
     """(delimiter, policy) from the first lines, else from the file's name; None if neither tells."""
     lines = [r[0] for r in spark.read.text(path).head(10)]

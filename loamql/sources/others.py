@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sqlite3
 from collections.abc import Iterator
@@ -13,19 +14,33 @@ from pyspark.sql import types as T
 from loamql.functions.compiler import rendered_text
 from loamql.functions.fallback import spark_type
 from loamql.plans.lexer import IOHandlingError, RuntimeQueryError
-from loamql.sources.tables import FIELDS, NR, Table, from_frame
+from loamql.sources.tables import FIELDS, NR, Table, from_frame, number
 
 
-def read_jsonl(spark: SparkSession, path: str) -> Table:
-    """One column, the JSON value of each line that isn't blank; a line that isn't JSON is an error."""
+def read_jsonl(spark: SparkSession, path: str, table_name: str = "input") -> Table:
+    """One column, the JSON value of each line that isn't blank; a line that isn't JSON is an error, whose
+    record and line are looked up when a run has failed."""
     try:
-        lines = spark.read.text(path).filter(F.trim("value") != "")
+        lines = spark.read.text(path)
     except Exception as e:
         raise IOHandlingError(f"Unable to read {path}: {str(e).splitlines()[0]}") from e
-    value = F.try_parse_json("value")
-    wrong = F.raise_error(F.concat(F.lit("Unable to parse JSON line: "), F.substring("value", 1, 100)))
-    guarded = F.coalesce(value, F.parse_json(wrong.cast("string")))
-    return Table(lines.select(guarded.alias("c1")), None)
+    wrong = f"Error decoding JSON in {table_name} table"
+    guarded = F.coalesce(F.try_parse_json("value"), F.parse_json(F.raise_error(F.lit(wrong)).cast("string")))
+
+    def place() -> Exception | None:
+        numbered = number(lines)
+        bad = numbered.filter((F.trim("value") != "") & F.try_parse_json("value").isNull()).orderBy(NR).head(1)
+        if not bad:
+            return None
+        record = numbered.filter((F.trim("value") != "") & (F.col(NR) <= bad[0][NR])).count()
+        detail = "it is no JSON value"
+        try:
+            json.loads(bad[0]["value"])
+        except json.JSONDecodeError as e:
+            detail = str(e)
+        return IOHandlingError(f"{wrong} at record {record}, line {bad[0][NR]}: {detail}")
+
+    return Table(lines.filter(F.trim("value") != "").select(guarded.alias("c1")), None, checks=[place])
 
 
 def from_pandas(spark: SparkSession, pdf) -> Table:  # noqa: ANN001
@@ -92,10 +107,13 @@ def read_sqlite(spark: SparkSession, path: str, name: str) -> Table:
             header = [d[0] for d in db.execute(f"SELECT * FROM {name} LIMIT 0").description]
         except sqlite3.OperationalError as e:
             raise IOHandlingError(f'no such table "{name}"') from e
+        # one scan tells which types each column holds
+        quoted = ['"' + column.replace('"', '""') + '"' for column in header]
+        tests = ", ".join(f"max(typeof({q}) = '{t}')" for q in quoted for t in SQLITE_TYPES)
+        held = db.execute(f"SELECT {tests} FROM {name}").fetchone() if header else ()
         kinds = []
-        for column in header:
-            quoted = column.replace('"', '""')
-            seen = {r[0] for r in db.execute(f'SELECT DISTINCT typeof("{quoted}") FROM {name}')} - {"null"}
+        for n in range(len(header)):
+            seen = {t for k, t in enumerate(SQLITE_TYPES) if held[n * len(SQLITE_TYPES) + k]}
             kinds.append("double" if seen == {"integer", "real"} else SQLITE_TYPES[seen.pop()] if len(seen) == 1 else "string")
         try:
             low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()

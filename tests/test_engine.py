@@ -1,3 +1,5 @@
+import random
+import statistics
 import pytest
 
 from loamql.api import error_info, query, query_table, query_tables
@@ -249,3 +251,56 @@ def test_strict_nulls(spark, aggregate):
         with pytest.raises(Exception, match=f"{aggregate} of a null value"):
             query(text, df, strict_nulls=True).rows()
         assert query(text, df.dropna(), strict_nulls=True).rows()[0][0] is not None
+
+
+def test_limit_without_order_reads_the_first_tasks_only(spark, tmp_path):
+    spark.range(0, 400_000).selectExpr("id", "if(id < 1000, '7', 'x') as v").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.option("maxPartitionBytes", 100_000).parquet(str(tmp_path / "t"))
+    r = query("select a.id, int(a.v) where a.id >= 5 limit 3", df)  # a later v is no number
+    assert r.rows() == [[5, 7], [6, 7], [7, 7]]
+    assert query("select a.id limit 2 | select a1 * 2", df).rows() == [[0], [2]]
+
+
+def test_median_keeps_whole_numbers(spark):
+    assert query_table(spark, "select a1, median(a2) group by a1", [["x", 1], ["x", 2], ["x", 3], ["y", 5], ["y", 5], ["z", None]]).rows() == [["x", 2], ["y", 5], ["z", None]]
+    assert query_table(spark, "select median(a2), median(a2 * 0.5), median(a1), count(*)", [["1", 1], ["2", 2], ["4", 4], ["10", 9]]).rows() == [[3.0, 1.5, 3.0, 4]]
+    rng = random.Random(2)
+    rows = [[rng.choice("abc"), rng.randrange(50)] for _ in range(500)]
+    want = {k: statistics.median([v for g, v in rows if g == k]) for k in "abc"}
+    assert {k: v for k, v in query_table(spark, "select a1, median(a2) group by a1", rows).rows()} == want
+
+
+def test_constant_columns_are_told_apart(spark):
+    for rows, good in (([["x", 1], ["x", 1]], True), ([["x", 1], ["x", 2]], False), ([["x", 1], ["x", None]], False), ([["x", None], ["x", None]], True)):
+        run = lambda rows=rows: query_table(spark, "select a1, count(*), a2 group by a1", rows).rows()
+        if good:
+            assert run() == [["x", 2, rows[0][1]]]
+        else:
+            with pytest.raises(Exception, match="non-constant values in output column 3"):  # noqa: PT011
+                run()
+
+
+def test_decimals_stay_exact(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(Decimal("0.1"),), (Decimal("0.2"),)], "d decimal(38,18)")
+    assert query("select sum(a.d), max(a.d), avg(a.d)", df).rows() == [[Decimal("0.3"), Decimal("0.2"), pytest.approx(0.15)]]
+    assert query("select a.d, a.d * 2 limit 1", df).rows() == [[Decimal("0.1"), 0.2]]
+
+
+def test_numbers_beyond_64_bits_are_an_error(spark):
+    with pytest.raises(Exception) as e:  # noqa: PT011
+        query_table(spark, "select a1 * a1", [[2**40]]).rows()
+    assert error_info(e.value) == ("query execution", "a whole number is beyond 64 bits")
+
+
+def test_keys_twice_in_the_other_table(spark):
+    many = [["k", n] for n in range(50)]
+    with pytest.raises(Exception, match="exactly one match"):  # noqa: PT011
+        query_table(spark, "select a1, b2 strict left join b on a1 == b1", [["k"]], many).rows()
+    assert query_table(spark, "select a1, b2 strict left join b on a1 == b1", [["j"], [None]], [*many, ["j", 7], [None, 8]]).rows() == [["j", 7], [None, 8]]
+
+
+def test_texts_as_numbers_take_one_pass(spark):
+    rows = [["1", "1.5", "2"], ["3", "2", "x"[:0] or "4"]]
+    assert query_table(spark, "select sum(a1), sum(a2), max(a3), avg(a1)", rows).rows() == [[4, 3.5, 4, 2.0]]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loamql import cli
+from loamql import api, cli
 from loamql.api import query_csv, query_dataframe, query_json, query_sqlite
 from loamql.plans.lexer import IOHandlingError, ParsingError
 from loamql.sinks import writers
@@ -261,3 +261,79 @@ def test_python_expressions_over_text(spark, tmp_path):
     from loamql.api import error_info
 
     assert error_info(failure.value)[0] == "query execution"
+
+
+def folder_of(tmp_path, n=3, header=False):
+    for i in range(n):
+        put(tmp_path / f"{i}.csv", ("h1,h2\n" if header else "") + "".join(f"{i}{j},{j}\n" for j in range(4)))
+    return str(tmp_path)
+
+
+def test_folders_are_not_sorted_where_no_order_is_asked_for(spark, tmp_path):
+    source = delimited.read_delimited(spark, folder_of(tmp_path), ",", "quoted")
+    df = api.run("select a1 where a2 == '3'", source, None, api.Options()).df
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in df.collect()) == ["03", "13", "23"]
+
+
+def test_order_and_numbers_over_a_folder(spark, tmp_path):
+    path = folder_of(tmp_path)
+    assert query_csv(spark, "select a1 where a2 == '3'", path).rows() == [["03"], ["13"], ["23"]]
+    assert [r[0] for r in query_csv(spark, "select NR", path).rows()] == list(range(1, 13))
+    assert query_csv(spark, "select a1 limit 5", path).rows() == [["00"], ["01"], ["02"], ["03"], ["10"]]
+
+
+def test_header_of_every_file(spark, tmp_path):
+    r = query_csv(spark, "select NR, a.h1, a2", folder_of(tmp_path, header=True), with_headers=True)
+    assert r.header == ["NR", "h1", "h2"] and r.rows() == [[4 * i + j + 1, f"{i}{j}", str(j)] for i in range(3) for j in range(4)]
+
+
+def raised(call):
+    with pytest.raises(Exception) as e:  # noqa: PT011
+        call()
+    return api.error_info(e.value)
+
+
+def test_errors_of_inputs(spark, tmp_path):
+    (tmp_path / "bad.csv").write_bytes(b"a,b\n\xff\xfe,c\n")
+    assert raised(lambda: query_csv(spark, "select *", str(tmp_path / "bad.csv")).rows()) == ("IO handling", "Unable to decode input table as UTF-8. Use binary (latin-1) encoding instead")
+    rfc = put(tmp_path / "r.csv", 'a,"b\nc"\nd,e\nx,y"z\n')
+    assert raised(lambda: query_csv(spark, "select *", rfc, policy="quoted_rfc", output_path=str(tmp_path / "o")).rows()) == ("IO handling", "Inconsistent double quote escaping in input table at record 3, line 4")
+    lines = put(tmp_path / "j.jsonl", '{"a": 1}\n\n[2]\n{"a": \n3\n')
+    kind, text = raised(lambda: api.query_json(spark, "select a1", lines).rows())
+    assert kind == "IO handling" and text.startswith("Error decoding JSON in input table at record 3, line 4: Expecting value")
+    assert raised(lambda: api.query_json(spark, "select a1", lines, str(tmp_path / "o2")))[1] == text
+
+
+def test_warnings_of_inputs_and_outputs(spark, tmp_path):
+    path = put(tmp_path / "t.csv", '# c\na,b\n"x"y,b\nc,d"e\n')
+    r = query_csv(spark, "select a1, None, 'p|q'", path, ",", "quoted", comment_prefix="#", output_delim="|", output_policy="simple")
+    assert r.warnings == ["Inconsistent double quote escaping in input table. E.g. at line 3", "null values in output were replaced by empty strings", "Some output fields contain separator"]
+
+
+def test_sqlite_to_text(spark, tmp_path):
+    path = str(tmp_path / "t.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (a, b, c)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(1, 1.5, "x;y"), (2, 3, 4), (None, None, None)])
+    api.query_sqlite(spark, "select a.a, a.b, a.c where a.a", path, "t", output_path=str(tmp_path / "o"), output_delim=";", output_policy="quoted")
+    assert open(tmp_path / "o", encoding="utf-8").read() == 'a;b;c\n1;1.5;"x;y"\n2;3.0;4\n'
+
+
+def test_command_line_from_standard_input(spark, tmp_path, capsys, monkeypatch):
+    import types
+
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(b"x,1\ny,2\n")))
+    assert cli.main(["csv", "--delim", ",", "--query", "select a1 where int(a2) > 1"]) == 0
+    assert capsys.readouterr().out == "y\n"
+    with pytest.raises(Exception, match="a.q|column"):  # noqa: PT011
+        cli.main(["csv", "--input", put(tmp_path / "t.csv", "n\n1\n"), "--delim", ",", "--debug-mode", "--with-headers", "--query", "select a.q"])
+    api.set_debug_mode(False)
+
+
+def test_result_shown_from_its_file(spark, tmp_path, capsys, monkeypatch):
+    typed = iter(["select a1", ""])
+    monkeypatch.setattr("builtins.input", lambda _: next(typed))
+    monkeypatch.setattr(cli, "HISTORY", str(tmp_path / "history"))
+    assert cli.main(["csv", "--input", put(tmp_path / "t.csv", "p,1\nq,2\n"), "--delim", ",", "--output", str(tmp_path / "o")]) == 0
+    assert capsys.readouterr().out.endswith("it begins with:\np\nq\n")
