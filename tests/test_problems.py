@@ -164,3 +164,29 @@ def test_pinned_tables_are_kept_until_released(spark):
     assert os.path.exists(path)
     session.release(spark)
     assert not os.path.exists(path)
+
+
+def test_records_of_any_length():
+    spec = [("a", "int"), ("b", "string")]
+    reader = rejects._Reader()
+    long = "x" * 17_000_000
+    for policy, text in (("simple", f"1,{long}"), ("quoted", f'1,"{long}"'), ("quoted", f"1,{long}")):
+        assert [r[0] for r in rejects._load_group(reader, [text, "z,y", "1"], policy, ",", spec, False)] == [None, "value", "column_count"]
+
+
+def test_without_the_reader_everything_is_the_same(monkeypatch):
+    """What the reader can't read is split and typed exactly, with the same results."""
+    spec = [("a", "int"), ("b", "percent"), ("c", "date"), ("d", "decimal"), ("e", "grouped_int"), ("f", "time"), ("g", "string")]
+    texts = ['1, 5% ,2020-02-29,-1.50,"1,234",23:59,"x""y"', "1,5%,2021-02-29,1,1,00:00,s", "1,101%,2020-01-01,1,1,00:00,s", '"1",,,,,,', 'a"b,,,,,,', "1,2", "007,007%,2020-01-01,1.,1,00:00,s", " 12 ,,,,,24:00,"]
+    reader = rejects._Reader()
+    want = rejects._load_group(reader, texts, "quoted", ",", spec, True)
+
+    class Failing:
+        error = ValueError
+
+        def read(self, *_):
+            raise ValueError("no")
+
+    got = rejects._load_group(Failing(), texts, "quoted", ",", spec, True)
+    assert [(r[0], r[2]) for r in got] == [(r[0], r[2]) for r in want]
+    assert [r[0] for r in want] == [None, "value", "value", None, "quoting", "column_count", "value", "value"]
