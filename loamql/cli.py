@@ -86,8 +86,12 @@ def run_one(args: argparse.Namespace, query: str) -> bool:
     from loamql.sinks import writers
     from loamql.sources import delimited
 
-    spark = local_session()
-    spark.sparkContext.setLogLevel("OFF")
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        spark = local_session()
+        spark.sparkContext.setLogLevel("OFF")
     set_debug_mode(args.debug_mode)
     try:
         said: list[str] = []

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamql import source_queries
 from loamql.api import query_tables
 from loamql.language_queries import QUERIES
 from loamql.operators import keychunks, rejects
@@ -60,8 +61,8 @@ def _language(text: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return PROBLEMS | {name: _language(text) for name, (text, _) in QUERIES.items()}
+    return PROBLEMS | source_queries.QUERIES | {name: _language(text) for name, (text, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return PROBLEMS_SQL | {name: sql for name, (_, sql) in QUERIES.items()}
+    return PROBLEMS_SQL | source_queries.SQL | {name: sql for name, (_, sql) in QUERIES.items()}

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,21 +50,51 @@ _own: dict[str, str] = {}
 _pinned: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``pin`` wrote in this process; frames that read them can't be used after."""
-    while _pinned:
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables that ``pin`` wrote in this process, but the first ``keep``; frames that read them
+    can't be used after."""
+    while len(_pinned) > keep:
         path = spark._jvm.org.apache.hadoop.fs.Path(_pinned.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was pinned within it: ``with scratch(spark): query(...).df.write...``."""
+    held = len(_pinned)
+    try:
+        yield
+    finally:
+        release(spark, held)
+
+
+def _release_at_exit() -> None:
+    """What is still pinned goes with the process, where its session is still there."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001, S110 - the session is going away
+            pass
+
+
+atexit.register(_release_at_exit)
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted by ``release``."""
+    path = f"{shared_dir(spark)}/{kind}-{os.getpid()}-{uuid.uuid4().hex}"
+    _pinned.append(path)
+    return path
+
+
 def pinned_path(df: DataFrame, partitions_by: list[str] | None = None) -> str:
     """Write ``df`` once to the shared folder as compressed Parquet, and say where."""
-    path = f"{shared_dir(df.sparkSession)}/pinned-{os.getpid()}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "pinned")
     writer = df.write.mode("error")
     if partitions_by:
         writer = writer.partitionBy(*partitions_by)
     writer.parquet(path)
-    _pinned.append(path)
     return path
 
 
