@@ -73,25 +73,28 @@ class Evaluator:
 
     def __init__(self, source: str, variables: list[str], records: dict[str, tuple[int, dict[str, int]]], init_source: str, user: dict[str, object]) -> None:
         self.source, self.variables, self.records, self.init_source, self.user = source, variables, records, init_source, user
-        self.code = None
+        self.call = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"code": None, "names": None}
+        return self.__dict__ | {"call": None}
 
     def __call__(self, *values: object) -> object:
-        if self.code is None:
-            self.names = namespace(self.init_source, self.user)
-            self.code = compile(self.source, "<query>", "eval")
-        local = dict(zip(self.variables, values))
-        for name, (at, names) in self.records.items():
+        if self.call is None:
+            # one function of the fields, compiled once a worker: no code is compiled or looked up per row
+            self.fields = [n for n, v in enumerate(self.variables) if v not in ("__record", "__none", "__a", "__b")]
+            self.readers = [(at, names) for at, names in self.records.values()]
+            self.record = self.variables.index("__record") if "__record" in self.variables else None
+            parameters = ", ".join([*(self.variables[n] for n in self.fields), *self.records])
+            self.call = eval(f"lambda {parameters}: ({self.source})", namespace(self.init_source, self.user))  # noqa: S307 - the query's own expression
+        given = [values[n] for n in self.fields]
+        for at, names in self.readers:
             held = values[at]
-            fields = [] if held is None else list(held.values()) if isinstance(held, dict) else list(held)
-            local[name] = Record(fields, names)
+            given.append(Record([] if held is None else list(held.values()) if isinstance(held, dict) else list(held), names))
         try:
-            return eval(self.code, self.names | local)  # noqa: S307 - the query's own expression
+            return self.call(*given)
         except Exception as e:
-            if "__record" in local:
-                raise RuntimeQueryError(f"At record {local['__record']}, Details: {e}") from e
+            if self.record is not None:
+                raise RuntimeQueryError(f"At record {values[self.record]}, Details: {e}") from e
             raise
 
 
