@@ -15,7 +15,7 @@ Q-gram lemma filtering over normalised character streams, then banded alignment:
   its threshold. Where even all q-grams leave no bound, shorter q-grams are taken; only windows of
   which no SHORT letters in a row need survive, sixteen words of one letter, say, can be missed.
 * A document's shared q-grams are counted per segment in overlapping bands of diagonals. Bands that
-  reach the threshold are aligned with the segment by banded local alignments over all diagonals of
+  reach the threshold within some window are aligned with the segment by banded local alignments over all diagonals of
   their hits, and accepted if some run is found with at most the allowed share of its words altered.
 
 The items are indexed in blocks on the workers and the blocks kept in the shared folder. The documents
@@ -45,7 +45,7 @@ ALTERED = 8  # at most one in so many words is altered
 # what the alignment has to show: it may lose a word, or letters beyond an altered one, at an end
 FOUND_WORDS, FOUND_LETTERS, FOUND_ALTERED = WORDS - 1, LETTERS - 4, ALTERED
 Q_SPACED, Q_UNSPACED = 8, 5
-BAND = 64  # diagonals of a band; the next begins half a band on
+BAND = {True: 64, False: 32}  # diagonals of a band, by whether words are spaced; the next begins half a band on
 REACH = {True: 48, False: 24}  # diagonals to either side in the alignment, by whether words are spaced: words change length, letters hardly do
 BATCH_CHARS = 3_000_000
 HELD_BATCHES = 16  # batches of streams that a task holds while it looks them up in all blocks
@@ -57,19 +57,6 @@ SHORT = Q_UNSPACED
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TABLE_BITS = 22
 _BRACKETS = re.compile("[(\\[〔【)\\]〕】]|\\n\\s*\\n")
-_UNSPACED = 8, 5
-BAND = 64  # diagonals of a band; the next begins half a band on
-REACH = {True: 48, False: 24}  # diagonals to either side in the alignment, by whether words are spaced: words change length, letters hardly do
-BATCH_CHARS = 3_000_000
-HELD_BATCHES = 16  # batches of streams that a task holds while it looks them up in all blocks
-BLOCK_ITEMS, BLOCK_CHARS = 4_000, 1_000_000  # items, and their characters, of one block of the index
-SEGMENT = {True: (192, 48), False: (600, 120)}  # words or letters of a segment, and of its overlap with the next
-LONG_REMARK = 2 * FOUND_WORDS - 1  # characters that a passage takes at least
-SHORT = Q_UNSPACED
-
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_TABLE_BITS = 22
-_REMARK = re.compile(r"[(\[〔【]((?:[^()\[\]〔〕【】\n\x00]|\n(?!\s*\n))*)[)\]〕】]")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿豈-﫿฀-๿຀-໿]")
 _LETTER = re.compile(r"[^\W_]")
 
@@ -380,19 +367,24 @@ class Finder:
                 continue
             at = np.repeat(near, count)
             entry = np.repeat(low, count) + (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count))
-            keys.append((item[entry].astype(np.int64), at - place[entry], piece[at]))
+            keys.append((item[entry].astype(np.int64), at - place[entry], piece[at], place[entry].astype(np.int64)))
         if not keys:
             return []
-        item, diagonal, where = (np.concatenate(x) for x in zip(*keys))
+        item, diagonal, where, place = (np.concatenate(x) for x in zip(*keys))
         need = np.array(self.items.need)
         asked: set[tuple[int, int, int]] = set()
-        for shift in (0, BAND // 2):
-            band = (diagonal + len(codes) + shift) // BAND
+        width = np.where(np.array(self.items.spaced)[item], BAND[True], BAND[False])
+        for half in (0, 1):
+            band = (diagonal + len(codes) + half * width // 2) // width
             order = np.lexsort((diagonal, band, where, item))
             a, b, c = item[order], band[order], where[order]
             new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
             size = np.diff(np.r_[new, len(order)])
             for k in np.flatnonzero(size >= need[a[new]]):
+                n, least = int(a[new[k]]), int(need[a[new[k]]])
+                words = np.sort(self.items.words[n][place[order[new[k] : new[k] + size[k]]]])
+                if not (words[least - 1 :] - words[: len(words) - least + 1] < (WORDS if self.items.spaced[n] else LETTERS)).any():
+                    continue  # nowhere as many in a window as must survive in it
                 lowest, highest = int(diagonal[order[new[k]]]), int(diagonal[order[new[k] + size[k] - 1]])
                 reach = REACH[self.items.spaced[int(a[new[k]])]]
                 parts = 1 + (highest - lowest) // (3 * reach // 2)  # alignments that together cover all hits, with room to drift
