@@ -60,11 +60,11 @@ def quality(text: str) -> Column:
     raw = F.col(text)
     length = F.greatest(F.length(raw), F.lit(1))
     letters = F.length(F.regexp_replace(raw, r"[^\p{L}\p{M} ]+", "")) / length
-    words = F.split(F.lower(raw), r"\s+")
+    words = F.split(raw, " ")
     n_words = F.greatest(F.size(words), F.lit(1))
     varied = F.least(F.size(F.array_distinct(words)) / n_words / F.lit(0.3), F.lit(1.0))
     unspaced = raw.rlike("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
-    sound = F.when(unspaced, F.lit(1.0)).otherwise(1 - F.size(F.filter(words, lambda w: F.length(w) > 40)) / n_words)
+    sound = F.when(unspaced, F.lit(1.0)).otherwise(F.greatest(1 - F.regexp_count(raw, F.lit(r"\S{41,}")) / n_words, F.lit(0.0)))
     return F.greatest(F.coalesce(letters * F.least(length / F.lit(200.0), F.lit(1.0)) * varied * sound, F.lit(0.0)), F.lit(0.01))
 
 
