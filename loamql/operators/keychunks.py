@@ -121,9 +121,12 @@ def key_summary(df: DataFrame, key: str, member: str, measures: dict[str, Column
     states = runs.groupBy("__chunk", "__key").agg(
         F.sum("n").alias("n"), F.count("__member").alias("members"), F.min("__member").alias("first"), F.max("__member").alias("last"), *(F.sum(s).alias(s) for s in sums)
     )
-    # states of one key: at most its rows / chunk_rows + 2
-    before = F.max("last").over(Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.when(before.isNotNull() & (before == F.col("first")), 1).otherwise(0)
+    # a key's chunks follow each other without a gap, so the state before is that of the chunk before: the
+    # states meet by (key, chunk), and no task gets all states of a key
+    states = pin(states)
+    prior = states.select(F.col("__key").alias("__pkey"), (F.col("__chunk") + 1).alias("__pchunk"), F.col("last").alias("before"))
+    states = states.join(prior, states["__key"].eqNullSafe(prior["__pkey"]) & (states["__chunk"] == prior["__pchunk"]), "left").drop("__pkey", "__pchunk")
+    cut = F.when(F.col("before") == F.col("first"), 1).otherwise(0)
     merged = (
         states.withColumn("members", F.col("members") - cut)
         .groupBy("__key")
