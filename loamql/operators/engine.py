@@ -552,11 +552,11 @@ class Planner:
                 made = made.select(*renamed, *keys, *places)
                 names = [f"c{n + 1}" for n in range(len(names) + 1)]
             header = None if header is None else ["count", *header]
-        if self.early and not any(isinstance(f.dataType, T.VariantType) for f in made.select(*names).schema.fields):
+        if self.early:
             # the first tasks' first rows are the first rows: no other task is started once they are found
-            first = made.select(*names)
-            held = made.sparkSession.createDataFrame(first.take(s.limit), first.schema)
-            return Table(held, header, ragged, warnings=self.warnings, checks=self.checks)
+            first, spark = made.select(*names), made.sparkSession
+            held = spark._jsparkSession.createDataFrame(first._jdf.takeAsList(s.limit), first._jdf.schema())
+            return Table(DataFrame(held, spark), header, ragged, warnings=self.warnings, checks=self.checks)
         if keys or (s.limit is not None and places) or s.distinct_count or self.sorted_out:
             made = made.orderBy(*order)
         if s.limit is not None:

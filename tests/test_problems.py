@@ -190,3 +190,18 @@ def test_without_the_reader_everything_is_the_same(monkeypatch):
     got = rejects._load_group(Failing(), texts, "quoted", ",", spec, True)
     assert [(r[0], r[2]) for r in got] == [(r[0], r[2]) for r in want]
     assert [r[0] for r in want] == [None, "value", "value", None, "quoting", "column_count", "value", "value"]
+
+
+def test_pinned_tables_are_deleted(spark):
+    import os
+
+    from loamql import session
+
+    def there():
+        return {p for p in session._pinned if os.path.exists(p.removeprefix("file://"))}
+
+    before = there()
+    with session.scratch(spark):
+        df = session.pin(spark.range(3).toDF("a"))
+        assert df.count() == 3 and len(there()) == len(before) + 1
+    assert there() == before
