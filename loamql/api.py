@@ -6,16 +6,17 @@ import os
 import re
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamql.operators.engine import Options, Planner, depends_on_order
 from loamql.plans.lexer import ParsingError, QueryError, stages
 from loamql.plans.stage import parse_stage
 from loamql.sinks import writers
 from loamql.sources import delimited, others
-from loamql.sources.tables import Table, from_frame
+from loamql.sources.tables import NR, Table, from_frame
 
 Finder = Callable[[str, "str | None"], "Table | None"]
 
@@ -27,6 +28,8 @@ class Result:
     table: Table
     python_expressions: list[str]
     output_checks: list[Callable[[], list[str]]] = field(default_factory=list)
+    replay: Callable[[int], Result] | None = None  # the same query over the first so many records
+    n_records: Callable[[], int] = int  # of the input
 
     @property
     def df(self) -> DataFrame:
@@ -64,6 +67,32 @@ class Result:
             raise
 
 
+    def first_bad_record(self) -> tuple[int, str] | None:
+        """(number, message) of the first record of the input with which the query fails, None if it ends.
+
+        The query is run over its first 1, 2, 4, ... records until it fails, then the number is halved in; so
+        it takes about as long as the query over four times the records up to the bad one.
+        """
+
+        def failure(n: int) -> Exception | None:
+            try:
+                self.replay(n).df.write.format("noop").mode("overwrite").save()
+            except Exception as e:  # noqa: BLE001 - it is what is looked for
+                return e
+            return None
+
+        low, high = 0, 1
+        while (found := failure(high)) is None:
+            low, high = high, high * 2
+            if low >= self.n_records():
+                return None
+        while high - low > 1:
+            middle = (low + high) // 2
+            error = failure(middle)
+            low, high, found = (low, middle, error) if error else (middle, high, found)
+        return high, error_info(found)[1]
+
+
 def run(text: str, source: Table | None, find: Finder | None, options: Options) -> Result:
     """Plan all stages of ``text``; ``find`` looks tables up by name and the stage's modifier."""
     try:
@@ -94,9 +123,9 @@ HINTS = {
 }
 
 
-def _run(text: str, source: Table | None, find: Finder | None, options: Options) -> Result:
+def _run(text: str, source: Table | None, find: Finder | None, options: Options, within: int | None = None) -> Result:
     current = source
-    table = None
+    table = first = None
     plans = [parse_stage(parts, with_from=source is None and n == 0) for n, parts in enumerate(stages(text))]
     for n, stage in enumerate(plans):
         options.sort_stages = any(depends_on_order(later) for later in plans[n + 1 :])
@@ -108,10 +137,16 @@ def _run(text: str, source: Table | None, find: Finder | None, options: Options)
                 raise ParsingError(f'Unable to find input table: "{stage.source}"')
         elif n == 0 and stage.modifier and isinstance(current, ModifiedTable):
             current = current.modified(stage.modifier)
+        if n == 0:
+            current = first = current.table if isinstance(current, ModifiedTable) else current
+            if within is not None:
+                numbered = first.with_numbers()
+                current = replace(numbered, df=numbered.df.filter(F.col(NR) <= within))
         lookup = None if find is None else lambda name, m=stage.modifier: find(name, m)
-        table = Planner(stage, current.table if isinstance(current, ModifiedTable) else current, lookup, options).run()
+        table = Planner(stage, current, lookup, options).run()
         current = table
-    return Result(table, options.python_expressions)
+    again = lambda n: _run(text, source, find, replace(options, python_expressions=[]), n)
+    return Result(table, options.python_expressions, replay=again, n_records=lambda: first.df.count())
 
 
 class ModifiedTable:

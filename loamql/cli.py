@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import atexit
+import contextlib
 import itertools
 import json
 import os
@@ -81,7 +82,8 @@ def _out(args: argparse.Namespace, delim: str, policy: str) -> tuple[str, str]:
 
 
 def run_one(args: argparse.Namespace, query: str) -> bool:
-    from loamql.api import query_csv, query_json, query_sqlite, set_debug_mode
+    from loamql.api import error_info, query_csv, query_json, query_sqlite, set_debug_mode
+    from loamql.plans.lexer import RuntimeQueryError
     from loamql.session import local_session
     from loamql.sinks import writers
     from loamql.sources import delimited
@@ -93,6 +95,7 @@ def run_one(args: argparse.Namespace, query: str) -> bool:
         spark = local_session()
         spark.sparkContext.setLogLevel("OFF")
     set_debug_mode(args.debug_mode)
+    result = None
     try:
         said: list[str] = []
         if args.mode == "json":
@@ -131,6 +134,10 @@ def run_one(args: argparse.Namespace, query: str) -> bool:
     except Exception as e:  # noqa: BLE001 - told to the user
         if args.debug_mode:
             raise
+        if result is not None and error_info(e)[0] == "query execution" and " record" not in error_info(e)[1]:
+            with contextlib.suppress(Exception):  # the message without the record will do
+                if found := result.first_bad_record():
+                    e = RuntimeQueryError(f"At record {found[0]}, Details: {found[1]}")
         _report(args, e)
         return False
 

@@ -337,3 +337,12 @@ def test_result_shown_from_its_file(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "HISTORY", str(tmp_path / "history"))
     assert cli.main(["csv", "--input", put(tmp_path / "t.csv", "p,1\nq,2\n"), "--delim", ",", "--output", str(tmp_path / "o")]) == 0
     assert capsys.readouterr().out.endswith("it begins with:\np\nq\n")
+
+
+def test_first_bad_record(spark, tmp_path, capsys):
+    path = put(tmp_path / "t.csv", "".join(f"{n if n not in (37, 60) else 'x'},a\n" for n in range(1, 80)))
+    assert query_csv(spark, "select int(a1)", path).first_bad_record()[0] == 37
+    assert query_csv(spark, "select int(a1) where NR > 40 | select a1 + 1", path).first_bad_record()[0] == 60
+    assert query_csv(spark, "select a1", path).first_bad_record() is None
+    assert cli.main(["csv", "--input", path, "--delim", ",", "--query", "select int(a1) + 1"]) == 1
+    assert "At record 37, Details: " in capsys.readouterr().err
