@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loamql.operators.engine import Options, Planner, depends_on_order
@@ -50,7 +50,16 @@ class Result:
 
     def rows(self) -> list[list[object]]:
         with self.placing_errors():
-            return [list(r[0]) if self.table.ragged else list(r) for r in self.df.collect()]
+            return [self._fields(r) for r in self.df.collect()]
+
+    def iterate_rows(self) -> Iterator[list[object]]:
+        """The lists of ``rows``, in their order; the driver holds those of one partition at a time."""
+        with self.placing_errors():
+            for r in self.df.toLocalIterator():
+                yield self._fields(r)
+
+    def _fields(self, row: Row) -> list[object]:
+        return list(row[0]) if self.table.ragged else list(row)
 
     @contextmanager
     def placing_errors(self) -> Iterator[None]:

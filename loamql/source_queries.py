@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import itertools
 import os
 import sqlite3
 import types
@@ -30,6 +31,7 @@ from loamql.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+LISTS_AT_ONCE = 100_000  # rows that the driver holds as lists
 
 
 def registered(sql: str) -> Callable[[Query], Query]:
@@ -261,11 +263,14 @@ def out_json(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered("SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F'")
 def out_frames_and_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """The result as a frame that any Spark sink takes, and as lists."""
+    """The result as a frame that any Spark sink takes, and as lists, of which the driver holds some at a time."""
     result = query("select a.o_orderkey as k, a.o_totalprice as p where a.o_orderstatus == 'F'", table(spark, folder, "orders"))
-    path = scratch_path(spark, "sink")
-    result.df.write.parquet(path)
-    return spark.createDataFrame(result.rows(), result.df.schema).intersectAll(spark.read.parquet(path))
+    schema = result.df.schema
+    whole, lists = scratch_path(spark, "sink"), scratch_path(spark, "lists")
+    result.df.write.parquet(whole)
+    for rows in itertools.chain([()], itertools.batched(result.iterate_rows(), LISTS_AT_ONCE)):  # the empty one makes the folder
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(lists)
+    return spark.read.schema(schema).parquet(lists).intersectAll(spark.read.schema(schema).parquet(whole))
 
 
 @registered("SELECT false AS whole, 2 AS lines")

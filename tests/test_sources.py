@@ -1,6 +1,7 @@
 import io
 import random
 import sqlite3
+import tracemalloc
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loamql import api, cli
+from loamql import api, cli, source_queries
 from loamql.api import query_csv, query_dataframe, query_json, query_sqlite
 from loamql.plans.lexer import IOHandlingError, ParsingError
 from loamql.sinks import writers
@@ -346,3 +347,28 @@ def test_first_bad_record(spark, tmp_path, capsys):
     assert query_csv(spark, "select a1", path).first_bad_record() is None
     assert cli.main(["csv", "--input", path, "--delim", ",", "--query", "select int(a1) + 1"]) == 1
     assert "At record 37, Details: " in capsys.readouterr().err
+
+
+def test_lists_a_part_at_a_time(spark, tmp_path):
+    path = put(tmp_path / "t.csv", "".join(f"{n % 7},{'x,' * (n % 3)}y\n" for n in range(3000)))
+    for text in ("select *", "select int(a1), NR order by int(a1) desc", "select a1 where a1 == '9'", "select NR limit 5"):
+        result = query_csv(spark, text, path)
+        assert list(result.iterate_rows()) == result.rows()
+    lines = put(tmp_path / "j.jsonl", '1\n{"a": \n3\n')
+    kind, text = raised(lambda: list(query_json(spark, "select a1", lines).iterate_rows()))
+    assert kind == "IO handling" and text.startswith("Error decoding JSON in input table at record 2, line 2")
+
+
+def test_frames_and_lists_in_bounded_memory(spark, tmp_path):
+    orders = spark.range(0, 600_000, 1, 8).selectExpr("id as o_orderkey", "if(id % 2 = 0, 'F', 'O') as o_orderstatus", "id / 8 as o_totalprice")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    tracemalloc.start()
+    try:
+        out = source_queries.out_frames_and_lists(spark, str(tmp_path))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.agg(F.count("*"), F.countDistinct("k"), F.sum("k"), F.sum("p")).first() == (300_000, 300_000, 299_999 * 300_000, 299_999 * 300_000 / 8)
+    assert most < 70e6, most
+    orders.limit(0).write.parquet(str(tmp_path / "none" / "orders.parquet"))
+    assert source_queries.out_frames_and_lists(spark, str(tmp_path / "none")).collect() == []
